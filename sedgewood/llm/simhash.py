@@ -71,10 +71,10 @@ def stars(fps: DataFrame, hot: int = HOT) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints fps(fp) as all links within the budget do."""
     n = 4 * partitions(fps.sparkSession)
     block = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
-    spread = fps.select("fp", block).withColumn("value", F.shiftrightunsigned("fp", (48 - 16 * F.col("block"))).bitwiseAND(0xFFFF))
+    spread = fps.select("fp", block).withColumn("value", F.expr("shiftrightunsigned(fp, 48 - 16 * block) & 65535"))
     counts = spread.groupBy("block", "value").count().where(F.col("count") > hot).select("block", "value", F.lit(True).alias("hot"))
     # the eight bits after the block, cyclically
-    after = F.shiftrightunsigned("fp", F.pmod(40 - 16 * F.col("block"), F.lit(64))).bitwiseAND(0xFF).cast("int")
+    after = F.expr("cast(shiftrightunsigned(fp, pmod(40 - 16 * block, 64)) & 255 as int)")
     near = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda x: F.bit_count(x.bitwiseXOR(F.col("own"))) <= BUDGET)
     nodes = F.when(F.col("hot"), F.transform(near, lambda x: F.least(x, F.col("own")) * 256 + F.greatest(x, F.col("own")))).otherwise(F.array(F.lit(-1)))
     tasks = (
