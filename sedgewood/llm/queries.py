@@ -8,10 +8,13 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedgewood.llm import simhash, substring_dedup, suffix_dedup
+from sedgewood.llm import packing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
+#: Folder of the public tokenizers' vocabularies; ``SEDGEWOOD_TOKENIZERS`` names another.
+TOKENIZERS = os.environ.get("SEDGEWOOD_TOKENIZERS", "/opt/tokenizers")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -46,3 +49,21 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op2_quality_rules"] = quality_rules.JUDGE_SQL
+
+
+@query
+def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
