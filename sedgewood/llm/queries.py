@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedgewood.llm import packing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup
+from sedgewood.llm import decontamination, html_extraction, importance, packing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, url_filters
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -67,3 +67,26 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+@query
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL["op4_url_filters"] = url_filters.judge_sql()
+
+
+@query
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
