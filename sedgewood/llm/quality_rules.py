@@ -59,7 +59,8 @@ def measured(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
         "word_chars": f"cast(length(translate({t}, ' \\t\\n\\u000b\\u000c\\r', '')) as bigint)",
         "n_symbols": f"cast(length({t}) - length(translate({t}, '{_SYMBOLS}', '')) as bigint)",
         "n_dup_lines": f"cast(size({lines}) - size(array_distinct({lines})) as bigint)",
-        "n_repeat_words": repeat,
+        # not deterministic, so that no filter on the result is pushed below and its arrays are not computed per element
+        "n_repeat_words": f"{repeat} + 0 * monotonically_increasing_id()",
         "line_chars": f"aggregate({lines}, 0L, (a, l) -> a + length(l))",
         "lost_chars": f"aggregate(filter({lines}, l -> {_FAILS}), 0L, (a, l) -> a + length(l))",
     }
