@@ -20,6 +20,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,21 +34,38 @@ from sedgewood.llm.sharding import numbered
 CAPACITY, END_ID = 4096, 1
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
+
+
+_SIMPLE = np.zeros(256, bool)  # bytes of words whose tokens can be counted without the tokenizer
+_SIMPLE[33:127] = True
+_SIMPLE[[ord("'"), ord("<")]] = False  # contractions and special tokens
+_KIND = np.full(256, 3, np.int8)
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_KIND[48:58] = 2
 
 
 class WordEncoder:
-    """Token ids of texts by way of their words."""
+    """Token ids of texts by way of their words.
+
+    New words are encoded many at a time, as one text.  Where one word's ids end is known from the number of parts the
+    tokenizer's pattern cuts it into (runs of letters, single digits, runs of the rest), each of which ends in a token
+    that closes a word; words for which that number is not plain from their bytes are encoded one by one.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        for word, i in vocabulary.items():
+            self.closes[i] = word.endswith("</w>")
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.first, self.count, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
     def _room(self, name: str, n: int) -> np.ndarray:
@@ -57,44 +75,97 @@ class WordEncoder:
             setattr(self, name, have)
         return have
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_new(self, spelled: list[str], parts: np.ndarray, simple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in one array, and how many each has."""
+        easy = np.flatnonzero(simple)
+        joined = self._ids([" ".join(spelled[i] for i in easy[a : a + 1000]) for a in range(0, len(easy), 1000)])
+        flat = np.fromiter(chain.from_iterable(joined), np.uint32)
+        ends = np.flatnonzero(self.closes[flat])
+        wanted = np.cumsum(parts[easy])
+        if len(easy) and (len(ends) != wanted[-1] or (parts[easy] < 1).any()):
+            simple, easy, flat, wanted = np.zeros(len(spelled), bool), easy[:0], flat[:0], wanted[:0]
+        count = np.zeros(len(spelled), np.int64)
+        if len(easy):
+            count[easy] = np.diff(ends[wanted - 1] + 1, prepend=0)
+        hard = np.flatnonzero(~simple)
+        if not len(hard):
+            return flat, count
+        rest = self._ids([spelled[i] for i in hard])
+        count[hard] = [len(x) for x in rest]
+        out = np.empty(int(count.sum()), np.uint32)
+        is_easy = np.repeat(simple, count)
+        out[is_easy] = flat
+        out[~is_easy] = np.fromiter(chain.from_iterable(rest), np.uint32)
+        return out, count
+
+    def _learn(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> None:
+        after = np.append(buf[1:], np.uint8(0))
+        lead = (buf == 0xC3) & (after >= 0x80) & (after != 0x97) & (after != 0xB7)
+        plain = _SIMPLE[buf] | lead
+        plain[1:] |= lead[:-1]
+        kind = _KIND[buf]
+        part = kind == 2
+        part[1:] |= kind[1:] != kind[:-1]
+        odd, parts = np.concatenate([[0], np.cumsum(~plain)]), np.concatenate([[0], np.cumsum(part)])
+        # a word's first byte begins a part whatever stands before it
+        n = parts[end] - parts[start + 1] + 1
+        raw, a, b = buf.tobytes(), start.tolist(), end.tolist()
+        spelled = [raw[x:y].decode("utf-8", "replace") for x, y in zip(a, b, strict=True)]
+        ids, count = self._encode_new(spelled, n, odd[end] == odd[start])
+        base = len(self.keys)
+        self._room("pool", self.used + len(ids))[self.used : self.used + len(ids)] = ids
+        self._room("first", base + len(keys))[base : base + len(keys)] = self.used + np.cumsum(count) - count
+        self._room("count", base + len(keys))[base : base + len(keys)] = count
+        self.used += len(ids)
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.entry = np.insert(self.entry, at, base + np.arange(len(keys)))
+
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows in one array, and where each row's ids start, with their number appended."""
         w = words(buf, offsets)
+        if not len(w.hash):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         every, at, place = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.known) + len(every) > REMEMBERED:
+        if len(self.keys) + len(every) > REMEMBERED:
             self.forget()
-        keys = every.tolist()
-        index = [self.known.get(k, -1) for k in keys]
-        new = [i for i, x in enumerate(index) if x < 0]
-        if new:
-            raw = buf.tobytes()
-            got = self.tokenizer.encode_batch_fast([raw[w.start[at[i]] : w.end[at[i]]].decode("utf-8", "replace") for i in new], add_special_tokens=False)
-            ids = [e.ids for e in got]
-            sizes = np.array([len(x) for x in ids], np.int64)
-            base, total = len(self.known), int(sizes.sum())
-            self._room("pool", self.used + total)[self.used : self.used + total] = np.fromiter((t for x in ids for t in x), np.uint32, total)
-            self._room("first", base + len(new))[base : base + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self._room("count", base + len(new))[base : base + len(new)] = sizes
-            self.used += total
-            for j, i in enumerate(new):
-                self.known[keys[i]] = index[i] = base + j
-        which = np.array(index, np.int64)[place]
+        found = np.searchsorted(self.keys, every)
+        new = np.ones(len(every), bool)
+        inside = found < len(self.keys)
+        new[inside] = self.keys[found[inside]] != every[inside]
+        if new.any():
+            self._learn(buf, w.start[at[new]], w.end[at[new]], every[new])
+            found = np.searchsorted(self.keys, every)
+        which = self.entry[found][place]
         count = self.count[which]
         end = np.cumsum(count)
-        ids = self.pool[np.repeat(self.first[which] - (end - count), count) + np.arange(int(count.sum()))]
+        ids = self.pool[np.repeat(self.first[which] - (end - count), count) + np.arange(int(end[-1]))]
         return ids, np.concatenate([[0], end])[w.first]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """A worker's encoder, with the words it knows from earlier tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """The pieces of each row: doc_id, piece, start, length and the checksum of the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, close = WordEncoder(tokenizer_path), np.array([END_ID], "<u4").tobytes()
+        own, close = encoder(tokenizer_path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             buf, offsets = buffers(batch.column(1))
             docs = batch.column(0).to_pylist()
             for i, j in pieces(offsets, 4 << 20):
-                ids, first = encoder.encode(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                ids, first = own.encode(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 raw, out = ids.astype("<u4").tobytes(), []
                 for r in range(j - i):
                     a, b = int(first[r]), int(first[r + 1])
