@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from sedgewood.plans import evaluation_queries, graph_queries, job_queries, retrieval_queries, source_queries, table_queries, text_queries
+from sedgewood.plans.registry import QUERIES, SQL, Query
+
+_MODULES = (source_queries, table_queries, text_queries, retrieval_queries, graph_queries, job_queries, evaluation_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Hit rate and reciprocal rank of BM25 and hybrid retrieval of benchmark passages."""
+    return retrieval_queries.retrieval_summary(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
