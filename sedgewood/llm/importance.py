@@ -68,7 +68,7 @@ def log_ratio(docs: DataFrame, ids: np.ndarray, buckets: int = BUCKETS, smoothin
         total = np.zeros((2, buckets), np.int64)
         for batch in batches:
             buf, offsets = buffers(batch.column(1))
-            own = batch.column(0).to_numpy(zero_copy_only=False)
+            own = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             good = np.isin(own, ids) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for i, j in pieces(offsets):
                 bucket, row = ngrams(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], buckets)
