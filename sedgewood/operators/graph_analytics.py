@@ -56,10 +56,14 @@ def health(nodes: DataFrame, edges: DataFrame, parts: DataFrame) -> DataFrame:
     )
 
 
-def coarsen(edges: DataFrame, assignment: DataFrame) -> DataFrame:
-    """src, dst, weight between different communities of edges(src, dst, weight) under assignment(id, community)."""
+def coarsen(edges: DataFrame, assignment: DataFrame, loops: bool = False) -> DataFrame:
+    """src, dst, weight between different communities of edges(src, dst, weight) under assignment(id, community).
+
+    With ``loops``, the weight inside a community is kept as its loop.
+    """
     a, b = assignment.select(F.col("id").alias("src"), F.col("community").alias("c1")), assignment.select(F.col("id").alias("dst"), F.col("community").alias("c2"))
-    joined = edges.join(a, "src").join(b, "dst").where("c1 <> c2")
+    joined = edges.join(a, "src").join(b, "dst")
+    joined = joined if loops else joined.where("c1 <> c2")
     return joined.groupBy(F.least("c1", "c2").alias("src"), F.greatest("c1", "c2").alias("dst")).agg(F.sum("weight").alias("weight"))
 
 
@@ -99,7 +103,9 @@ def local_moving(edges: DataFrame, resolution: float = 1.0, quality: str = "modu
     modularity or cpm.  Where communities are limited in size, each takes the movers of largest gain that fit.
     """
     sides = settle(edges.where("src <> dst").select("src", "dst", "weight").union(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
-    strength = settle(sides.groupBy("src").agg(F.sum("weight").alias("k")).withColumnRenamed("src", "id"))
+    # a loop counts at both its ends
+    ends = sides.select(F.col("src").alias("id"), "weight").union(edges.where("src = dst").select("src", 2 * F.col("weight")))
+    strength = settle(ends.groupBy("id").agg(F.sum("weight").alias("k")))
     total = strength.agg(F.sum("k")).first()[0] or 1.0
     state = settle(strength.select("id", F.col("id").alias("community"), "k"))
     for r in range(rounds):
@@ -137,8 +143,8 @@ def communities(edges: DataFrame, resolution: float = 1.0, quality: str = "modul
     weighted = edges.select("src", "dst", F.lit(1.0).alias("weight"))
     found = settle(refine(local_moving(weighted, resolution, quality, None, rounds), weighted))
     for _ in range(levels - 1):
-        upper = settle(coarsen(weighted, found))
-        if upper.isEmpty():
+        upper = settle(coarsen(weighted, found, loops=True))
+        if upper.where("src <> dst").isEmpty():
             break
         moved = settle(refine(local_moving(upper, resolution, quality, None, rounds), upper).select(F.col("id").alias("community"), F.col("community").alias("parent")))
         found = settle(found.join(moved, "community", "left").select("id", F.coalesce("parent", "community").alias("community")))
