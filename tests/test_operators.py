@@ -37,7 +37,7 @@ def test_recursive_chunks_keep_size_and_order(text, size, overlap):
 
 def test_recursive_splitter_by_hand():
     assert chunking.split_recursive("aaa bbb ccc ddd", 8, 4) == ["aaa bbb", "bbb ccc", "ccc ddd"]
-    assert chunking.split_recursive("one\n\ntwo three\n\nfour", 9, 0) == ["one", "two three", "four"]
+    assert chunking.split_recursive("one\n\ntwo three\n\nfour", 12, 0) == ["one", "two three", "four"]
     assert chunking.split_recursive("abcdefgh", 3, 0) == ["abc", "def", "gh"]
     assert chunking.placeholder_length(500)("x [TABLE_1_2]") == 513
     assert chunking.restored_length({"TABLE_1_0": "ab", "TABLE_1_1": "c"})("x[TABLE_1_1]") == 1 + len("\n\nab\n\nc\n\n")
