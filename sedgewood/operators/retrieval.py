@@ -15,6 +15,8 @@ from sedgewood.functions.text import words
 
 #: Query vectors that are searched for at once; more take more passes, never a larger block.
 QUERY_BLOCK = 4096
+#: The same for word queries, whose words are held as well.
+BM25_BLOCK = 512
 
 
 def top(df: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
@@ -69,33 +71,65 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cos
     return top(found, "query_id", k, order, F.asc("id"))
 
 
-def bm25_scores(corpus: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, id and BM25 score of each row of corpus(id, text) that has a word of queries(query_id, text).
+def term_statistics(corpus: DataFrame) -> DataFrame:
+    """term, df, n_docs, avg_len, raw_idf of every word of corpus(id, text)."""
+    own = words(F.coalesce("text", F.lit("")))
+    totals = corpus.agg(F.count("*").alias("n_docs"), F.avg(F.size(own)).alias("avg_len"))
+    df = corpus.select(F.explode(F.array_distinct(own)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    return df.join(F.broadcast(totals), how="cross").withColumn("raw_idf", raw)  # one row of totals
 
-    Words are white-space tokens, case kept; a negative idf becomes a quarter of the mean idf; repeated query words count.
+
+def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """query_id, id, score and rank of the k best rows of corpus(id, text) for each row of queries(query_id, text).
+
+    Words are white-space tokens, case kept; a negative idf becomes a quarter of the mean idf over all words; repeated
+    query words count; rows without a word of the query score 0 and follow by id.  Queries are taken in blocks of a
+    fixed size: a block's words and weights go to every task, which scores its rows and keeps k a query.
     """
-    tokens = corpus.select("id", F.explode(words(F.col("text"))).alias("term"))
-    tf = tokens.groupBy("id", "term").agg(F.count("*").alias("tf"))
-    totals = corpus.agg(F.count("*").alias("n_docs"), F.avg(F.size(words(F.coalesce("text", F.lit(""))))).alias("avg_len"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(totals), how="cross").withColumn("raw_idf", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))  # one row
-    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    idf = raw.join(asked.select("term").distinct(), "term", "left_semi").join(F.broadcast(mean), how="cross")
-    idf = idf.select("term", "avg_len", F.when(F.col("raw_idf") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
-    lengths = corpus.select("id", F.size(words(F.coalesce("text", F.lit("")))).alias("len"))
-    part = tf.join(idf, "term").join(lengths, "id")
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = part.select("id", "term", weight.alias("weight")).join(asked, "term")
-    return scored.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
-
-
-def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best rows of corpus for each query; rows without a word of the query score 0 and follow by id."""
-    first = corpus.select("id").orderBy("id").limit(k)  # enough to fill up any query
-    zero = queries.select("query_id").join(F.broadcast(first), how="cross").withColumn("score", F.lit(0.0))
-    best = bm25_scores(corpus, queries).unionByName(zero).groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    return top(best.withColumn("score", F.round("score", 9)), "query_id", k, F.desc("score"), F.asc("id"))
+    statistics = term_statistics(corpus)
+    asked = queries.select("query_id", F.explode_outer(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("term").alias("times"))
+    mean = statistics.agg(F.avg("raw_idf").alias("mean_idf"), F.max("avg_len").alias("avg_len"))
+    wanted = statistics.join(asked.select("term").distinct(), "term", "left_semi").join(F.broadcast(mean.select("mean_idf")), how="cross")
+    idf = wanted.select("term", "avg_len", F.when(F.col("raw_idf") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
+
+    def scan(rows: list) -> DataFrame:
+        ids = sorted({r["query_id"] for r in rows})
+        place, known = {q: i for i, q in enumerate(ids)}, {}
+        weights, avg_len = [], 1.0
+        for r in rows:
+            if r["idf"] is not None:
+                avg_len = r["avg_len"]
+                if r["term"].encode() not in known:
+                    known[r["term"].encode()] = len(known)
+                    weights.append(np.zeros(len(ids)))
+                weights[known[r["term"].encode()]][place[r["query_id"]]] = r["idf"] * r["times"]
+        matrix, names = np.array(weights).reshape(len(weights), len(ids)), np.array(ids)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                scores = np.zeros((batch.num_rows, len(ids)))
+                for i, text in enumerate(batch.column(1)):
+                    own = (text.as_py() or b"").split()
+                    at, tf = np.unique(np.array([known[w] for w in own if w in known], np.int64), return_counts=True)
+                    if len(at):
+                        scores[i] = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(own) / avg_len))) @ matrix[at]
+                scores, own = np.round(scores.T, 9), batch.column(0).to_numpy()
+                take = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
+                yield pa.record_batch([pa.array(np.repeat(names, take.shape[1])), pa.array(own[take].reshape(-1)), pa.array(np.take_along_axis(scores, take, 1).reshape(-1))], names=["query_id", "id", "score"])
+
+        return corpus.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "query_id long, id long, score double")
+
+    n = queries.count()
+    blocks, found = max(1, -(-n // BM25_BLOCK)), None
+    for block in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        rows = part.join(idf, "term", "left").collect()
+        if rows:
+            found = scan(rows) if found is None else found.unionByName(scan(rows))
+    if found is None:
+        return corpus.sparkSession.createDataFrame([], "query_id long, id long, score double, rank long")
+    return top(found, "query_id", k, F.desc("score"), F.asc("id"))
 
 
 def fuse(lists: list[tuple[DataFrame, float]], key: str, c: int = 60) -> DataFrame:
