@@ -56,7 +56,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+ORACLE_SQL["op1_substring_dedup"] = substring_dedup.DIGEST_SQL
 ORACLE_SQL["op2_quality_rules"] = quality_rules.JUDGE_SQL
+ORACLE_SQL["op3_suffix_dedup"] = suffix_dedup.DIGEST_SQL
+ORACLE_SQL["op9_rendezvous_shards"] = sharding.ASSIGN_SQL
 
 
 @query

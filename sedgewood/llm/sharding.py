@@ -55,3 +55,21 @@ def numbered(df: DataFrame, group: str, part: str, order: list[Column]) -> DataF
     within = Window.partitionBy(group, part).orderBy(*order)
     placed = df.withColumn("slot_place", F.row_number().over(within)).join(starts, [group, part])
     return placed.withColumn("slot", F.col("slot_start") + F.col("slot_place") - 1).drop("slot_place", "slot_start")
+
+
+def _unit_sql(salt: str) -> str:
+    return f"((('0x' || substr(md5(key || ':' || {salt}), 1, 15))::BIGINT)::DOUBLE + 0.5) / {float(1 << 60)}"
+
+
+_PART = "'part'"
+#: Checksums byte by byte, over a table made from the polynomial.
+ASSIGN_SQL = f"""
+WITH RECURSIVE bits AS (SELECT i AS c, i, 0 AS k FROM range(256) AS r(i) UNION ALL SELECT CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT doc_id, strlen(t) + 8 AS size, CASE WHEN x = '' THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda k: ('0x' || substr(x, 2 * k + 1, 2))::BIGINT)), lambda a, b: xor(a // 256, tab[xor(a & 255, b) + 1])), 4294967295) END AS text_crc32 FROM d, tab),
+k AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), 'crc' || text_crc32) AS key FROM c),
+s AS (SELECT *, list_transform(range({SHARDS + 1}), lambda s: -1.0 / ln({_unit_sql("s")})) AS sc, CAST(floor({_unit_sql(_PART)} * {PARTS}) AS BIGINT) AS part FROM k),
+a AS (SELECT *, list_position(sc[1:{SHARDS}], list_max(sc[1:{SHARDS}])) - 1 AS shard, list_position(sc, list_max(sc)) - 1 AS grown_shard FROM s)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard FROM a
+"""

@@ -161,3 +161,14 @@ def dedup_stage(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         return table.set_column(at, table.schema.field(at), pa.array(texts, table.schema.field(at).type)).filter(pa.array(keep))
 
     return _anchors.exchange(df, spec, _entries(window), _merge, finish, df.schema).select(*names)
+
+
+DIGEST_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT rid, doc_id, i, array_to_string(w[i : i + 49], ' ') AS s FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+dup AS (SELECT rid, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id),
+gone AS (SELECT DISTINCT rid, i + o AS p FROM dup, (SELECT unnest(range(50)) AS o)),
+n AS (SELECT rid, count(*) AS n_removed, count(*) FILTER (p - 1 <> coalesce(q, -1)) AS n_spans FROM (SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS q FROM gone) GROUP BY rid),
+k AS (SELECT rid, string_agg(x, ' ' ORDER BY p) AS kept FROM (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d) ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN n USING (rid) LEFT JOIN k USING (rid)
+"""

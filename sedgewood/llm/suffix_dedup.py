@@ -243,3 +243,14 @@ def dedup_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per row of df: doc_id, n_bytes, n_removed, n_spans and kept_sha256 (of the kept bytes)."""
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return _anchors.exchange(slim, _spec(), _entries, _merge, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+DIGEST_SQL = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT rid, doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT rid, doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM d)),
+dup AS (SELECT rid, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id),
+gone AS (SELECT DISTINCT rid, i + o AS p FROM dup, (SELECT unnest(range(50)) AS o)),
+n AS (SELECT rid, count(*) AS n_removed, count(*) FILTER (p - 1 <> coalesce(q, -2)) AS n_spans FROM (SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS q FROM gone) GROUP BY rid),
+k AS (SELECT rid, string_agg(b, '' ORDER BY p) AS kept FROM (SELECT rid, substr(x, 2 * p + 1, 2) AS b, p FROM (SELECT rid, x, unnest(range(0, length(x) // 2)) AS p FROM d WHERE rid IN (SELECT rid FROM n))) ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN n_removed IS NULL THEN x ELSE coalesce(kept, '') END)) AS kept_sha256 FROM d LEFT JOIN n USING (rid) LEFT JOIN k USING (rid)
+"""
