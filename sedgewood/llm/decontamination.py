@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words lose punctuation and case; numbers, units after a number, and names (capitalised within a sentence) become typed
-placeholders.  A document and a benchmark item that share a window of 13 such tokens (an item of 5 to 12 tokens: all of
+placeholders.  Texts in another case are still found: an item's windows are also searched for with its names as words.  A document and a benchmark item that share a window of 13 such tokens (an item of 5 to 12 tokens: all of
 them) at least 7 of which (of a short item: half) are words, may hold the same question with other parameters.  The
 windows of one pair on one diagonal are then laid over each other, and the slots must agree: one value of the item
 always faces one value of the document, and the reverse.  Pairs that pass are leaks.
@@ -93,6 +93,8 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> Tokens:
     number = (letters > 0) & (digits == letters)
     head = buf[w.start]
     upper = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (low[np.minimum(w.start + 1, len(buf) - 1)] != buf[np.minimum(w.start + 1, len(buf) - 1)]))
+    second = buf[np.minimum(w.start + 1, len(buf) - 1)]
+    upper &= ~((w.end - w.start > 1) & (second >= 65) & (second <= 90))  # all capitals is no name
     inside = np.zeros(len(head), bool)  # not the first word of a row or sentence
     inside[1:] = (w.row[1:] == w.row[:-1]) & ~_STOP[buf[w.end[:-1] - 1]]
     some = letters > 0
@@ -128,13 +130,20 @@ def build_block(items: list[tuple[object, str]]) -> Block:
         size = min(WINDOW, n)
         fixed = np.concatenate([[0], np.cumsum(t.kind == 0)])
         enough = fixed[size:] - fixed[:-size] >= min(MIN_WORDS, -(-size // 2))
-        # within a document, the item's first word may look like a name
-        for template in (t.template, np.concatenate([[NAME], t.template[1:]]) if t.kind[0] == 0 else None):
-            if template is not None:
-                h = rolling(template, size)
-                ok = enough & ((np.arange(len(h)) == 0) | (template is t.template))
-                for x, values in zip(found[size], (h[ok], np.full(int(ok.sum()), i), np.flatnonzero(ok)), strict=True):
-                    x.append(values)
+        named = np.concatenate([[0], np.cumsum(t.kind == 3)])
+        with_name = named[size:] > named[:-size]
+        first = np.arange(len(enough)) == 0
+        variants = [
+            (t.template, enough),
+            # within a document, the item's first word may look like a name
+            (np.concatenate([[NAME], t.template[1:]]), enough & first & (t.kind[0] == 0)),
+            # and in a text of another case, names look like words
+            (np.where(t.kind == 3, t.value, t.template), with_name),
+        ]
+        for template, ok in variants:
+            h = rolling(template, size)[ok]
+            for x, values in zip(found[size], (h, np.full(len(h), i), np.flatnonzero(ok)), strict=True):
+                x.append(values)
     windows = {}
     for size, parts in found.items():
         h, item, place = (np.concatenate(x) for x in parts)
@@ -179,7 +188,7 @@ def find(t: Tokens, block: Block) -> Iterator[tuple[int, int, int, int, int, int
         mine, theirs = value[covered[slots]].tolist(), t.value[there[slots]].tolist()
         forth, back = dict(zip(mine, theirs, strict=True)), dict(zip(theirs, mine, strict=True))
         if all(forth[m] == v and back[v] == m for m, v in zip(mine, theirs, strict=True)):
-            yield int(row[a]), int(item[a]), int(t.word[there[0]]), int(b - a), len(slots), sum(m != v for m, v in zip(mine, theirs, strict=True))
+            yield int(row[a]), int(item[a]), int(t.word[there[0]]), len(np.unique(place[a:b])), len(slots), sum(m != v for m, v in zip(mine, theirs, strict=True))
 
 
 def blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Block]:
@@ -198,19 +207,22 @@ LEAKS_DDL = "doc_id long, item_id long, first_word long, n_windows long, n_slots
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each consistent match of a document and an item: doc_id, item_id, first_word, n_windows, n_slots, n_changed."""
+    """A row for each document row and item that match, with the longest match's first_word, n_windows, n_slots, n_changed."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def scan(block: Block) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 buf, offsets = buffers(batch.column(1))
-                out = []
+                best: dict[tuple, list] = {}
                 for i, j in pieces(offsets):
                     t = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    out += [(i + r, block.items[k], *rest) for r, k, *rest in find(t, block)]
-                if out:
-                    cols = list(zip(*out, strict=True))
+                    for r, k, *rest in find(t, block):
+                        key = i + r, block.items[k]
+                        if key not in best or rest[1] > best[key][1]:
+                            best[key] = rest
+                if best:
+                    cols = list(zip(*((*key, *rest) for key, rest in best.items()), strict=True))
                     yield pa.record_batch([batch.column(0).take(pa.array(cols[0])), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc_id", "item_id", "first_word", "n_windows", "n_slots", "n_changed"])
 
         return slim.mapInArrow(run, LEAKS_DDL)

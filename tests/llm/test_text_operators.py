@@ -155,11 +155,11 @@ BROKEN = OTHER.replace("40 cars is", "41 cars is")
 
 
 def test_decontamination(spark, nothing, awkward):
-    docs = [(1, "Some text before. " + ITEM + " And after."), (2, "Some text before it " + OTHER), (3, BROKEN), (4, "nothing of the sort"), (5, None), (6, ITEM.replace(" ", "\n")), (7, "well now: short but whole thing here"), (8, ITEM.upper())]
+    docs = [(1, "Some text before. " + ITEM + " And after."), (2, "Some text before it " + OTHER), (3, BROKEN), (4, "nothing of the sort"), (5, None), (6, ITEM.replace(" ", "\n")), (7, "well now: short but whole thing here"), (8, ITEM.upper()), (9, ITEM.lower())]
     d = spark.createDataFrame([(i, t, "a") for i, t in docs], "doc_id long, text string, item_id string")
     b = spark.createDataFrame([(10, ITEM), (11, "Short but whole thing here"), (12, None), (13, "too few words")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["n_changed"] for r in decontamination.leaks(d, b).collect()}
-    assert set(got) >= {(1, 10), (2, 10), (6, 10), (7, 11)} and got[1, 10] == 0 and got[2, 10] > 0
+    assert set(got) >= {(1, 10), (2, 10), (6, 10), (7, 11), (8, 10), (9, 10)} and got[1, 10] == 0 and got[2, 10] > 0
     assert not {k for k in got if k[0] in (4, 5)}
     assert (3, 10) not in got  # one value of the item faces two of the text
     kept = decontamination.decontaminate_stage(d, b)
