@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from sedgewood.functions import models as M
 from sedgewood.operators import graph_analytics as A, graph_build as B, graph_retrieval as G, retrieval as R
 from sedgewood.plans.registry import query, table
 
@@ -157,6 +158,28 @@ def gleaning_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.glean(rounds[0].distinct(), rounds[1:], ["l_partkey", "l_suppkey"])
 
 
+_NAMES = "regexp_extract_all(text, '[\\p{Lu}][\\p{L}]{3,}', 0)"
+_FOUND = f"f AS (SELECT doc_id, {_NAMES} AS n FROM documents)"
+
+
+@query(f"WITH {_FOUND} SELECT doc_id AS chunk_id, i - 1 AS pos, name FROM (SELECT doc_id, unnest(n) AS name, generate_subscripts(n, 1) AS i FROM f)")
+def extract_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities by the default extractor."""
+    return M.extract_names(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))[0].select("chunk_id", "pos", "name")
+
+
+@query(f"WITH {_FOUND} SELECT doc_id AS chunk_id, i - 1 AS pos, n[i] AS source, n[i + 1] AS target FROM (SELECT doc_id, n, unnest(range(1, greatest(len(n), 1))) AS i FROM f) WHERE n[i] <> n[i + 1]")
+def extract_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations by the default extractor."""
+    return M.extract_names(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"))[1].select("chunk_id", "pos", "source", "target")
+
+
+@query("SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS target FROM benchmark")
+def query_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of queries by the default finder."""
+    return M.query_terms(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
 # --- analytics -------------------------------------------------------------------------------------------------------
 
 _DEGREES = "deg AS (SELECT id, count(x) AS degree FROM nodes LEFT JOIN (SELECT src AS x FROM edges UNION ALL SELECT dst FROM edges) ON id = x GROUP BY id)"

@@ -183,3 +183,18 @@ def test_degree_of_a_loop(spark):
 
 def test_context_has_a_sentinel(spark):
     assert spark.createDataFrame([("",), (None,), ("x",)], "c string").select(G.or_else(F.col("c"), "none").alias("o")).collect() == [("none",), ("none",), ("x",)]
+
+
+def test_generation_goes_on_until_the_target(spark):
+    from sedgewood.functions.models import generate_until
+
+    made = []
+
+    def generate(n, done):
+        made.append((n, done))
+        return spark.createDataFrame([(f"q{done + i}",) for i in range(n)], "question string")
+
+    out = generate_until(generate, spark.createDataFrame([("q0",)], "question string"), 10, 4, "question")
+    assert out.count() == 10 and out.distinct().count() == 10 and made[0] == (4, 1)
+    stuck = generate_until(lambda n, done: spark.createDataFrame([("q0",)], "question string"), out.limit(0), 5, 2, "question")
+    assert stuck.count() == 1
