@@ -29,6 +29,8 @@ LABELS = frozenset(
     "newsletter subscribe signup sidebar comment comments disqus reply replies respond menu nav navbar navigation breadcrumb breadcrumbs footer header masthead toolbar "
     "social share sharing related widget pagination pager".split()
 )
+#: Parts of longer labels that mean the same wherever they stand.
+STEMS = ("comment", "cookie", "advert", "sidebar", "newsletter", "disqus", "sponsor", "navbar", "breadcrumb", "masthead")
 _LABEL = re.compile("[a-z]+")
 #: A start tag of the key's kind closes an open element of these kinds.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}, "body": {"head"}}
@@ -60,7 +62,8 @@ def _is_excluded(tag: str, attrs: str) -> bool:
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "hidden" and value in ("", "hidden", "true") or name == "aria-hidden" and value == "true":
                 return True
-            if name == "role" and value in ROLES or name in ("class", "id") and not LABELS.isdisjoint(_LABEL.findall(value)):
+            labels = _LABEL.findall(value) if name in ("class", "id") else []
+            if name == "role" and value in ROLES or not LABELS.isdisjoint(labels) or any(s in x for x in labels for s in STEMS):
                 return tag not in ("html", "body", "article", "main")
     return False
 

@@ -79,3 +79,8 @@ def test_scores_sum_to_one(spark):
     seeds = spark.createDataFrame([("a",), ("x",)], "host string")
     scores = {r["host"]: r["score"] for r in url_filters.propagate(links, seeds).collect()}
     assert abs(sum(scores.values()) - 1) < 1e-9 and scores["a"] > scores["d"] > 0
+
+
+def test_marked_elements_are_excluded():
+    kept = [b[0] for b in read("<article><p>a</p><div id='userComments'><p>b</p></div><p class='cookiebar'>c</p><section class='post body'>d</section><form>e</form><p hidden>f</p><div role=banner>g</div></article>").blocks if not b[3]]
+    assert kept == ["a", "d"]
