@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sedgewood.llm._blocks import pack_arrays, pack_sorted, partitions, squeeze, unpack_table, unsqueeze, unpack_sorted
+from sedgewood.llm._blocks import BLOCK_BYTES, bucket_labels, pack_arrays, pack_sorted, packed, partitions, squeeze, unpack_table, unsqueeze, unpack_sorted
 from sedgewood.llm._text import buffers, minimizer_runs, pieces
 
 ANSWER = pa.schema([("block_id", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary())])
@@ -85,8 +85,8 @@ def bucket_edges(values: np.ndarray, bits: int, n: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(values, limits), [len(values)]]).astype(np.int64)
 
 
-def anchor_runs(blocks: DataFrame, spec: Spec) -> DataFrame:
-    n = partitions(blocks.sparkSession)
+def anchor_runs(blocks: DataFrame, spec: Spec, labels: list[int]) -> DataFrame:
+    n = len(labels)
 
     def run(batches):
         for batch in batches:
@@ -97,14 +97,14 @@ def anchor_runs(blocks: DataFrame, spec: Spec) -> DataFrame:
                 at = bucket_edges(h, 48, n)
                 some = [b for b in range(n) if at[b] < at[b + 1]]
                 yield pa.record_batch(
-                    [pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([pack_sorted(h[at[b] : at[b + 1]]) for b in some], pa.binary())],
+                    [pa.array([block] * len(some), pa.int64()), pa.array([labels[b] for b in some], pa.int32()), pa.array([pack_sorted(h[at[b] : at[b + 1]]) for b in some], pa.binary())],
                     names=["block_id", "bucket", "run"],
                 )
 
     return blocks.mapInArrow(run, "block_id long, bucket int, run binary")
 
 
-def shared(blocks: DataFrame, spec: Spec) -> DataFrame:
+def shared(blocks: DataFrame, spec: Spec, labels: list[int]) -> DataFrame:
     """(block_id, bucket, answer): a bit for each of the block's anchors in the bucket, set if another block has it."""
 
     def mark(table: pa.Table) -> pa.Table:
@@ -114,16 +114,18 @@ def shared(blocks: DataFrame, spec: Spec) -> DataFrame:
         bits = [squeeze(np.packbits(several[np.searchsorted(every, r)]).tobytes(), 1) for r in runs]
         return pa.table([table["block_id"], table["bucket"], pa.array(bits, pa.binary())], schema=ANSWER)
 
-    return anchor_runs(blocks, spec).groupBy("bucket").applyInArrow(mark, ANSWER_DDL)
+    return anchor_runs(blocks, spec, labels).groupBy("bucket").applyInArrow(mark, ANSWER_DDL)
 
 
-def answers(table: pa.Table, kind: int = 0) -> dict[int, bytes]:
-    return {b: unsqueeze(x.as_py()) for b, x in zip(table["bucket"].to_pylist(), table["answer"], strict=True) if (b < 0) == bool(kind)}
+def answers(table: pa.Table, labels: list[int]) -> dict[int, bytes]:
+    """A block's answers by bucket; that of its echo has the key -1."""
+    bucket = {x: b for b, x in enumerate(labels)}
+    return {bucket[b] if b >= 0 else -1: unsqueeze(x.as_py()) for b, x in zip(table["bucket"].to_pylist(), table["answer"], strict=True)}
 
 
-def shared_mask(h: np.ndarray, local: np.ndarray, table: pa.Table, n: int) -> np.ndarray:
-    at, out = bucket_edges(h, 48, n), local.copy()
-    for b, raw in answers(table).items():
+def shared_mask(h: np.ndarray, local: np.ndarray, table: pa.Table, labels: list[int]) -> np.ndarray:
+    at, out = bucket_edges(h, 48, len(labels)), local.copy()
+    for b, raw in answers(table, labels).items():
         m = at[b + 1] - at[b]
         out[at[b] : at[b + 1]] |= np.unpackbits(np.frombuffer(raw, np.uint8), count=m).astype(bool)
     return out
@@ -143,13 +145,16 @@ def keep_shared(found: list[Piece], h: np.ndarray, mask: np.ndarray, valid: np.n
     return found
 
 
-def exchange(df: DataFrame, spec: Spec, entries: Callable, merge: Callable, finish: Callable, schema: str) -> DataFrame:
+def exchange(df: DataFrame, spec: Spec, entries: Callable, merge: Callable, finish: Callable, schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Both rounds.  ``entries(found, ids, n)`` yields (bucket, run, extra) of a block's distinct entries in a fixed order;
-    ``merge(table)`` answers each of a bucket's runs; ``finish(table, found, ids, answers, n)`` makes the block's result."""
-    from sedgewood.llm._blocks import packed
+    ``merge(table)`` answers each of a bucket's runs; ``finish(table, found, ids, answers, n)`` makes the block's result.
 
-    blocks = packed(df, spec.text)
+    A block sends a run to each bucket, so ``block_bytes`` should grow with the corpus as far as workers' memory allows:
+    a worker holds some 25 times as much.
+    """
+    blocks = packed(df, spec.text, block_bytes)
     n = partitions(df.sparkSession)
+    labels = bucket_labels(df.sparkSession, n)
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -158,10 +163,10 @@ def exchange(df: DataFrame, spec: Spec, entries: Callable, merge: Callable, fini
             ids, valid = doc_ids(table, spec)
             found = list(scan(table, spec))
             h, local = distinct_anchors(found, valid)
-            mask = shared_mask(h, local, right, n)
+            mask = shared_mask(h, local, right, labels)
             out.append(echo(block, mask, n))
             found = keep_shared(found, h, mask, valid)
-            out += [{"block_id": block, "bucket": b, "run": r, "extra": x} for b, r, x in entries(found, ids, n)]
+            out += [{"block_id": block, "bucket": labels[b], "run": r, "extra": x} for b, r, x in entries(found, ids, n)]
         return pa.Table.from_pylist(out, ENTRIES)
 
     def merged(table: pa.Table) -> pa.Table:
@@ -176,12 +181,13 @@ def exchange(df: DataFrame, spec: Spec, entries: Callable, merge: Callable, fini
             ids, valid = doc_ids(table, spec)
             found = list(scan(table, spec))
             h, _ = distinct_anchors(found, valid)
-            raw = next(iter(answers(right, 1).values()))
+            told = answers(right, labels)
+            raw = told.pop(-1)
             mask = np.unpackbits(np.frombuffer(raw, np.uint8), count=len(h)).astype(bool)
-            out.append(finish(table, keep_shared(found, h, mask, valid), ids, answers(right), n))
+            out.append(finish(table, keep_shared(found, h, mask, valid), ids, told, n))
         return pa.concat_tables(out)
 
-    marks = shared(blocks, spec)
+    marks = shared(blocks, spec, labels)
     asked = blocks.groupBy("block_id").cogroup(marks.groupBy("block_id")).applyInArrow(candidates, ENTRIES_DDL)
-    told = asked.groupBy("bucket").applyInArrow(merged, ANSWER_DDL)
-    return blocks.groupBy("block_id").cogroup(told.groupBy("block_id")).applyInArrow(last, schema)
+    replies = asked.groupBy("bucket").applyInArrow(merged, ANSWER_DDL)
+    return blocks.groupBy("block_id").cogroup(replies.groupBy("block_id")).applyInArrow(last, schema)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sedgewood.llm._text import buffers
 
@@ -82,6 +82,15 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bucket_labels(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of n buckets that Spark's hash partitioning deals to a partition of its own."""
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+    rows = spark.range(64 * n).groupBy(place.alias("p")).agg(F.min("id").alias("label")).collect()
+    label = {r["p"]: r["label"] for r in rows}
+    # a partition that none of 64 n numbers goes to shares one; nothing depends on it but balance
+    return [label.get(p, 64 * n + p) for p in range(n)]
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
     """Ascending unsigned integers, front-coded: their differences, byte planes apart."""
     gaps = np.diff(values, prepend=np.zeros(1, np.uint64)).astype("<u8")

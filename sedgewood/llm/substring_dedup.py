@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sedgewood.llm import _anchors
-from sedgewood.llm._blocks import pack_arrays, pack_sorted, squeeze, unpack_arrays, unpack_sorted
+from sedgewood.llm._blocks import BLOCK_BYTES, pack_arrays, pack_sorted, squeeze, unpack_arrays, unpack_sorted
 from sedgewood.llm._text import buffers, cover, expand, rolling, words
 
 WINDOW, GRAM = 50, 8
@@ -128,14 +128,14 @@ def _digest(window: int):
     return finish
 
 
-def dedup_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of df: doc_id, n_words, n_removed, kept_sha256 (of the kept words, one space apart) and n_spans."""
     spec = _spec("id", "text", window)
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return _anchors.exchange(slim, spec, _entries(window), _merge, _digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long")
+    return _anchors.exchange(slim, spec, _entries(window), _merge, _digest(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long", block_bytes)
 
 
-def dedup_stage(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup_stage(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """df with duplicate spans cut out of its texts; a text from which nothing is cut is unchanged.
 
     A span is cut with the white space after it.  Rows of which every word is cut are dropped, rows that had no words stay.
@@ -160,7 +160,7 @@ def dedup_stage(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         at = table.schema.get_field_index(text_col)
         return table.set_column(at, table.schema.field(at), pa.array(texts, table.schema.field(at).type)).filter(pa.array(keep))
 
-    return _anchors.exchange(df, spec, _entries(window), _merge, finish, df.schema).select(*names)
+    return _anchors.exchange(df, spec, _entries(window), _merge, finish, df.schema, block_bytes).select(*names)
 
 
 DIGEST_SQL = r"""

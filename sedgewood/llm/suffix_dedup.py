@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sedgewood.llm import _anchors
-from sedgewood.llm._blocks import pack_arrays, squeeze, unpack_arrays
+from sedgewood.llm._blocks import BLOCK_BYTES, pack_arrays, squeeze, unpack_arrays
 from sedgewood.llm._text import BASE, cover, mix
 
 WINDOW, GRAM = 50, 24
@@ -239,10 +239,10 @@ def _digest(table, found, ids, told, n):
     return pa.table({"doc_id": table[0].cast(pa.int64()), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
 
-def dedup_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of df: doc_id, n_bytes, n_removed, n_spans and kept_sha256 (of the kept bytes)."""
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return _anchors.exchange(slim, _spec(), _entries, _merge, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _anchors.exchange(slim, _spec(), _entries, _merge, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", block_bytes)
 
 
 DIGEST_SQL = """
