@@ -34,7 +34,7 @@ from sedgewood.llm.sharding import numbered
 CAPACITY, END_ID = 4096, 1
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 
 
 _SIMPLE = np.zeros(256, bool)  # bytes of words whose tokens can be counted without the tokenizer
@@ -164,7 +164,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         for batch in batches:
             buf, offsets = buffers(batch.column(1))
             docs = batch.column(0).to_pylist()
-            for i, j in pieces(offsets, 4 << 20):
+            for i, j in pieces(offsets, 2 << 20):
                 ids, first = own.encode(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 raw, out = ids.astype("<u4").tobytes(), []
                 for r in range(j - i):
