@@ -7,7 +7,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 
-from sedgewood.llm import decontamination, importance, packing, quality_rules, queries, sharding
+from sedgewood.llm import decontamination, importance, packing, quality_rules, queries, sharding, substring_dedup, suffix_dedup
 
 
 def sql(view, frame, text):
@@ -23,6 +23,12 @@ def test_quality_matches_sql(documents, awkward, nothing):
     assert quality_rules.judge(nothing).count() == 0
 
 
+@pytest.mark.parametrize(("run", "text"), [(substring_dedup.dedup_digest, substring_dedup.DIGEST_SQL), (suffix_dedup.dedup_digest, suffix_dedup.DIGEST_SQL), (sharding.assign, sharding.ASSIGN_SQL)])
+def test_digests_match_sql(documents, awkward, run, text):
+    for frame in (documents.where("doc_id < 400").select("doc_id", "text"), awkward.select("doc_id", "text")):
+        assert sorted(repr(tuple(r)) for r in run(frame).collect()) == sql("documents", frame, text)
+
+
 def test_quality_verdicts(spark):
     clean = "The first line says something here. It goes on for a while.\nThe second line ends well too."
     rows = [
@@ -194,3 +200,14 @@ def test_kth_largest(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     for k in range(1, len(values) + 1):
         assert importance.kth_largest(df, "x", k, bins=2) == sorted(values, reverse=True)[k - 1]
+
+
+def test_importance_on_held_out_labels(spark):
+    """Fitted on every second labelled document, judged on the others."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    kept = {r["doc_id"]: r["kept"] for r in importance.select(docs, labels.where("doc_id % 2 = 0")).collect()}
+    rest = labels.where("doc_id % 2 = 1").collect()
+    good = [kept[r["doc_id"]] for r in rest if r["quality"] and not r["toxic"]]
+    bad = [kept[r["doc_id"]] for r in rest if not r["quality"]]
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.15 * len(bad)
