@@ -2,7 +2,8 @@
 
 Texts are read as runs of letters and digits and runs of punctuation; single runs and pairs are hashed into buckets.
 Two bag-of-n-grams models are fitted, one on all documents (raw) and one on labelled good documents (target), and a
-document's importance weight is the log ratio of its probability under both.  Documents are drawn without replacement
+document's importance weight is the log ratio of its probability under both, tempered by the square root of its number of n-grams,
+since a sum over n-grams would let length decide among texts of one kind.  Documents are drawn without replacement
 by Gumbel top-k: each log weight gets Gumbel noise from a hash of its id, and the k largest are kept.
 
 Raw counts come from every document.  Target documents are those of at most ``LABELS`` labelled ids (in hash order;
@@ -95,6 +96,7 @@ def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 bucket, row = ngrams(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], len(ratio))
                 n[i:j] = np.bincount(row, minlength=j - i)
                 s[i:j] = np.bincount(row, weights=ratio[bucket], minlength=j - i)
+            s /= np.sqrt(np.maximum(n, 1))
             yield pa.record_batch([batch.column(0), pa.array(n), pa.array(s)], names=["doc_id", "n_grams", "log_weight"])
 
     return docs.mapInArrow(score, "doc_id long, n_grams long, log_weight double")
@@ -120,7 +122,7 @@ def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096) -> float
     return lo
 
 
-def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1 and coalesce(toxic, 0) = 0", most_labels: int = LABELS) -> DataFrame:
+def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", good: str = "quality = 1", most_labels: int = LABELS) -> DataFrame:
     """doc_id, n_grams, log_weight, gumbel_key and kept of each row."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ids, share = target_ids(labels, id_col, good, most_labels)
