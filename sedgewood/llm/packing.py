@@ -164,7 +164,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         for batch in batches:
             buf, offsets = buffers(batch.column(1))
             docs = batch.column(0).to_pylist()
-            for i, j in pieces(offsets, 2 << 20):
+            for i, j in pieces(offsets, 1 << 20):
                 ids, first = own.encode(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 raw, out = ids.astype("<u4").tobytes(), []
                 for r in range(j - i):
