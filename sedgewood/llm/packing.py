@@ -34,7 +34,7 @@ from sedgewood.llm.sharding import numbered
 CAPACITY, END_ID = 4096, 1
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 
 
 _SIMPLE = np.zeros(256, bool)  # bytes of words whose tokens can be counted without the tokenizer
