@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sedgewood.llm import _trie
+from sedgewood.llm import _trie, near_copies
 from sedgewood.llm._blocks import partitions
 from sedgewood.llm._state import connected_components, fresh, settle
 
@@ -114,8 +114,11 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 
 def dedup_stage(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each group: that of the smallest id, once.  Rows without an id stay."""
-    lost = components(df, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    """df with one row of each group of near copies: that of the smallest id, once.  Rows without an id stay.
+
+    The groups are those of ``near_copies``: pairs with five-word similarity of 0.8 are beyond the query's three bits.
+    """
+    lost = near_copies.components(df, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
     once = Window.partitionBy(id_col).orderBy(F.length(text_col), F.xxhash64(text_col))
     kept = df.join(lost, id_col, "left_anti")
     rank = fresh(df, "rank")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from sedgewood.llm import _trie, simhash, substring_dedup, suffix_dedup
+from sedgewood.llm import _trie, near_copies, simhash, substring_dedup, suffix_dedup
 from sedgewood.llm._state import connected_components
 
 
@@ -139,6 +139,51 @@ def test_simhash_awkward(awkward, nothing, documents):
     assert simhash.dedup_stage(documents).columns == documents.columns
 
 
+def five_word_sets(corpus):
+    out = {}
+    for i, t in corpus:
+        w = (t or "").lower().split()
+        out[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    return out
+
+
+def edited(rng, text, edits):
+    w = text.split()
+    for k in rng.choice(len(w), edits, replace=False):
+        w[k] = "edited"
+    return " ".join(w)
+
+
+def test_near_copies_match_brute_force(spark, corpus, nothing):
+    rng = np.random.default_rng(5)
+    rows = [(i, t) for i, t in corpus if i != 400]
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 500, 150)) for _ in range(12)]
+    for k, text in enumerate(base):
+        rows += [(1000 + 20 * k, text)] + [(1001 + 20 * k + j, edited(rng, text, 1 + j % 4)) for j in range(12)]
+    sets = five_word_sets(rows)
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.components(df).collect()}
+    assert got == {i: root(i) for i in sets}
+    kept = {r["doc_id"] for r in simhash.dedup_stage(df).collect()}
+    assert kept == {i for i in sets if root(i) == i}
+    # three bits of 64 do not reach these copies
+    fps = brute_components({i: fingerprint(t) for i, t in rows})
+    assert len({fps[i] for i in sets if i >= 1000}) > len({root(i) for i in sets if i >= 1000})
+    assert near_copies.components(nothing).count() == 0
+
+
 def test_trie_join_equals_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 62, 40).astype(np.uint64)
