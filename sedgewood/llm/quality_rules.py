@@ -4,8 +4,10 @@ Each line of a text is judged by itself; failing lines are removed, and a docume
 fails the base rules, is rejected.
 
 Line rules: navigation (two ``|`` or more), symbols (over a tenth of the line is ``#*$%&|<>``), shouting (three words
-or more, letters A-Z and none of a-z), fragment (no sentence end anywhere), boilerplate (holds one of ``BOILERPLATE``).
-Boilerplate is removed too, but a license line says nothing against the rest, so it does not count as lost text.
+or more, letters A-Z and none of a-z), fragment (no sentence end anywhere), boilerplate (holds one of ``BOILERPLATE``
+as words of its own, and has ``BOILER_WORDS`` words at most or a fifth of its characters in such phrases).
+Boilerplate is removed too, but a license line says nothing against the rest, so it does not count as lost text; only
+where over half of a text would go, boilerplate and failing lines together, ``clean_stage`` rejects the document.
 
 Base rules: fewer than 10 words, or over a fifth of the words in five-word windows that the text has twice or more.
 Windows are compared by 64-bit hash, within one text.
@@ -21,6 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from sedgewood.llm._state import fresh
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOSS_PERCENT, REPEAT_WINDOW = 10, 20, 20, 5
+#: Words of a line that one phrase makes boilerplate; percent of a text that may go with boilerplate.
+BOILER_WORDS, MAX_REMOVED_PERCENT = 20, 50
 
 #: Phrases of boilerplate lines, in lower case.
 BOILERPLATE = (
@@ -38,7 +42,11 @@ _FAILS = (
     f" or (not l rlike '[a-z]' and l rlike '[A-Z]' and l rlike '{_WORD}{_SPACE}+{_WORD}+{_SPACE}+{_WORD}')"
     r" or not l rlike '[.!?…]([\\s\"”»)]|$)')"
 )
-_BOILER = "(" + " or ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE) + ")"
+_PHRASE = r"(?i)\\b(" + "|".join(BOILERPLATE) + r")s?\\b"
+_BOILER = (
+    "((" + " or ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE) + f") and l rlike '{_PHRASE}'"
+    f" and (size(filter(split(l, '{_SPACE}+'), x -> x <> '')) <= {BOILER_WORDS} or 5 * (length(l) - length(regexp_replace(l, '{_PHRASE}', ''))) >= length(l)))"
+)
 
 
 def measured(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
@@ -83,8 +91,11 @@ def clean_stage(df: DataFrame, text_col: str = "text", chars_col: str | None = "
     """
     q = fresh(df, "q")
     kept = measured(df, text_col, q).where(f"{q}_kept")
-    cleaned = F.expr(f"array_join(filter(split({q}_t, '\\n'), l -> not l rlike '{_WORD}' or not ({_FAILS} or {_BOILER})), '\\n')")
+    # not deterministic, so that the filter on it is not pushed below and it is computed once
+    cleaned = F.expr(f"if(monotonically_increasing_id() < 0, null, array_join(filter(split({q}_t, '\\n'), l -> not l rlike '{_WORD}' or not ({_FAILS} or {_BOILER})), '\\n'))")
     out = kept.withColumn(text_col, cleaned)
+    left = f"aggregate(filter(split(`{text_col}`, '\\n'), l -> l rlike '{_WORD}'), 0L, (a, l) -> a + length(l))"
+    out = out.where(f"length(`{text_col}`) = length({q}_t) or 100 * ({q}.line_chars - {left}) <= {MAX_REMOVED_PERCENT} * {q}.line_chars")
     if chars_col in df.columns:
         out = out.withColumn(chars_col, F.length(text_col).cast(df.schema[chars_col].dataType))
     return out.select(*df.columns)

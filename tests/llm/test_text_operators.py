@@ -43,6 +43,19 @@ def test_quality_verdicts(spark):
     assert quality_rules.judge(df).where("n_repeat_words > 0").count() == 2
 
 
+def test_boilerplate_is_lines_not_documents(spark):
+    recipe = "Cream the butter with the sugar. Roll each cookie flat and set it on the tray. " + "Leave them to cool on a rack near the open window. Then dust all of them with the rest of the sugar."
+    program = "The page loads a script in JavaScript once the reader opens it. " + "It then asks the server for the rows that changed, and draws only these again, which is why the list stays quick."
+    notice = "We use cookies here. Read our cookie notice, the privacy policy and the terms of use, and subscribe or sign up for more, or click here now to go on."
+    word = "A cookiecutter of steel is what the baker took from the shelf today."
+    text = "The first line says something here. It goes on for a while, and says more of it.\nThe second line ends well too, after some more words of its own.\nA third one is here as well, so that most of the text is not the notice."
+    rows = [(1, recipe), (2, program), (3, text + "\n" + notice), (4, notice), (5, word), (6, "Please subscribe to our weekly letter and sign up with us today.\n\n\n"), (7, text + "\nClick here to subscribe.")]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in quality_rules.clean_stage(df).collect()}
+    # documents without any other text are rejected, not emptied
+    assert out == {1: recipe, 2: program, 3: text, 5: word, 7: text}
+
+
 def test_repeat_windows_by_hand(spark):
     df = spark.createDataFrame([(1, "a b c d e f a b c d e"), (2, "a a a a a a"), (3, "a b c d")], "doc_id long, text string")
     assert {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.judge(df).collect()} == {1: 10, 2: 6, 3: 0}
