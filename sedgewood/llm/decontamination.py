@@ -3,8 +3,9 @@
 Words lose punctuation and case; numbers, units after a number, and names (capitalised within a sentence) become typed
 placeholders.  Texts in another case are still found: an item's windows are also searched for with its names as words.  A document and a benchmark item that share a window of 13 such tokens (an item of 5 to 12 tokens: all of
 them) at least 7 of which (of a short item: half) are words, may hold the same question with other parameters.  The
-windows of one pair on one diagonal are then laid over each other, and the slots must agree: one value of the item
-always faces one value of the document, and the reverse.  Pairs that pass are leaks.
+windows of one pair that follow each other on one diagonal are then laid over each other, and the slots must agree: one
+value of the item always faces one value of the document, and the reverse.  Such runs are leaks.  Windows that agree
+word for word are leaks too, however few of their tokens are words and whatever the slots around them say.
 
 Documents are scanned once per block of benchmark windows.  A block has a bounded number of windows, so it can be sent
 to every task; a larger benchmark takes more blocks, not larger ones.  Tokens are compared by 64-bit hashes.
@@ -115,7 +116,7 @@ class Block:
 
     items: list
     item_tokens: list[tuple[np.ndarray, np.ndarray]]  # kind and value of each token
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # hash, item, place, bitmap of hashes
+    windows: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by length, and whether literal: hash, item, place, bitmap of hashes
 
 
 def build_block(items: list[tuple[object, str]]) -> Block:
@@ -139,28 +140,29 @@ def build_block(items: list[tuple[object, str]]) -> Block:
             (np.concatenate([[NAME], t.template[1:]]), enough & first & (t.kind[0] == 0)),
             # and in a text of another case, names look like words
             (np.where(t.kind == 3, t.value, t.template), with_name),
+            (t.value, np.ones(len(enough), bool)),
         ]
-        for template, ok in variants:
+        for k, (template, ok) in enumerate(variants):
             h = rolling(template, size)[ok]
-            for x, values in zip(found[size], (h, np.full(len(h), i), np.flatnonzero(ok)), strict=True):
+            for x, values in zip(found[size, k == len(variants) - 1], (h, np.full(len(h), i), np.flatnonzero(ok)), strict=True):
                 x.append(values)
     windows = {}
-    for size, parts in found.items():
+    for key, parts in found.items():
         h, item, place = (np.concatenate(x) for x in parts)
         order = np.argsort(h, kind="stable")
         bitmap = np.zeros(1 << 20, bool)
         bitmap[(h & _U((1 << 20) - 1)).astype(np.int64)] = True
-        windows[size] = (h[order], item[order], place[order], bitmap)
+        windows[key] = (h[order], item[order], place[order], bitmap)
     return Block([i for i, _ in items], own, windows)
 
 
 def find(t: Tokens, block: Block) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(row, item, first raw word, windows, slots, changed slots) of each consistent match in a piece."""
-    rows, items, shifts, places, sizes = [], [], [], [], []
-    for size, (h, item, place, bitmap) in block.windows.items():
+    """(row, item, first raw word, windows, slots, changed slots) of each consistent or literal run in a piece."""
+    rows, items, shifts, places, sizes, literals = [], [], [], [], [], []
+    for (size, literal), (h, item, place, bitmap) in block.windows.items():
         if len(t.template) < size:
             continue
-        own = rolling(t.template, size)
+        own = rolling(t.value if literal else t.template, size)
         at = np.flatnonzero(bitmap[(own & _U((1 << 20) - 1)).astype(np.int64)])
         at = at[t.row[at] == t.row[at + size - 1]]
         lo, hi = np.searchsorted(h, own[at]), np.searchsorted(h, own[at], "right")
@@ -172,23 +174,35 @@ def find(t: Tokens, block: Block) -> Iterator[tuple[int, int, int, int, int, int
         places.append(place[which])
         shifts.append(at - place[which])
         sizes.append(np.full(len(at), size))
+        literals.append(np.full(len(at), literal))
     if not rows or not sum(map(len, rows)):
         return
-    row, item, shift, place, size = (np.concatenate(x) for x in (rows, items, shifts, places, sizes))
+    row, item, shift, place, size, literal = (np.concatenate(x) for x in (rows, items, shifts, places, sizes, literals))
     order = np.lexsort((place, shift, item, row))
-    row, item, shift, place, size = row[order], item[order], shift[order], place[order], size[order]
+    row, item, shift, place, size, literal = row[order], item[order], shift[order], place[order], size[order], literal[order]
     new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])
+    # a run ends where a token lies in none of its windows
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (place[1:] > place[:-1] + size[:-1])
     edge = np.append(np.flatnonzero(new), len(row))
     for a, b in zip(edge[:-1], edge[1:], strict=True):
-        kind, value = block.item_tokens[item[a]]
-        covered = np.unique((place[a:b, None] + np.arange(size[a])).reshape(-1))
-        there = covered + shift[a]
-        slots = np.flatnonzero(kind[covered] > 0)
-        mine, theirs = value[covered[slots]].tolist(), t.value[there[slots]].tolist()
-        forth, back = dict(zip(mine, theirs, strict=True)), dict(zip(theirs, mine, strict=True))
-        if all(forth[m] == v and back[v] == m for m, v in zip(mine, theirs, strict=True)):
-            yield int(row[a]), int(item[a]), int(t.word[there[0]]), len(np.unique(place[a:b])), len(slots), sum(m != v for m, v in zip(mine, theirs, strict=True))
+        starts = place[a:b]
+        for own in (starts, starts[literal[a:b]]):  # all windows, else the literal ones alone
+            if len(own) and (slots := _slots(t, block.item_tokens[item[a]], own, int(size[a]), int(shift[a]))):
+                yield int(row[a]), int(item[a]), int(t.word[own[0] + shift[a]]), len(np.unique(own)), *slots
+                break
+
+
+def _slots(t: Tokens, item: tuple[np.ndarray, np.ndarray], places: np.ndarray, size: int, shift: int) -> tuple[int, int] | None:
+    """Slots and changed slots of an item's windows laid over the text, or None if they do not agree."""
+    kind, value = item
+    covered = np.unique((places[:, None] + np.arange(size)).reshape(-1))
+    mine, theirs = value[covered], t.value[covered + shift]
+    slots = kind[covered] > 0
+    mine, theirs = mine[slots].tolist(), theirs[slots].tolist()
+    forth, back = dict(zip(mine, theirs, strict=True)), dict(zip(theirs, mine, strict=True))
+    if all(forth[m] == v and back[v] == m for m, v in zip(mine, theirs, strict=True)):
+        return len(mine), sum(m != v for m, v in zip(mine, theirs, strict=True))
+    return None
 
 
 def blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Block]:

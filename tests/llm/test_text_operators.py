@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from sedgewood.llm import decontamination, importance, packing, quality_rules, queries, sharding, substring_dedup, suffix_dedup
@@ -187,6 +188,29 @@ def test_decontamination(spark, nothing, awkward):
     assert decontamination.decontaminate_stage(awkward, b).count() == 6
 
 
+def matches(text, *items):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    block = decontamination.build_block(list(enumerate(items)))
+    return {k: (slots, changed) for _, k, _, _, slots, changed in decontamination.find(decontamination.tokens(raw, np.array([0, len(raw)])), block)}
+
+
+def test_literal_windows_are_leaks():
+    sums = "12 + 30 = 42 , 5 kg + 7 kg = 12 kg , 3 + 4 = 7 , 8 kg - 2 kg = 6 kg , 9 - 1 = 8"
+    names = "the list of Anna Berg , Carl Dorn , Emil Fuchs , Greta Hahn , Ida Jung , Karl Lang , Maria Nolte"
+    short = "what is 12 times 30 5 7"
+    for item in (sums, names, short):
+        for text in (item, item.lower(), "before it " + item + " and after"):
+            assert matches(text, item), (item, text)
+    # a slot that disagrees far away does not veto what agrees word for word
+    long = "We saw 12 birds today. " + "then they flew over the wide green hills and down to the old mill by a river near our house " * 2 + "where all 12 of them slept."
+    assert matches(long.replace("12 of", "13 of"), long)
+    assert not matches(sums.replace("3 + 4 = 7", "4 + 4 = 8").replace("12 +", "13 +"), sums)
+    # nor does a run of its own
+    far = OTHER.replace("near a small lake", "by it") + " then something else happens for a while until it all ends here with some other words"
+    item = ITEM.replace("near a small lake", "at the") + " moment then something else happens for a while until it all ends with 12 other words in 40 lines"
+    assert matches(far, item)
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     items = [(i, f"item {i} has words that are only its own like {'abcdefghij'[i % 10] * 5} and {'klmnopqrst'[i % 10] * 4} in number ten") for i in range(10)]
     d = spark.createDataFrame(items, "doc_id long, text string")
