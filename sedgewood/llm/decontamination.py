@@ -7,6 +7,10 @@ windows of one pair that follow each other on one diagonal are then laid over ea
 value of the item always faces one value of the document, and the reverse.  Such runs are leaks.  Windows that agree
 word for word are leaks too, however few of their tokens are words and whatever the slots around them say.
 
+Whether a capitalised word that begins a sentence is a name cannot be seen there, so windows are compared in three
+forms: with such words as words, with those as names that the text also has as a name elsewhere, and with all of them
+as names.
+
 Documents are scanned once per block of benchmark windows.  A block has a bounded number of windows, so it can be sent
 to every task; a larger benchmark takes more blocks, not larger ones.  Tokens are compared by 64-bit hashes.
 
@@ -25,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sedgewood.llm._text import IS_SPACE, buffers, mix, pieces, rolling, span_hash, words
+from sedgewood.llm._text import IS_SPACE, MIX, buffers, mix, pieces, rolling, span_hash, words
 
 WINDOW, SHORTEST, MIN_WORDS = 13, 5, 7
 #: Most benchmark tokens in a block.
@@ -56,6 +60,7 @@ class Tokens:
     """Canonical tokens of a piece: template value, own hash, type (0 word, 1 number, 2 unit, 3 name), row and first of each row."""
 
     template: np.ndarray
+    leading: np.ndarray  # 1 for a capitalised word that begins a sentence, 2 if the row has it as a name elsewhere, else 0
     value: np.ndarray
     kind: np.ndarray
     word: np.ndarray  # number of the raw word within its row
@@ -85,7 +90,7 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> Tokens:
     rows = len(offsets) - 1
     if not len(w.start):
         z = np.zeros(0, np.int64)
-        return Tokens(np.zeros(0, np.uint64), np.zeros(0, np.uint64), z, z, z, np.zeros(rows + 1, np.int64))
+        return Tokens(np.zeros(0, np.uint64), z, np.zeros(0, np.uint64), z, z, z, np.zeros(rows + 1, np.int64))
     low, keep = _lowered(buf), _ALNUM[buf] & ~IS_SPACE[buf]
     value = span_hash(low, keep, w.start, w.end)
     kept = np.concatenate([[0], np.cumsum(keep)])
@@ -100,6 +105,7 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> Tokens:
     inside[1:] = (w.row[1:] == w.row[:-1]) & ~_STOP[buf[w.end[:-1] - 1]]
     some = letters > 0
     index = np.arange(len(head)) - w.first[w.row]
+    leads = (upper & ~inside)[some]
     value, number, name, row, index = value[some], number[some], (upper & inside)[some], w.row[some], index[some]
     place = np.minimum(np.searchsorted(_UNIT_HASHES, value), len(_UNIT_HASHES) - 1)
     unit = np.zeros(len(value), bool)
@@ -107,7 +113,20 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> Tokens:
     unit &= _UNIT_HASHES[place] == value
     kind = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0)))
     template = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, value)))
-    return Tokens(template, value, kind, index, row, np.searchsorted(row, np.arange(rows + 1)))
+    leading = (leads & (kind == 0)).astype(np.int64)
+    led, named = np.flatnonzero(leading), kind == 3
+    leading[led] += np.isin(mix(value[led] ^ (row[led].astype(np.uint64) * MIX)), mix(value[named] ^ (row[named].astype(np.uint64) * MIX)))
+    return Tokens(template, leading, value, kind, index, row, np.searchsorted(row, np.arange(rows + 1)))
+
+
+def forms(t: Tokens) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct (template, whether a word) of a piece: leading words as words, as names if known to be, as names."""
+    out = [(t.template, t.kind == 0)]
+    for least in (2, 1):
+        as_name = t.leading >= least
+        if as_name.any():
+            out.append((np.where(as_name, NAME, t.template), (t.kind == 0) & ~as_name))
+    return out
 
 
 @dataclass
@@ -115,7 +134,7 @@ class Block:
     """Windows of some benchmark items, by length of window: sorted hashes with item and place, and the items' tokens."""
 
     items: list
-    item_tokens: list[tuple[np.ndarray, np.ndarray]]  # kind and value of each token
+    item_tokens: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # kind, value and whether leading of each token
     windows: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by length, and whether literal: hash, item, place, bitmap of hashes
 
 
@@ -124,18 +143,21 @@ def build_block(items: list[tuple[object, str]]) -> Block:
     for i, (_, text) in enumerate(items):
         buf = np.frombuffer((text or "").encode(), np.uint8)
         t = tokens(buf, np.array([0, len(buf)]))
-        own.append((t.kind, t.value))
+        own.append((t.kind, t.value, t.leading > 0))
         n = len(t.value)
         if n < SHORTEST:
             continue
         size = min(WINDOW, n)
-        fixed = np.concatenate([[0], np.cumsum(t.kind == 0)])
-        enough = fixed[size:] - fixed[:-size] >= min(MIN_WORDS, -(-size // 2))
+        masked = []
+        for template, word in forms(t):
+            fixed = np.concatenate([[0], np.cumsum(word)])
+            masked.append((template, fixed[size:] - fixed[:-size] >= min(MIN_WORDS, -(-size // 2))))
+        enough = masked[0][1]
         named = np.concatenate([[0], np.cumsum(t.kind == 3)])
         with_name = named[size:] > named[:-size]
         first = np.arange(len(enough)) == 0
         variants = [
-            (t.template, enough),
+            *masked,
             # within a document, the item's first word may look like a name
             (np.concatenate([[NAME], t.template[1:]]), enough & first & (t.kind[0] == 0)),
             # and in a text of another case, names look like words
@@ -159,10 +181,13 @@ def build_block(items: list[tuple[object, str]]) -> Block:
 def find(t: Tokens, block: Block) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(row, item, first raw word, windows, slots, changed slots) of each consistent or literal run in a piece."""
     rows, items, shifts, places, sizes, literals = [], [], [], [], [], []
-    for (size, literal), (h, item, place, bitmap) in block.windows.items():
-        if len(t.template) < size:
+    masked = [x for x, _ in forms(t)]
+    looked = [(key, x) for key in block.windows for x in ([t.value] if key[1] else masked)]
+    for (size, literal), values in looked:
+        h, item, place, bitmap = block.windows[size, literal]
+        if len(values) < size:
             continue
-        own = rolling(t.value if literal else t.template, size)
+        own = rolling(values, size)
         at = np.flatnonzero(bitmap[(own & _U((1 << 20) - 1)).astype(np.int64)])
         at = at[t.row[at] == t.row[at + size - 1]]
         lo, hi = np.searchsorted(h, own[at]), np.searchsorted(h, own[at], "right")
@@ -192,12 +217,13 @@ def find(t: Tokens, block: Block) -> Iterator[tuple[int, int, int, int, int, int
                 break
 
 
-def _slots(t: Tokens, item: tuple[np.ndarray, np.ndarray], places: np.ndarray, size: int, shift: int) -> tuple[int, int] | None:
+def _slots(t: Tokens, item: tuple[np.ndarray, np.ndarray, np.ndarray], places: np.ndarray, size: int, shift: int) -> tuple[int, int] | None:
     """Slots and changed slots of an item's windows laid over the text, or None if they do not agree."""
-    kind, value = item
+    kind, value, leading = item
     covered = np.unique((places[:, None] + np.arange(size)).reshape(-1))
     mine, theirs = value[covered], t.value[covered + shift]
-    slots = kind[covered] > 0
+    # a leading word is a slot where it differs
+    slots = (kind[covered] > 0) | (leading[covered] & (mine != theirs))
     mine, theirs = mine[slots].tolist(), theirs[slots].tolist()
     forth, back = dict(zip(mine, theirs, strict=True)), dict(zip(theirs, mine, strict=True))
     if all(forth[m] == v and back[v] == m for m, v in zip(mine, theirs, strict=True)):

@@ -211,6 +211,19 @@ def test_literal_windows_are_leaks():
     assert matches(far, item)
 
 
+def test_names_that_begin_sentences():
+    tom = "Tom has 5 apples in a basket. Tom gives 2 of these to Ben. Tom then eats 1 of those left over. How many apples are in the basket now?"
+    anna = tom.replace("Tom", "Anna").replace("Ben", "Lea").replace("5", "3").replace("2", "6")
+    for text in (anna, "Some words before it. " + anna + " And after.", "A question: " + anna):
+        assert matches(text, tom)[0][1] >= 4, text
+    assert not matches(anna.replace("Anna then", "Carl then").replace("Anna gives", "Emil gives").replace("1 of", "4 of"), tom)  # one name faces three
+    # known from within a sentence, so that the other leading words stay words
+    short = "Tom has 5 red apples and 3 of Tom's are bad. Tom eats them all. Every day Tom buys 2. Who sells them to him so cheap?"
+    assert matches(short.replace("Tom", "Anna").replace("5", "9"), short)
+    # the leading words of sentences that share nothing else are no leak
+    assert not matches("The cat sat there. A dog ran off. It was late now. So we went home. Then we slept well.", tom)
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     items = [(i, f"item {i} has words that are only its own like {'abcdefghij'[i % 10] * 5} and {'klmnopqrst'[i % 10] * 4} in number ten") for i in range(10)]
     d = spark.createDataFrame(items, "doc_id long, text string")
