@@ -1,8 +1,10 @@
 """Main text of pages by site template removal.
 
 Every container element of a page (all but prose such as paragraphs, headings and list items) is a subtree with a hash
-of its markup and text.  Hashes are counted per host, once a page; a subtree that ``MIN_PAGES`` pages of its host share
-belongs to the site's template and is deleted from each of them, unless it holds over half of the page's text.  What
+of its markup and text.  Hashes are counted per host, once a page; a subtree that ``MIN_PAGES`` different pages of its
+host share belongs to the site's template and is deleted from each of them, unless it holds over half of the page's
+text.  Pages are different if the texts of their articles are (or of the whole pages, where they have none), so an
+article that is copied, under whatever urls and menus, counts once and loses nothing.  What
 remains is the text of the page's article (or main) elements, or of the body where it has none, without the elements
 that HTML itself marks as no content (menus, headers, footers, asides, forms, and so on), which a host with few pages
 cannot tell by counting.
@@ -11,7 +13,7 @@ Only (host, hash) pairs are shuffled to be counted, with partial sums before, an
 pages travel once, as compressed blocks of text.
 
 Defined cases: null html is empty and gives an empty text; a null url has the empty host; null ids are carried along;
-repeated rows count as pages and give equal rows; an empty table gives an empty result; other columns are not looked at.
+repeated rows count as one page and give equal rows; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from sedgewood.llm._html import read
 from sedgewood.llm.url_filters import host_of
 
 MIN_PAGES = 4
-_READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("key", pa.int64()), ("hashes", pa.list_(pa.int64())), ("payload", pa.binary())])
+_READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("key", pa.int64()), ("content", pa.int64()), ("hashes", pa.list_(pa.int64())), ("payload", pa.binary())])
 _OUT = "page_id long, url string, text string, n_chars long"
 
 
@@ -38,7 +40,7 @@ def _clean(text: str) -> str:
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, host, key (of the page's content), hashes of its subtrees, and its blocks as payload."""
+    """page_id, url, host, key (of the row), content (hash of the article's text), hashes of its subtrees, and its blocks as payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,19 +52,21 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
                     doomed = [2 * s <= total for s in page.sizes]
                     blocks = [[_clean(b), [page.hashes[c] for c in cs if doomed[c]], int(inside), int(excluded)] for b, cs, inside, excluded in page.blocks]
                     key = xxhash.xxh64_intdigest(f"{page_id}\0{url}\0{html}".encode("utf-8", "surrogatepass")) - (1 << 63)
+                    article = "\n".join(b[0] for b in blocks if b[2] and not b[3]) or "\n".join(b[0] for b in blocks)
+                    content = xxhash.xxh64_intdigest(article.encode("utf-8", "surrogatepass")) - (1 << 63)
                     # a payload that does not squeeze into less than its page is rare and harmless
-                    out.append({"page_id": page_id, "url": url, "host": host, "key": key, "hashes": list({h for h, d in zip(page.hashes, doomed, strict=True) if d}), "payload": squeeze(json.dumps(blocks, ensure_ascii=False).encode("utf-8", "surrogatepass"))})
+                    out.append({"page_id": page_id, "url": url, "host": host, "key": key, "content": content, "hashes": list({h for h, d in zip(page.hashes, doomed, strict=True) if d}), "payload": squeeze(json.dumps(blocks, ensure_ascii=False).encode("utf-8", "surrogatepass"))})
                 yield pa.RecordBatch.from_pylist(out, _READ)
 
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    return slim.mapInArrow(run, "page_id long, url string, host string, key long, hashes array<long>, payload binary")
+    return slim.mapInArrow(run, "page_id long, url string, host string, key long, content long, hashes array<long>, payload binary")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, url, text and n_chars of each row."""
-    subtrees = parsed(pages, id_col, url_col, html_col).select("key", "host", F.explode("hashes").alias("hash"))
-    template = subtrees.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "hash")
-    hits = subtrees.distinct().join(template, ["host", "hash"], "left_semi").groupBy("key").agg(F.collect_set("hash").alias("gone"))
+    subtrees = parsed(pages, id_col, url_col, html_col).select("key", "host", "content", F.explode("hashes").alias("hash"))
+    template = subtrees.groupBy("host", "hash").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= min_pages).select("host", "hash")
+    hits = subtrees.select("key", "host", "hash").distinct().join(template, ["host", "hash"], "left_semi").groupBy("key").agg(F.collect_set("hash").alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

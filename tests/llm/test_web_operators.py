@@ -34,6 +34,18 @@ def test_copied_articles_stay(spark):
     assert {r["text"] for r in html_extraction.extract(df).collect()} == {"The same article."}
 
 
+def test_copied_articles_keep_their_parts(spark):
+    body = "<nav>n</nav><article><section><p>First part of it.</p></section><ul><li>An item</li></ul><section><p>Last part of it.</p></section></article>"
+    ad = "<div>Buy at our shop</div>"
+    pages = [page(i, "a.example.com", f"<div>menu {i}</div>{body}", f"/en/{i % 5}") for i in range(9)]
+    # what different pages share goes, though most of them have copies
+    pages += [page(20 + i, "b.example.com", f"<div><p>A page of its own, number {i // 2}, with text.</p></div>{ad}") for i in range(8)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(df).collect()}
+    assert {got[i] for i in range(9)} == {"First part of it.\nAn item\nLast part of it."}
+    assert [got[20 + i] for i in range(8)] == [f"A page of its own, number {i // 2}, with text." for i in range(8)]
+
+
 def test_reader_closes_what_is_open():
     blocks = [b[0] for b in read("<ul><li>one<li>two</ul><p>three<div>four</div>five<!-- no --><style>p{}</style>").blocks]
     assert blocks == ["one", "two", "three", "four", "five"]
