@@ -1,10 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing over words.
+"""Substring dedup by a fingerprint join of 50-word windows.
 
-Each document is factored greedily against the index of all reference blocks: a factor starts where the next 50 words
-are a reference string, that is, start in a document with a smaller id, and grows word by word while that stays so.
-The parse stops at a factor boundary where the following window is no reference string; windows across a boundary are
-looked up one by one, so a repeat that two factors share is not lost.  Factors have 50 words at least, and their words
-are the duplicate spans.
+A window is a duplicate if it also starts in a document with a smaller id; the words of a document's duplicate windows
+are its duplicate spans.  This takes the place of a greedy relative Lempel-Ziv parse, whose factors are just the runs of
+such windows: looking all windows up at once gives the same spans and needs one exchange between blocks, where a parse
+would ask for the next window only after the last answer.
 
 The index is held by bucket of the window's fingerprint.  A block sends each distinct window whose anchor another
 document has (``_anchors``) once, with the smallest id it has there; the bucket finds the smallest id over all blocks.
