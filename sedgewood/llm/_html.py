@@ -1,7 +1,8 @@
-"""A forgiving HTML reader: blocks of text with the elements they lie in.
+"""A forgiving HTML reader: blocks of text, and the elements as ranges of them.
 
-It reads tags, comments, and the raw bodies of scripts and styles; closes what a start tag implies closed; and keeps,
-for each block of text, which candidate elements enclose it.  It is no browser: tables and lists are plain blocks.
+It reads tags, comments, and the raw bodies of scripts and styles, and closes what a start tag implies closed.  An
+element's hash is made from its tags, its text and the hashes of the elements in it, so a page is read in time linear in
+its length, however deep its elements lie and whatever stays open.  It is no browser: tables and lists are plain blocks.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from dataclasses import dataclass, field
 
 import xxhash
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+_ENDS = re.compile("[>\"']")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 #: Element kinds.
@@ -21,7 +23,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd caption figcaption summary address td th tr tbody thead tfoot table article main body html".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd caption figcaption summary address td th tr tbody thead tfoot table body html".split())
 EXCLUDED = frozenset("nav header footer aside form head button dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 LABELS = frozenset(
@@ -37,117 +39,221 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "
 _SCOPES = frozenset("table ul ol dl article section div main body html aside nav footer header form blockquote figure".split())
 
 
+#: Kinds of elements that a page keeps: a container, main, an article, an article whose labels speak against it.
+CONTAINER, MAIN, ARTICLE, SUSPECT = range(4)
+
+
 @dataclass
 class Element:
     tag: str
-    start: int
+    first: int  # number of its first block
     excluded: bool
-    main: bool
-    candidate: int = -1  # number among the candidates
-    words: int = 0
+    kind: int = -1
+    place: int = -1  # among the page's elements
+    state: object = None  # running hash of what it holds
+    form_main: bool = False  # a form that holds an article or main
 
 
 @dataclass
 class Page:
-    blocks: list[tuple[str, tuple[int, ...], bool, bool]] = field(default_factory=list)  # text, enclosing candidates, in the article, excluded
-    hashes: list[int] = field(default_factory=list)  # of the candidates' markup and content
-    sizes: list[int] = field(default_factory=list)  # characters of text below each candidate
+    """Blocks of text that no excluded element holds, and the elements as ranges of blocks, outer ones first."""
+
+    blocks: list[str] = field(default_factory=list)
+    elements: list[tuple[int, int, int, int]] = field(default_factory=list)  # first block, block after the last, kind, hash of markup and content
 
 
-def _is_excluded(tag: str, attrs: str) -> bool:
-    if tag in EXCLUDED:
-        return True
+def _labelled(attrs: str) -> tuple[bool, bool]:
+    """Whether the attributes hide an element, and whether its class, id or role names something that is no content."""
+    hidden = named = False
     if attrs and ("=" in attrs or "hidden" in attrs.lower()):
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
-            if name == "hidden" and value in ("", "hidden", "true") or name == "aria-hidden" and value == "true":
-                return True
+            hidden |= name == "hidden" and value in ("", "hidden", "true") or name == "aria-hidden" and value == "true"
             labels = _LABEL.findall(value) if name in ("class", "id") else []
-            if name == "role" and value in ROLES or not LABELS.isdisjoint(labels) or any(s in x for x in labels for s in STEMS):
-                return tag not in ("html", "body", "article", "main")
-    return False
+            named |= name == "role" and value in ROLES or not LABELS.isdisjoint(labels) or any(s in x for x in labels for s in STEMS)
+    return hidden, named
 
 
-def read(html: str) -> Page:
-    page, stack, text = Page(), [], []
-    at, n = 0, len(html)
-    open_candidates: list[int] = []
-    excluded = main = 0
-
-    def flush() -> None:
-        if text:
-            body = "".join(text)
-            text.clear()
-            if body and not body.isspace():
-                page.blocks.append((body, tuple(open_candidates), main > 0, excluded > 0))
-                for c in open_candidates:
-                    page.sizes[c] += len(body)
-
-    def close(e: Element, end: int) -> None:
-        nonlocal excluded, main
-        excluded -= e.excluded
-        main -= e.main
-        if e.candidate >= 0:
-            open_candidates.remove(e.candidate)
-            page.hashes[e.candidate] = xxhash.xxh64_intdigest(html[e.start : end].encode("utf-8", "surrogatepass")) - (1 << 63)
-
-    def pop_to(k: int, end: int) -> None:
-        while len(stack) > k:
-            close(stack.pop(), end)
-
-    while at < n:
-        m = _TAG.search(html, at)
-        if m is None:
-            text.append(html[at:])
-            break
-        if m.start() > at:
-            text.append(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag, attrs = m[2].lower(), m[3] or ""
-        if m[1]:  # end tag
-            if tag in BLOCK:
-                flush()
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), -1)
-            if k >= 0:
-                pop_to(k, at)
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
-            continue
-        if tag in VOID:
-            if tag in BLOCK:
-                flush()
+class _Reader:
+    """One pass over a page; each character, tag and element is handled a bounded number of times."""
+
+    def __init__(self, html: str):
+        self.html, self.at = html, 0
+        self.stack: list[Element] = []
+        self.scopes: list[dict[str, int]] = [{}]  # open elements by tag since each enclosing scope
+        self.open: dict[str, int] = {}
+        self.text: list[str] = []
+        self.blocks: list[str] = []
+        self.elements: list[list] = []
+        self.gone: list[tuple[int, int]] = []  # blocks of excluded elements
+        self.holders: list[Element] = []  # open elements with a hash
+        self.muted = self.mains = 0  # open inline elements that are excluded; open articles and mains
+        self.quoted = True
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag that is open at ``at`` ends, past its ``>``; quotes count until one of them stays open."""
+        html, k = self.html, at
+        while self.quoted:
+            m = _ENDS.search(html, k)
+            if m is None:
+                self.quoted = False
+            elif m[0] == ">":
+                return m.end()
             else:
-                text.append(" ")
-            continue
-        if tag in ("td", "th"):
-            text.append(" ")
-            continue
+                k = html.find(m[0], m.end()) + 1
+                self.quoted = k > 0
+        return html.find(">", at) + 1
+
+    def flush(self) -> None:
+        if self.text:
+            body = "".join(self.text)
+            self.text.clear()
+            if body and not body.isspace():
+                self.blocks.append(body)
+
+    def say(self, raw: str) -> None:
+        if self.holders:
+            self.holders[-1].state.update(raw.encode("utf-8", "surrogatepass"))
+
+    def push(self, e: Element) -> None:
+        self.stack.append(e)
+        self.open[e.tag] = self.open.get(e.tag, 0) + 1
+        self.scopes[-1][e.tag] = self.scopes[-1].get(e.tag, 0) + 1
+        if e.tag in _SCOPES:
+            self.scopes.append({})
+
+    def pop(self) -> None:
+        e = self.stack.pop()
+        if e.tag in _SCOPES:
+            self.scopes.pop()
+        self.open[e.tag] -= 1
+        self.scopes[-1][e.tag] -= 1
+        if e.kind < 0:
+            if e.tag not in BLOCK:
+                self.muted -= e.excluded
+            elif e.excluded:
+                self.exclude(e)
+            return
+        self.mains -= e.kind != CONTAINER
+        self.holders.pop()
+        digest = e.state.digest()
+        if self.holders:
+            self.holders[-1].state.update(digest)
+        self.elements[e.place][1:] = [len(self.blocks), e.kind, int.from_bytes(digest, "big") - (1 << 63)]
+        if e.excluded:
+            self.exclude(e)
+
+    def exclude(self, e: Element) -> None:
+        if len(self.blocks) > e.first and not e.form_main:
+            self.gone.append((e.first, len(self.blocks)))
+
+    def pop_to(self, k: int) -> None:
+        while len(self.stack) > k:
+            self.pop()
+
+    def end_tag(self, tag: str) -> None:
         if tag in BLOCK:
-            flush()
-            shut = _CLOSES.get(tag, set()) | {"p"} if tag not in ("p",) else {"p"}
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].tag in shut:
-                    pop_to(i, m.start())
-                    break
-                if stack[i].tag in _SCOPES and not (stack[i].tag == "head" and tag == "body"):
-                    break
-            e = Element(tag, m.start(), _is_excluded(tag, attrs), tag in ("article", "main"))
-            if tag not in PROSE:
-                e.candidate = len(page.hashes)
-                page.hashes.append(0)
-                page.sizes.append(0)
-                open_candidates.append(e.candidate)
-            stack.append(e)
-            excluded += e.excluded
-            main += e.main
-        elif attrs and _is_excluded(tag, attrs) or tag in EXCLUDED:
-            e = Element(tag, m.start(), True, False)
-            stack.append(e)
-            excluded += 1
-    flush()
-    pop_to(0, n)
-    return page
+            self.flush()
+        if self.open.get(tag):
+            k = len(self.stack) - 1
+            while self.stack[k].tag != tag:
+                k -= 1
+            self.pop_to(k)
+
+    def start_tag(self, tag: str, attrs: str, raw: str) -> None:
+        if tag in VOID or tag in ("td", "th"):
+            self.text.append(" ")
+            return
+        hidden, named = _labelled(attrs)
+        if tag not in BLOCK:
+            if hidden or named or tag in EXCLUDED:
+                self.push(Element(tag, len(self.blocks), True))
+                self.muted += 1
+            return
+        self.flush()
+        shut = _CLOSES.get(tag, frozenset()) | {"p"}
+        inner = self.scopes[-1]
+        if any(inner.get(t) for t in shut) or tag == "body" and self.open.get("head"):
+            k = len(self.stack) - 1
+            while self.stack[k].tag not in shut:
+                k -= 1
+            self.pop_to(k)
+        article = tag in ("article", "main")
+        # the heading of an article is its own; labels of a page or an article say nothing about its text
+        excluded = hidden or tag in EXCLUDED and not (tag == "header" and self.mains) or named and not article and tag not in ("html", "body")
+        e = Element(tag, len(self.blocks), excluded)
+        if tag not in PROSE:
+            e.kind = (SUSPECT if named else ARTICLE) if tag == "article" else MAIN if article else CONTAINER
+            e.place, e.state = len(self.elements), xxhash.xxh64(raw.encode("utf-8", "surrogatepass"))
+            self.elements.append([e.first, e.first, e.kind, 0])
+            self.holders.append(e)
+            if article:
+                self.mains += 1
+                for outer in self.stack if self.open.get("form") else ():
+                    outer.form_main |= outer.tag == "form"
+        self.push(e)
+
+    def read(self) -> Page:
+        html, n = self.html, len(self.html)
+        while self.at < n:
+            lt = html.find("<", self.at)
+            if lt < 0:
+                lt = n
+            m = _NAME.match(html, lt + 1) if lt < n else None
+            if m is None and lt < n and html[lt + 1 : lt + 2] not in ("!", "?"):
+                lt += 1  # a lone < is text
+                if self.at < lt:
+                    self.words(html[self.at : lt])
+                self.at = lt
+                continue
+            if self.at < lt:
+                self.words(html[self.at : lt])
+            if lt == n:
+                break
+            if m is None:
+                close = html.find("-->", lt + 4) + 3 if html.startswith("<!--", lt) else html.find(">", lt) + 1
+                self.at = close if close > 2 else n
+                continue
+            end = self.tag_end(m.end())
+            if not end:  # a tag that never ends is text, and so is all after it
+                self.words(html[lt:])
+                break
+            raw, tag = html[lt:end], m[0].lower()
+            self.at = end
+            if tag[0] == "/":
+                self.say(raw)
+                self.end_tag(tag[1:])
+            elif tag in RAW:
+                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, end)
+                self.at = close.end() if close else n
+            else:
+                if tag in BLOCK and tag not in PROSE:
+                    self.start_tag(tag, html[m.end() : end - 1], raw)
+                else:
+                    self.say(raw)
+                    self.start_tag(tag, html[m.end() : end - 1], raw)
+        self.flush()
+        self.pop_to(0)
+        return self.page()
+
+    def words(self, raw: str) -> None:
+        self.say(raw)
+        if not self.muted:
+            self.text.append(raw)
+
+    def page(self) -> Page:
+        left = [0] * (len(self.blocks) + 1)
+        for a, b in self.gone:
+            left[a] += 1
+            left[b] -= 1
+        depth, place, blocks = 0, [0] * (len(left)), []
+        for i, block in enumerate(self.blocks):
+            depth += left[i]
+            if not depth:
+                blocks.append(block)
+            place[i + 1] = len(blocks)
+        return Page(blocks, [(place[a], place[b], kind, h) for a, b, kind, h in self.elements if place[a] < place[b]])
+
+
+def read(html: str) -> Page:
+    return _Reader(html).read()

@@ -47,8 +47,82 @@ def test_copied_articles_keep_their_parts(spark):
 
 
 def test_reader_closes_what_is_open():
-    blocks = [b[0] for b in read("<ul><li>one<li>two</ul><p>three<div>four</div>five<!-- no --><style>p{}</style>").blocks]
+    blocks = read("<ul><li>one<li>two</ul><p>three<div>four</div>five<!-- no --><style>p{}</style>").blocks
     assert blocks == ["one", "two", "three", "four", "five"]
+    assert read("<p>a <span class=ad>buy</span> b <button>ok</button></p>c < d<b").blocks == ["a  b ", "c < d<b"]
+
+
+def text_of(html):
+    p = read(html)
+    return html_extraction.main_text([html_extraction._clean(b) for b in p.blocks], p.elements, set())
+
+
+def test_main_text_is_chosen_by_its_length():
+    body = "<p>" + "Words of the post itself, and more of them. " * 5 + "</p>"
+    plain = text_of(body)
+    assert text_of(f"<div class='post'>{body}</div><article class='promo-card'><p>Read also</p></article>") == plain
+    assert text_of(f"<article>{body}</article><article><p>A teaser.</p></article>") == plain
+    assert text_of(f"<article><header><h1>Title</h1></header>{body}<footer>f</footer></article>") == "Title\n" + plain
+    assert text_of(f"<main><div>Intro</div><article class='has-comments'>{body}</article></main>") == plain
+    assert text_of(f"<form id='page'><article>{body}</article></form><form>search</form>") == plain
+    assert text_of("<article><p>One here.</p></article>" * 5) == "\n".join(["One here."] * 5)
+
+
+def test_pages_are_read_in_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for html in ("<div>" * 30_000 + "x", "<a " * 50_000, '<a " ' * 50_000 + ">", "<div><p>a<div>" + "<h1>" * 30_000, "<div>" * 20_000 + "</x>" * 20_000, "< " * 50_000, "<!-- " * 50_000, "<ul>" + "<li>a" * 30_000):
+        read(html)
+    assert time.perf_counter() - start < 10
+
+
+def site():
+    """Pages without an article: an own text, site parts that recur (a menu, an imprint, a box on some pages), copies and recrawls."""
+    rows, menu = [], "<div><ul><li><a href='/a'>Home</a></li><li><a>About us</a></li></ul></div>"
+    for i in range(12):
+        box = "<section><p>Only some pages have this box.</p></section>" if i < 5 else ""
+        twice = "<section><p>Few pages share this note.</p></section>" if i in (7, 8, 9) else ""
+        own = f"<div><p>Text number {i} is long enough to be the larger part of all there is, as it says so twice: number {i}.</p></div><div><p>End {i}.</p></div>"
+        rows.append(page(i, "a.example.com", f"{menu}{box}{twice}{own}<div>Imprint of the site</div>", f"/en/{i}"))
+    two = "<div><p>The first section of a page that is held many times.</p></div><div><p>And the second section of it, of a like length.</p></div>"
+    rows += [page(100 + i, "b.example.com", two, "/en/1") for i in range(4)]  # crawled four times
+    rows += [page(110 + i, "c.example.com", two, f"/en/{i}") for i in range(4)]  # copied under four urls
+    return rows
+
+
+def test_templates_match_brute_force(spark):
+    rows = site()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    own = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seen, texts = {}, {}
+    for i, url, html in rows:
+        p = read(html)
+        texts[i] = "\n".join(html_extraction._clean(b) for b in p.blocks)
+        for e in p.elements:
+            seen.setdefault((url.split("/")[2], e[3]), set()).add(texts[i])
+    gone = {k for k, v in seen.items() if len(v) >= 4}
+    expected = {}
+    for i, url, html in rows:
+        p = read(html)
+        blocks = [html_extraction._clean(b) for b in p.blocks]
+        total, lost = sum(map(len, blocks)), set()
+        for a, b, _, h in p.elements:
+            if (url.split("/")[2], h) in gone and 2 * sum(map(len, blocks[a:b])) <= total:
+                lost |= set(range(a, b))
+        expected[i] = "\n".join(b for k, b in enumerate(blocks) if k not in lost)
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(df).collect()}
+    assert got == expected
+    # the hashes decide: without them menus, boxes and imprints stay
+    without = {r["page_id"]: r["text"] for r in html_extraction.extract(own, min_pages=10**9).collect()}
+    for i in range(12):
+        assert "Home" in without[i] and "Imprint" in without[i] and got[i].startswith("Few pages" if i in (7, 8, 9) else "Text number")
+        assert ("some pages" in without[i]) == (i < 5) and "some pages" not in got[i]
+    for i in (*range(100, 104), *range(110, 114)):
+        assert got[i] == without[i] and "first section" in got[i] and "second section" in got[i]
+    # a share of the host's pages, not a number alone
+    share = {r["page_id"]: r["text"] for r in html_extraction.extract(own, share=2).collect()}
+    assert "some pages" in share[0] and "Imprint" not in share[0]
 
 
 def web(spark):
@@ -94,5 +168,5 @@ def test_scores_sum_to_one(spark):
 
 
 def test_marked_elements_are_excluded():
-    kept = [b[0] for b in read("<article><p>a</p><div id='userComments'><p>b</p></div><p class='cookiebar'>c</p><section class='post body'>d</section><form>e</form><p hidden>f</p><div role=banner>g</div></article>").blocks if not b[3]]
+    kept = read("<article><p>a</p><div id='userComments'><p>b</p></div><p class='cookiebar'>c</p><section class='post body'>d</section><form>e</form><p hidden>f</p><div role=banner>g</div></article>").blocks
     assert kept == ["a", "d"]
