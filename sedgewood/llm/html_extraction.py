@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from sedgewood.llm._blocks import partitions, squeeze, unsqueeze
 from sedgewood.llm._html import CONTAINER, MAIN, SUSPECT, read
-from sedgewood.llm._state import settle
 from sedgewood.llm.url_filters import host_of
 
 MIN_PAGES, SHARE = 4, 100
@@ -115,7 +114,7 @@ def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
 
 def templates(subtrees: DataFrame, min_pages: int = MIN_PAGES, share: int = SHARE) -> DataFrame:
     """(host, hash) of the subtrees(host, content, hash) that belong to a template; every page has a row with hash 0."""
-    counted = settle(subtrees.groupBy("host", "hash").agg(F.count_distinct("content").alias("n")).where(f"hash = 0 or n >= {min_pages}"))
+    counted = subtrees.groupBy("host", "hash").agg(F.count_distinct("content").alias("n")).where(f"hash = 0 or n >= {min_pages}")
     whole = counted.where("hash = 0").select("host", F.col("n").alias("pages"))
     return counted.where("hash <> 0").join(whole, "host").where(f"{share} * n >= pages").select("host", "hash")
 
@@ -130,7 +129,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield batch.select(["key", "host", "content", "hashes"])
 
     listed = found.mapInArrow(split, "key long, host string, content long, hashes array<long>")
-    subtrees = settle(listed.select("key", "host", "content", F.explode(F.concat(F.array(F.lit(0)), "hashes")).alias("hash")))
+    subtrees = listed.select("key", "host", "content", F.explode(F.concat(F.array(F.lit(0)), "hashes")).alias("hash"))
     hits = subtrees.where("hash <> 0").select("key", "host", "hash").join(templates(subtrees, min_pages, share), ["host", "hash"], "left_semi").groupBy("key").agg(F.collect_set("hash").alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
