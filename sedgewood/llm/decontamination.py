@@ -1,39 +1,44 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words lose punctuation and case; numbers, units after a number, and names (capitalised within a sentence) become typed
-placeholders.  Texts in another case are still found: an item's windows are also searched for with its names as words.  A document and a benchmark item that share a window of 13 such tokens (an item of 5 to 12 tokens: all of
-them) at least 7 of which (of a short item: half) are words, may hold the same question with other parameters.  The
-windows of one pair that follow each other on one diagonal are then laid over each other, and the slots must agree: one
-value of the item always faces one value of the document, and the reverse.  Such runs are leaks.  Windows that agree
-word for word are leaks too, however few of their tokens are words and whatever the slots around them say.
-
-Whether a capitalised word that begins a sentence is a name cannot be seen there, so windows are compared in three
-forms: with such words as words, with those as names that the text also has as a name elsewhere, and with all of them
-as names.
-
-Documents are scanned once per block of benchmark windows.  A block has a bounded number of windows, so it can be sent
-to every task; a larger benchmark takes more blocks, not larger ones.  Tokens are compared by 64-bit hashes.
+Words lose punctuation and case; numbers (digits or number words), units after a number, and names (capitalised within a
+sentence, a run of them as one) become typed placeholders.  A document and a benchmark item that share a window of 13
+such tokens (a shorter item: all of them) at least 7 of which (of a shorter item: half) are words, may hold the same
+question with other parameters.  The windows of one pair that follow each other on one diagonal are then laid over each
+other, and the slots must agree: one value of the item always faces one value of the document, and the reverse.  Such
+runs are leaks.  Windows that agree word for word are leaks too, however few of their tokens are words and whatever the
+slots around them say, so every item has an exact way; an item of one or two tokens is one only as a whole document.
+
+Whether a capitalised word is a name cannot always be seen, so windows are made in five forms: all tokens as they are;
+with numbers and units masked, and names as words (which finds texts in another case); and with names masked too, where
+capitalised words that begin a sentence are words, or names if the text also has them as a name, or all names.
+
+Windows of benchmark and documents meet in a hash join.  Documents only send windows that pass a Bloom filter of the
+benchmark's, whose size follows the benchmark up to ``MOST_BITS``; beyond that it lets more windows through, and the
+join still decides.  Each window carries its slots' values, so slots are compared on what the join returns, a row for
+each window that matched.  No benchmark text reaches the driver.  Tokens are compared by 64-bit hashes.
 
 Defined cases: a null text has no tokens and matches nothing; null ids are carried along; repeated rows are reported
-each; items of fewer than 5 tokens are not searched for; empty tables give an empty result; other columns are carried
-along by ``decontaminate_stage``, whatever their names.
+each, items without an id as one item; empty tables give an empty result; other columns are carried along by
+``decontaminate_stage``, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from sedgewood.llm._blocks import partitions
+from sedgewood.llm._state import fresh, settle
 from sedgewood.llm._text import IS_SPACE, MIX, buffers, mix, pieces, rolling, span_hash, words
 
-WINDOW, SHORTEST, MIN_WORDS = 13, 5, 7
-#: Most benchmark tokens in a block.
-BLOCK_TOKENS = 1_000_000
+WINDOW, SHORTEST, MIN_WORDS = 13, 3, 7
+#: Bits of the filter for each benchmark window, and the fewest and most bits that it has.
+BITS, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 28
 
 #: Units, in lower case.
 UNITS = (
@@ -43,6 +48,14 @@ UNITS = (
     "degree", "degrees", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilogram", "kilograms", "mph", "kmh", "hz", "w", "kw", "v", "j", "n",
 )
 
+#: Number words, in lower case, with their digits.
+NUMBERS = (
+    ("zero", "0"), ("one", "1"), ("two", "2"), ("three", "3"), ("four", "4"), ("five", "5"), ("six", "6"), ("seven", "7"), ("eight", "8"), ("nine", "9"),
+    ("ten", "10"), ("eleven", "11"), ("twelve", "12"), ("thirteen", "13"), ("fourteen", "14"), ("fifteen", "15"), ("sixteen", "16"), ("seventeen", "17"),
+    ("eighteen", "18"), ("nineteen", "19"), ("twenty", "20"), ("thirty", "30"), ("forty", "40"), ("fifty", "50"), ("sixty", "60"), ("seventy", "70"),
+    ("eighty", "80"), ("ninety", "90"), ("hundred", "100"), ("thousand", "1000"), ("million", "1000000"),
+)
+
 _U = np.uint64
 NUM, UNIT, NAME = (mix(np.array([x], np.uint64))[0] for x in (1, 2, 3))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -83,6 +96,7 @@ def _hash_of(word: str) -> np.uint64:
 
 
 _UNIT_HASHES = np.sort(np.array([_hash_of(u) for u in UNITS], np.uint64))
+_NUMBER_HASHES, _NUMBER_VALUES = (np.array(x, np.uint64) for x in zip(*sorted((int(_hash_of(w)), int(_hash_of(d))) for w, d in NUMBERS), strict=True))
 
 
 def tokens(buf: np.ndarray, offsets: np.ndarray) -> Tokens:
@@ -107,6 +121,10 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> Tokens:
     index = np.arange(len(head)) - w.first[w.row]
     leads = (upper & ~inside)[some]
     value, number, name, row, index = value[some], number[some], (upper & inside)[some], w.row[some], index[some]
+    place = np.minimum(np.searchsorted(_NUMBER_HASHES, value), len(_NUMBER_HASHES) - 1)
+    spelled = _NUMBER_HASHES[place] == value
+    value = np.where(spelled, _NUMBER_VALUES[place], value)
+    number, name, leads = number | spelled, name & ~spelled, leads & ~spelled
     place = np.minimum(np.searchsorted(_UNIT_HASHES, value), len(_UNIT_HASHES) - 1)
     unit = np.zeros(len(value), bool)
     unit[1:] = number[:-1] & (row[1:] == row[:-1])
@@ -119,178 +137,287 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> Tokens:
     return Tokens(template, leading, value, kind, index, row, np.searchsorted(row, np.arange(rows + 1)))
 
 
-def forms(t: Tokens) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The distinct (template, whether a word) of a piece: leading words as words, as names if known to be, as names."""
-    out = [(t.template, t.kind == 0)]
-    for least in (2, 1):
-        as_name = t.leading >= least
-        if as_name.any():
-            out.append((np.where(as_name, NAME, t.template), (t.kind == 0) & ~as_name))
+@dataclass
+class Form:
+    """One reading of a piece: template and value of each token, whether it is a slot, raw word, row, and first of each row."""
+
+    template: np.ndarray
+    value: np.ndarray
+    slot: np.ndarray
+    word: np.ndarray
+    row: np.ndarray
+    first: np.ndarray
+    literal: bool = False
+
+
+def _masked(t: Tokens, name: np.ndarray) -> Form:
+    """Numbers and units as slots, and the given tokens as names, a run of them as one."""
+    slot = ((t.kind == 1) | (t.kind == 2)) | name
+    template = np.where(name, NAME, np.where(t.kind == 3, t.value, t.template))
+    follows = np.zeros(len(name), bool)
+    # a word that leads a sentence begins a run of its own
+    follows[1:] = name[1:] & name[:-1] & (t.row[1:] == t.row[:-1]) & (t.leading[1:] == 0)
+    if not follows.any():
+        return Form(template, t.value, slot, t.word, t.row, t.first)
+    keep = np.flatnonzero(~follows)
+    depth = np.arange(len(name)) - np.repeat(keep, np.diff(np.append(keep, len(name))))
+    value = np.add.reduceat(np.where(depth == 0, t.value, mix(t.value + depth.astype(np.uint64) * MIX)), keep)
+    row = t.row[keep]
+    return Form(template[keep], value, slot[keep], t.word[keep], row, np.searchsorted(row, np.arange(len(t.first))))
+
+
+def forms(t: Tokens) -> list[Form]:
+    """The readings of a piece that differ: literal, names as words, and names with leading words as words, as known, as names."""
+    none = np.zeros(len(t.kind), bool)
+    out = [Form(t.value, t.value, none, t.word, t.row, t.first, True), _masked(t, none)]
+    last = none
+    for least in (3, 2, 1):
+        name = (t.kind == 3) | (t.leading >= least)
+        if (name != last).any():
+            out.append(_masked(t, name))
+        last = name
     return out
 
 
+def _salt(size: int, kind: int) -> np.uint64:
+    """Windows of one size and kind (0 template, 1 literal, 2 whole text) have hashes of their own."""
+    return _U((size * 3 + kind) * int(MIX) & (1 << 64) - 1)
+
+
 @dataclass
-class Block:
-    """Windows of some benchmark items, by length of window: sorted hashes with item and place, and the items' tokens."""
-
-    items: list
-    item_tokens: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # kind, value and whether leading of each token
-    windows: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by length, and whether literal: hash, item, place, bitmap of hashes
-
-
-def build_block(items: list[tuple[object, str]]) -> Block:
-    own, found = [], defaultdict(lambda: ([], [], []))
-    for i, (_, text) in enumerate(items):
-        buf = np.frombuffer((text or "").encode(), np.uint8)
-        t = tokens(buf, np.array([0, len(buf)]))
-        own.append((t.kind, t.value, t.leading > 0))
-        n = len(t.value)
-        if n < SHORTEST:
+class Windows:
+    """Windows of a piece: hash, row, place in the row's tokens, size, whether literal, raw word, and the values and offsets of their slots."""
+
+    hash: np.ndarray
+    row: np.ndarray
+    place: np.ndarray
+    size: np.ndarray
+    literal: np.ndarray
+    word: np.ndarray
+    slots: list[np.ndarray]
+    offsets: list[np.ndarray]
+
+
+def _taken(form: Form, at: np.ndarray, size: int, h: np.ndarray) -> tuple:
+    cells = at[:, None] + np.arange(size)
+    slot = form.slot[cells]
+    cut = np.cumsum(slot.sum(1))[:-1]
+    values, offsets = form.value[cells][slot], np.nonzero(slot)[1]
+    row = form.row[at]
+    return h, row, at - form.first[row], np.full(len(at), size), np.full(len(at), form.literal), form.word[at], np.split(values, cut) if len(at) else [], np.split(offsets, cut) if len(at) else []
+
+
+def _gathered(parts: list[tuple]) -> Windows:
+    if not parts:
+        z = np.zeros(0, np.int64)
+        return Windows(np.zeros(0, np.uint64), z, z, z, np.zeros(0, bool), z, [], [])
+    columns = list(zip(*parts, strict=True))
+    arrays = [np.concatenate(c) for c in columns[:6]]
+    slots, offsets = ([x for part in c for x in part] for c in columns[6:])
+    # the same window in several forms counts once
+    _, first = np.unique(np.stack([arrays[0], arrays[1].astype(np.uint64), arrays[2].astype(np.uint64)], 1), axis=0, return_index=True)
+    return Windows(*(x[first] for x in arrays), [slots[i] for i in first], [offsets[i] for i in first])
+
+
+def item_windows(text: str) -> Windows:
+    """All windows by which an item is looked for."""
+    buf = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    t = tokens(buf, np.array([0, len(buf)]))
+    n, parts = len(t.value), []
+    if 0 < n < SHORTEST:
+        return _gathered([_taken(forms(t)[0], np.zeros(1, np.int64), n, rolling(t.value, n) ^ _salt(n, 2))])
+    for form in forms(t):
+        m = len(form.value)
+        size = min(WINDOW, m)
+        if m < SHORTEST:
             continue
-        size = min(WINDOW, n)
-        masked = []
-        for template, word in forms(t):
-            fixed = np.concatenate([[0], np.cumsum(word)])
-            masked.append((template, fixed[size:] - fixed[:-size] >= min(MIN_WORDS, -(-size // 2))))
-        enough = masked[0][1]
-        named = np.concatenate([[0], np.cumsum(t.kind == 3)])
-        with_name = named[size:] > named[:-size]
-        first = np.arange(len(enough)) == 0
-        variants = [
-            *masked,
+        fixed = np.concatenate([[0], np.cumsum(~form.slot)])
+        ok = (fixed[size:] - fixed[:-size] >= min(MIN_WORDS, -(-size // 2))) | form.literal
+        readings = [(form, ok)]
+        if not form.literal and not form.slot[0]:
             # within a document, the item's first word may look like a name
-            (np.concatenate([[NAME], t.template[1:]]), enough & first & (t.kind[0] == 0)),
-            # and in a text of another case, names look like words
-            (np.where(t.kind == 3, t.value, t.template), with_name),
-            (t.value, np.ones(len(enough), bool)),
-        ]
-        for k, (template, ok) in enumerate(variants):
-            h = rolling(template, size)[ok]
-            for x, values in zip(found[size, k == len(variants) - 1], (h, np.full(len(h), i), np.flatnonzero(ok)), strict=True):
-                x.append(values)
-    windows = {}
-    for key, parts in found.items():
-        h, item, place = (np.concatenate(x) for x in parts)
-        order = np.argsort(h, kind="stable")
-        bitmap = np.zeros(1 << 20, bool)
-        bitmap[(h & _U((1 << 20) - 1)).astype(np.int64)] = True
-        windows[key] = (h[order], item[order], place[order], bitmap)
-    return Block([i for i, _ in items], own, windows)
-
-
-def find(t: Tokens, block: Block) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(row, item, first raw word, windows, slots, changed slots) of each consistent or literal run in a piece."""
-    rows, items, shifts, places, sizes, literals = [], [], [], [], [], []
-    masked = [x for x, _ in forms(t)]
-    looked = [(key, x) for key in block.windows for x in ([t.value] if key[1] else masked)]
-    for (size, literal), values in looked:
-        h, item, place, bitmap = block.windows[size, literal]
-        if len(values) < size:
+            first = np.arange(m) == 0
+            readings.append((Form(np.where(first, NAME, form.template), form.value, form.slot | first, form.word, form.row, form.first), ok & (np.arange(len(ok)) == 0)))
+        for reading, good in readings:
+            at = np.flatnonzero(good)
+            parts.append(_taken(reading, at, size, rolling(reading.template, size)[at] ^ _salt(size, int(form.literal))))
+    return _gathered(parts)
+
+
+def text_windows(t: Tokens, sizes: list[int], bits: np.ndarray) -> Windows:
+    """The windows of a piece that pass the filter."""
+    parts, lengths = [], np.diff(t.first)
+    readings = forms(t)
+    for size in sizes:
+        if size < SHORTEST:
+            row = np.flatnonzero(lengths == size)
+            at = t.first[row]
+            h = rolling(t.value, size)[at] ^ _salt(size, 2) if len(at) else np.zeros(0, np.uint64)
+            parts.append(_taken(readings[0], at[passes(h, bits)], size, h[passes(h, bits)]))
             continue
-        own = rolling(values, size)
-        at = np.flatnonzero(bitmap[(own & _U((1 << 20) - 1)).astype(np.int64)])
-        at = at[t.row[at] == t.row[at + size - 1]]
-        lo, hi = np.searchsorted(h, own[at]), np.searchsorted(h, own[at], "right")
-        at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-        which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        at = np.repeat(at, n)
-        rows.append(t.row[at])
-        items.append(item[which])
-        places.append(place[which])
-        shifts.append(at - place[which])
-        sizes.append(np.full(len(at), size))
-        literals.append(np.full(len(at), literal))
-    if not rows or not sum(map(len, rows)):
-        return
-    row, item, shift, place, size, literal = (np.concatenate(x) for x in (rows, items, shifts, places, sizes, literals))
-    order = np.lexsort((place, shift, item, row))
-    row, item, shift, place, size, literal = row[order], item[order], shift[order], place[order], size[order], literal[order]
-    new = np.ones(len(row), bool)
-    # a run ends where a token lies in none of its windows
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]) | (place[1:] > place[:-1] + size[:-1])
-    edge = np.append(np.flatnonzero(new), len(row))
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        starts = place[a:b]
-        for own in (starts, starts[literal[a:b]]):  # all windows, else the literal ones alone
-            if len(own) and (slots := _slots(t, block.item_tokens[item[a]], own, int(size[a]), int(shift[a]))):
-                yield int(row[a]), int(item[a]), int(t.word[own[0] + shift[a]]), len(np.unique(own)), *slots
-                break
-
-
-def _slots(t: Tokens, item: tuple[np.ndarray, np.ndarray, np.ndarray], places: np.ndarray, size: int, shift: int) -> tuple[int, int] | None:
-    """Slots and changed slots of an item's windows laid over the text, or None if they do not agree."""
-    kind, value, leading = item
-    covered = np.unique((places[:, None] + np.arange(size)).reshape(-1))
-    mine, theirs = value[covered], t.value[covered + shift]
-    # a leading word is a slot where it differs
-    slots = (kind[covered] > 0) | (leading[covered] & (mine != theirs))
-    mine, theirs = mine[slots].tolist(), theirs[slots].tolist()
-    forth, back = dict(zip(mine, theirs, strict=True)), dict(zip(theirs, mine, strict=True))
-    if all(forth[m] == v and back[v] == m for m, v in zip(mine, theirs, strict=True)):
-        return len(mine), sum(m != v for m, v in zip(mine, theirs, strict=True))
-    return None
+        for form in readings:
+            if len(form.value) >= size:
+                h = rolling(form.template, size) ^ _salt(size, int(form.literal))
+                at = np.flatnonzero(passes(h, bits))
+                at = at[form.row[at] == form.row[at + size - 1]]
+                if len(at):
+                    parts.append(_taken(form, at, size, h[at]))
+    return _gathered([p for p in parts if len(p[0])])
+
+
+def _places(h: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of the filter for each hash."""
+    return h & _U(n_bits - 1), (h >> _U(32)) * _U(0x9E3779B1) >> _U(3) & _U(n_bits - 1)
+
+
+def passes(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    one, two = _places(h, 8 * len(bits))
+    out = (bits[(one >> _U(3)).astype(np.int64)] >> (one & _U(7)).astype(np.uint8) & 1).astype(bool)
+    some = np.flatnonzero(out)
+    two = two[some]
+    out[some] = (bits[(two >> _U(3)).astype(np.int64)] >> (two & _U(7)).astype(np.uint8) & 1).astype(bool)
+    return out
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Block]:
-    """The benchmark's items in blocks of about ``BLOCK_TOKENS`` words, one of which is in the driver at a time."""
-    items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    n = max(1, -(-int(total) // BLOCK_TOKENS))
-    for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
-        rows = part.collect()
-        if rows:
-            yield build_block([(r["item"], r["text"]) for r in rows])
+def filter_of(hashes: np.ndarray, n_bits: int) -> np.ndarray:
+    bits = np.zeros(n_bits, bool)
+    for place in _places(hashes, n_bits):
+        bits[place.astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def agreed(place: np.ndarray, size: np.ndarray, literal: np.ndarray, offsets: list, mine: list, theirs: list) -> Iterator[tuple[int, int, int, int]]:
+    """(index of the first window, windows, slots, changed slots) of each run of a pair's windows on one diagonal that agrees.
+
+    Windows come by place.  A run ends where a token lies in none of its windows.
+    """
+    new = np.ones(len(place), bool)
+    new[1:] = place[1:] > np.maximum.accumulate(place + size)[:-1]
+    edge = np.append(np.flatnonzero(new), len(place))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        for own in (range(a, b), [i for i in range(a, b) if literal[i]]):  # all windows, else the literal ones alone
+            if not own:
+                continue
+            pairs = {int(place[i]) + int(o): (m, v) for i in own for o, m, v in zip(offsets[i], mine[i], theirs[i], strict=True)}
+            forth, back = dict(pairs.values()), {v: m for m, v in pairs.values()}
+            if all(forth[m] == v and back[v] == m for m, v in pairs.values()):
+                yield own[0], len({int(place[i]) for i in own}), len(pairs), sum(m != v for m, v in pairs.values())
+                break
 
 
-LEAKS_DDL = "doc_id long, item_id long, first_word long, n_windows long, n_slots long, n_changed long"
+_ITEM_DDL = "h long, item_id long, place int, size int, literal boolean, offsets array<int>, mine array<long>"
+_TEXT_DDL = "h long, rid long, doc_id long, text_hash long, at int, word int, theirs array<long>"
+_FOUND = "doc_id long, item_id long, text_hash long, first_word long, n_windows long, n_slots long, n_changed long"
+
+
+def _lists(parts: list[np.ndarray], dtype) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]).astype(dtype)))
+
+
+def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """A row for each window of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = item_windows(text or "")
+                if len(w.hash):
+                    yield pa.record_batch(
+                        [pa.array(w.hash.view(np.int64)), pa.array([item] * len(w.hash), pa.int64()), pa.array(w.place, pa.int32()), pa.array(w.size, pa.int32()), pa.array(w.literal), _lists(w.offsets, np.int32), _lists([x.view(np.int64) for x in w.slots], np.int64)],
+                        names=["h", "item_id", "place", "size", "literal", "offsets", "mine"],
+                    )
+
+    return benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, _ITEM_DDL)
+
+
+def collect_filter(made: DataFrame) -> tuple[list[int], np.ndarray]:
+    """The sizes of the benchmark's windows and their filter, of at most ``MOST_BITS`` bits, put together by tasks in parts of 8 kB."""
+    counts = made.groupBy("size").agg(F.count("*").alias("n")).collect()  # at most WINDOW rows
+    total, n_bits = sum(r["n"] for r in counts), LEAST_BITS
+    while n_bits < min(BITS * total, MOST_BITS):
+        n_bits *= 2
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            place = np.unique(np.concatenate(_places(h, n_bits))).astype(np.int64)
+            yield pa.record_batch([pa.array(place >> 16), pa.array(place & 0xFFFF)], names=["part", "bit"])
+
+    def join(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << 16, bool)
+        bits[table["bit"].to_numpy()] = True
+        return pa.table({"part": table["part"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(n_bits >> 3, np.uint8)
+    for r in made.select("h").mapInArrow(parts, "part long, bit long").distinct().groupBy("part").applyInArrow(join, "part long, bits binary").collect():
+        out[r["part"] << 13 : (r["part"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    return sorted(r["size"] for r in counts), out
+
+
+def document_windows(docs: DataFrame, sizes: list[int], bits: np.ndarray) -> DataFrame:
+    """A row for each window of docs(doc_id, text_hash, text) that passes the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            buf, offsets = buffers(batch.column(2))
+            for i, j in pieces(offsets):
+                w = text_windows(tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), sizes, bits)
+                if len(w.hash):
+                    row = pa.array(w.row + i)
+                    yield pa.record_batch(
+                        [pa.array(w.hash.view(np.int64)), pa.array(base + i + w.row), batch.column(0).take(row), batch.column(1).take(row), pa.array(w.place, pa.int32()), pa.array(w.word, pa.int32()), _lists([x.view(np.int64) for x in w.slots], np.int64)],
+                        names=["h", "rid", "doc_id", "text_hash", "at", "word", "theirs"],
+                    )
+            base += batch.num_rows
+
+    return docs.mapInArrow(run, _TEXT_DDL)
+
+
+def _judged(table: pa.Table) -> pa.Table:
+    """The leaks among a group of whole document rows' matched windows: the longest agreeing run of each row and item."""
+    cols = {c: table[c].to_numpy() for c in ("rid", "at", "place", "size", "literal", "word")}
+    cols["item_id"] = table["item_id"].fill_null(-(1 << 63)).to_numpy()
+    n_slots = np.array([len(x) for x in table["mine"].to_pylist()], np.int64)
+    shift = cols["at"].astype(np.int64) - cols["place"]
+    # of one window in several forms, that with the fewest slots comes first
+    order = np.lexsort((n_slots, cols["place"], shift, cols["item_id"], cols["rid"]))
+    key = np.stack([cols["rid"], cols["item_id"], shift], 1)[order]
+    order = order[np.concatenate([[True], (key[1:] != key[:-1]).any(1) | (cols["place"][order][1:] != cols["place"][order][:-1])])]
+    key = np.stack([cols["rid"], cols["item_id"], shift], 1)[order]
+    place, size, literal, word = (cols[c][order] for c in ("place", "size", "literal", "word"))
+    offsets, mine, theirs = (table[c].take(pa.array(order)).to_pylist() for c in ("offsets", "mine", "theirs"))
+    edge = np.append(np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])), len(order))
+    best: dict[tuple, tuple] = {}
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        for first, n, slots, changed in agreed(place[a:b], size[a:b], literal[a:b], offsets[a:b], mine[a:b], theirs[a:b]):
+            pair = int(key[a][0]), int(key[a][1])
+            found = n, -int(word[a + first]), slots, changed, int(order[a + first])
+            best[pair] = max(found, best.get(pair, found))
+    rows = list(best.values())
+    at = pa.array([r[4] for r in rows], pa.int64())
+    own = [table[c].take(at) for c in ("doc_id", "item_id", "text_hash")]
+    return pa.table([*own, *(pa.array(x, pa.int64()) for x in ([-r[1] for r in rows], [r[0] for r in rows], [r[2] for r in rows], [r[3] for r in rows]))], names=["doc_id", "item_id", "text_hash", "first_word", "n_windows", "n_slots", "n_changed"])
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str | None, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    own = settle(benchmark_windows(benchmark, item_col, item_text))
+    sizes, bits = collect_filter(own)
+    doc_id = F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")
+    slim = docs.select(doc_id.alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    met = document_windows(slim, sizes, bits).join(own, "h")
+    group = F.pmod(F.xxhash64("rid"), F.lit(4 * partitions(docs.sparkSession)))
+    return met.withColumn("group", group).groupBy("group").applyInArrow(_judged, _FOUND)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document row and item that match, with the longest match's first_word, n_windows, n_slots, n_changed."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-    def scan(block: Block) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                buf, offsets = buffers(batch.column(1))
-                best: dict[tuple, list] = {}
-                for i, j in pieces(offsets):
-                    t = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    for r, k, *rest in find(t, block):
-                        key = i + r, block.items[k]
-                        if key not in best or rest[1] > best[key][1]:
-                            best[key] = rest
-                if best:
-                    cols = list(zip(*((*key, *rest) for key, rest in best.items()), strict=True))
-                    yield pa.record_batch([batch.column(0).take(pa.array(cols[0])), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc_id", "item_id", "first_word", "n_windows", "n_slots", "n_changed"])
-
-        return slim.mapInArrow(run, LEAKS_DDL)
-
-    found = [scan(b) for b in blocks_of(benchmark, item_col, item_text)]
-    if not found:
-        return docs.sparkSession.createDataFrame([], LEAKS_DDL)
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    return _leaks(docs, benchmark, id_col, text_col, item_col, item_text).drop("text_hash")
 
 
 def decontaminate_stage(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the rows that match an item; judged where they are, so nothing is shuffled."""
-    at = docs.columns.index(text_col)
-    out = docs
-    for block in blocks_of(benchmark, item_col, item_text):
-
-        def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                buf, offsets = buffers(batch.column(at))
-                keep = np.ones(batch.num_rows, bool)
-                for i, j in pieces(offsets):
-                    t = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    for r, *_ in find(t, block):
-                        keep[i + r] = False
-                yield batch.filter(pa.array(keep))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    """docs without the rows that match an item; equal texts are judged alike, by 64-bit hash."""
+    h = fresh(docs, "h")
+    found = _leaks(docs, benchmark, None, text_col, item_col, item_text).select(F.col("text_hash").alias(h)).distinct()
+    return docs.withColumn(h, F.xxhash64(text_col)).join(found, h, "left_anti").select(*docs.columns)

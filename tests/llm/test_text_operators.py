@@ -189,9 +189,24 @@ def test_decontamination(spark, nothing, awkward):
 
 
 def matches(text, *items):
+    """Slots and changed slots of the items that a text matches; windows are joined by a dictionary, without a filter."""
+    import pyarrow as pa
+
     raw = np.frombuffer(text.encode(), np.uint8)
-    block = decontamination.build_block(list(enumerate(items)))
-    return {k: (slots, changed) for _, k, _, _, slots, changed in decontamination.find(decontamination.tokens(raw, np.array([0, len(raw)])), block)}
+    index, sizes = defaultdict(list), set()
+    for k, item in enumerate(items):
+        w = decontamination.item_windows(item)
+        sizes |= set(w.size.tolist())
+        for i, h in enumerate(w.hash.tolist()):
+            index[h].append((k, int(w.place[i]), int(w.size[i]), bool(w.literal[i]), w.offsets[i].tolist(), w.slots[i].view(np.int64).tolist()))
+    t = decontamination.text_windows(decontamination.tokens(raw, np.array([0, len(raw)])), sorted(sizes), np.full(8, 255, np.uint8))
+    rows = [
+        {"rid": 0, "doc_id": 0, "text_hash": 0, "at": int(t.place[i]), "word": int(t.word[i]), "theirs": t.slots[i].view(np.int64).tolist(), "item_id": k, "place": place, "size": size, "literal": lit, "offsets": offsets, "mine": mine}
+        for i, h in enumerate(t.hash.tolist()) for k, place, size, lit, offsets, mine in index.get(h, ())
+    ]
+    if not rows:
+        return {}
+    return {r["item_id"]: (r["n_slots"], r["n_changed"]) for r in decontamination._judged(pa.Table.from_pylist(rows)).to_pylist()}
 
 
 def test_literal_windows_are_leaks():
@@ -224,13 +239,98 @@ def test_names_that_begin_sentences():
     assert not matches("The cat sat there. A dog ran off. It was late now. So we went home. Then we slept well.", tom)
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
-    items = [(i, f"item {i} has words that are only its own like {'abcdefghij'[i % 10] * 5} and {'klmnopqrst'[i % 10] * 4} in number ten") for i in range(10)]
-    d = spark.createDataFrame(items, "doc_id long, text string")
+def test_every_item_has_a_way():
+    sums = "12 + 30 + 5 + 7 + 9 + 11 + 4 + 8 + 2 + 6 + 3"
+    for item in ("Who wrote Hamlet?", sums, "Berlin", "Anna Berg"):
+        assert matches(item, item) and matches(item.upper(), item) and matches(item.title(), item), item
+    assert matches("We ask: who wrote Hamlet? And when?", "Who wrote Hamlet?")
+    # one or two words are an item only as a whole text
+    assert not matches("We met Anna Berg in Berlin today.", "Berlin", "Anna Berg")
+    # runs of names are one slot, number words are numbers
+    text = "A baker called John Smith sells 12 loaves to the old mill, and John Smith then bakes 12 more for the next day at home."
+    assert matches(text.replace("John Smith", "Mary").replace("12", "seven"), text)
+    assert matches(text.replace("John Smith", "Anna Maria Berg").replace("12", "40"), text)
+    assert matches(text.replace("12", "twelve").title(), text)
+    assert not matches(text.replace("12 more", "30 more").replace("12 loaves", "seven loaves").replace("John Smith sells", "Mary sells"), text)
+
+
+def parameterised(rng, text):
+    """Two versions of a text with the same slots and other values, a slot every few words."""
+    names = ["Anna", "Ben", "Carla Berg", "David", "Emma", "Fritz Lang Jones"]
+    pairs = {f"S{k}": (rng.choice(names) if k % 2 else str(rng.randint(2, 900)), rng.choice(names) if k % 2 else rng.choice([str(rng.randint(2, 900)), "seven", "twelve"])) for k in range(4)}
+    while len({b for _, b in pairs.values()}) < 4 or len({a for a, _ in pairs.values()}) < 4:
+        return parameterised(rng, text)
+    words = [w.lower().strip(".,") for w in text.split()]
+    for at in range(4, len(words), 6):
+        words[at] = f"S{(at - 4) // 6 % 4}"
+    return tuple(" ".join(pairs[w][v] if w in pairs else w for w in words) for v in (0, 1))
+
+
+def test_recall_on_changed_copies(spark):
+    """Copies verbatim, in another case, and with other parameters, of all items, within documents of other words."""
+    import random
+
+    rng = random.Random(3)
+    items = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").orderBy("item_id").collect()]
+    pairs = [parameterised(rng, t) for t in items]
+    kinds = {"verbatim": lambda a, b: a, "upper": lambda a, b: a.upper(), "title": lambda a, b: a.title(), "changed": lambda a, b: b}
+    docs, wanted = [], {}
+    for n, (kind, f) in enumerate(kinds.items()):
+        for i, (a, b) in enumerate(pairs):
+            docs.append((1000 * n + i, f"Some words stand before it here. {f(a, b)} And a few more come after."))
+            wanted[1000 * n + i] = (kind, i)
+    docs += [(9000 + i, f"A document of its own with {i} words that no item has at all, and then it goes on and on to {i + 3} more of these") for i in range(40)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    b = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(d, b).collect()}
+    for kind in kinds:
+        own = [(doc, i) for doc, (k, i) in wanted.items() if k == kind]
+        assert sum(x in got for x in own) >= 0.9 * len(own), kind
+    assert not {x for x in got if x[0] >= 9000}
+    assert all(i == wanted[doc][1] for doc, i in got)
+
+
+def test_join_matches_all_pairs(spark, monkeypatch):
+    """Windows that meet in the filtered hash join are those whose tokens are equal, pair by pair."""
+    items = [(i, f"item {i} has words that are only its own like {'abcdefghij'[i % 10] * 5} and {'klmnopqrst'[i % 10] * 4} in Number Ten of 12 km or more") for i in range(10)]
+    docs = [(i, f"Before it: {t} and after. {items[(i + 1) % 10][1]}") for i, t in items] + [(50 + i, t.replace(f"item {i}", f"item {i + 7}")) for i, t in items]
+
+    def sequences(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        for form in decontamination.forms(decontamination.tokens(raw, np.array([0, len(raw)]))):
+            yield form.literal, form.template.tolist(), form.slot.tolist()
+
+    expected = set()
+    for d, text in docs:
+        for i, item in items:
+            for lit, seq, _ in sequences(text):
+                for own, mine, slot in sequences(item):
+                    size = min(13, len(mine))
+                    for k in range(len(mine) - size + 1):
+                        if own == lit and (lit or sum(not x for x in slot[k : k + size]) >= 7) and any(seq[a : a + size] == mine[k : k + size] for a in range(len(seq) - size + 1)):
+                            expected.add((d, i))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
-    whole = sorted(map(tuple, decontamination.leaks(d, b).collect()))
-    monkeypatch.setattr(decontamination, "BLOCK_TOKENS", 40)
-    assert sorted(map(tuple, decontamination.leaks(d, b).collect())) == whole and len(whole) >= 10
+    own = decontamination.benchmark_windows(b, "item_id", "text")
+    for bits in (1 << 8, 1 << 20):  # a full filter lets more through, and changes nothing
+        monkeypatch.setattr(decontamination, "LEAST_BITS", max(bits, 1 << 16))
+        monkeypatch.setattr(decontamination, "MOST_BITS", max(bits, 1 << 16))
+        sizes, flags = decontamination.collect_filter(own)
+        slim = d.selectExpr("doc_id", "xxhash64(text) as text_hash", "text")
+        met = decontamination.document_windows(slim, sizes, flags).join(own, "h").select("doc_id", "item_id").distinct()
+        assert {tuple(r) for r in met.collect()} == expected
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(d, b).collect()}
+    assert got <= expected and got >= {(i, i) for i, _ in items} | {(i, (i + 1) % 10) for i, _ in items}
+
+
+def test_decontamination_of_odd_rows(spark):
+    long = "words of a long text that goes on " * 30_000
+    docs = [(1, long + ITEM), (2, ITEM), (2, ITEM), (None, ITEM), (3, ""), (4, None)]
+    d = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, h string, text_hash int")
+    b = spark.createDataFrame([(7, ITEM), (None, "an item without any id of its own, but with a text of some words"), (8, None)], "item_id long, text string")
+    got = sorted(repr((r["doc_id"], r["item_id"])) for r in decontamination.leaks(d, b).collect())
+    assert got == sorted(repr(x) for x in [(1, 7), (2, 7), (2, 7), (None, 7)])
+    assert [(r["doc_id"], r["text"]) for r in decontamination.decontaminate_stage(d, b).orderBy("doc_id").collect()] == [(3, ""), (4, None)]
 
 
 def test_importance(spark, corpus, nothing, awkward):
