@@ -80,8 +80,8 @@ class Words:
     first: np.ndarray  # index of each row's first word, with the number of words appended
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each row; a word never crosses rows."""
+def words(buf: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each row; a word never crosses rows.  Hashes are zero unless asked for."""
     n, rows = len(buf), len(offsets) - 1
     if n == 0:
         z = np.zeros(0, np.int64)
@@ -101,14 +101,17 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> Words:
     tail = offsets[1:][np.diff(offsets) > 0] - 1
     closes[tail] = inside[tail]
     end = np.flatnonzero(closes) + 1
-    return Words(start, end, row, span_hash(buf, inside, start, end), np.searchsorted(row, np.arange(rows + 1)))
+    own = span_hash(buf, inside, start, end) if hashed else np.zeros(len(start), np.uint64)
+    return Words(start, end, row, own, np.searchsorted(row, np.arange(rows + 1)))
 
 
 def span_hash(values: np.ndarray, keep: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each span's kept bytes, in their order; spans ascend and do not overlap."""
     kept = np.flatnonzero(keep)
-    before = np.searchsorted(kept, start)
-    count = np.searchsorted(kept, end) - before
+    upto = np.zeros(len(keep) + 1, np.int32)
+    np.cumsum(keep, out=upto[1:])
+    before = upto[start].astype(np.int64)
+    count = upto[end] - before
     owner = np.repeat(np.arange(len(start)), count)
     # bytes outside all spans are skipped: positions of a span's bytes in `kept` are before .. before + count
     place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)

@@ -100,7 +100,7 @@ _NUMBER_HASHES, _NUMBER_VALUES = (np.array(x, np.uint64) for x in zip(*sorted((i
 
 
 def tokens(buf: np.ndarray, offsets: np.ndarray) -> Tokens:
-    w = words(buf, offsets)
+    w = words(buf, offsets, hashed=False)
     rows = len(offsets) - 1
     if not len(w.start):
         z = np.zeros(0, np.int64)
