@@ -35,7 +35,7 @@ class Piece:
     anchor: np.ndarray
     low: np.ndarray
     high: np.ndarray
-    hash: np.ndarray  # 48 bits
+    hash: np.ndarray
     row: np.ndarray  # of the block
 
 
@@ -50,14 +50,15 @@ class Spec:
     id: str
 
 
-def scan(table: pa.Table, spec: Spec) -> Iterator[Piece]:
+def scan(table: pa.Table, spec: Spec, bits: int = 48) -> Iterator[Piece]:
+    """The pieces of a table; anchors' hashes have so many bits."""
     buf, offsets = buffers(table[spec.text])
     for i, j in pieces(offsets):
         part, offs = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         kept, values, first = spec.tokens(part, offs)
         anchor, low, high, h = minimizer_runs(values, first, spec.gram, spec.window)
         row = np.searchsorted(first, low, "right") - 1 + i
-        yield Piece(i, j, part, offs, kept, anchor, low, high, h >> _U(16), row)
+        yield Piece(i, j, part, offs, kept, anchor, low, high, h >> _U(64 - bits), row)
 
 
 def doc_ids(table: pa.Table, spec: Spec) -> tuple[np.ndarray, np.ndarray]:

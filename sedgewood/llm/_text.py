@@ -191,21 +191,20 @@ def minimizer_runs(tokens: np.ndarray, first: np.ndarray, k: int, window: int):
         return none, none, none, np.zeros(0, np.uint64)
     stop = np.append(np.flatnonzero(change)[1:], len(least)) - 1
     stop = stop[valid[np.flatnonzero(change)]]
-    found: list[tuple[np.ndarray, ...]] = []
-    offs = np.arange(w)
-    while len(start):
-        parts = []
-        for i in range(0, len(start), 65536):
-            s = start[i : i + 65536]
-            parts.append(s + (h[s[:, None] + offs] == least[s][:, None]).argmax(1))
-        anchor = np.concatenate(parts)
-        last = np.minimum(stop, anchor)
-        found.append((anchor, start, last, least[start]))
-        more = stop > anchor  # the same least hash again further right, as in periodic text
-        start, stop = anchor[more] + 1, stop[more]
-    a, s, e, v = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(s, kind="stable")
-    return a[order], s[order], e[order], v[order]
+    # every place from a segment's first window on that has its least hash is the anchor of the windows since the last
+    found = []
+    for i in range(0, len(start), 65536):
+        s, e = start[i : i + 65536], stop[i : i + 65536]
+        at, owner = expand(s, np.minimum(e + w - 1, len(h) - 1))
+        same = h[at] == least[s][owner]
+        at, owner = at[same], owner[same]
+        opens = np.ones(len(at), bool)
+        opens[1:] = owner[1:] != owner[:-1]
+        low = np.where(opens, s[owner], np.concatenate([[0], at[:-1] + 1]))
+        some = low <= e[owner]
+        at, owner, low = at[some], owner[some], low[some]
+        found.append((at, low, np.minimum(at, e[owner]), least[s][owner]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def expand(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -77,6 +77,61 @@ def test_substring_stage(documents, corpus, awkward, nothing):
     assert substring_dedup.dedup_stage(awkward).count() == 5
 
 
+def block_of(rows):
+    import pyarrow as pa
+
+    return pa.table({"id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+
+
+def test_factors_of_a_parse():
+    """Factors are copied from their reference, are maximal, and leave only what crosses their boundaries open."""
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"u{x}" for x in rng.integers(0, 1 << 40, n)]
+    first, second, third = fresh(300), fresh(260), fresh(120)
+    # a passage of each earlier text, a changed word in the second, and a short one that is no factor
+    late = [*fresh(30), *first[40:200], *second[10:100], "changed", *second[101:180], *fresh(20), *third[:45], *fresh(10)]
+    rows = [(1, " ".join(first)), (2, " ".join(second)), (3, " ".join(third)), (9, " ".join(late))]
+    spec = substring_dedup._spec("id", "text", 50)
+    table = block_of(rows)
+    r = substring_dedup.runs_of(table, spec)
+    import pyarrow as pa
+
+    least = {}
+    for h, i in zip(r.hash.view(np.int64).tolist(), r.id.tolist()):
+        least.setdefault(h, set()).add(i)
+    wanted = pa.table({"h": pa.array([h for h, i in least.items() if len(i) > 1], pa.int64()), "reference": pa.array([min(i) for i in least.values() if len(i) > 1], pa.int64())})
+    f = substring_dedup.parse(r, substring_dedup.phrases(table, wanted, spec), 50)
+    at = len(first) + len(second) + len(third)
+    got = [(s - at, n, ref) for s, n, ref in zip(f.start.tolist(), f.length.tolist(), f.reference.tolist())]
+    assert got == [(30, 160, 1), (190, 90, 2), (281, 79, 2)]
+    for s, n, ref in got:
+        source = {1: first, 2: second, 3: third}[ref]
+        k = source.index(late[s])
+        assert late[s : s + n] == source[k : k + n] and late[s - 1] != source[k - 1] and late[s + n] != source[k + n : k + n + 1]
+    # open windows have an indexed anchor and lie in no factor
+    assert len(f.open) and not any(s + at <= o and o + 50 <= s + at + n for o in f.open.tolist() for s, n, _ in got)
+
+
+def test_windows_beyond_the_smallest_documents_phrase(spark):
+    """An anchor of three texts: the first goes on otherwise, so the others' window is found by look-up."""
+    rng = np.random.default_rng(12)
+    fresh = lambda n: [f"u{x}" for x in rng.integers(0, 1 << 40, n)]
+    core = fresh(30)
+    left, right = fresh(25), fresh(25)
+    rows = [(i, " ".join([*fresh(40), *a, *core, *b, *fresh(40)])) for i, (a, b) in enumerate([(fresh(25), fresh(25)), (left, right), (left, right), (left, fresh(25)), (fresh(25), right)], 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup_digest(df).collect()}
+    gone = covered({i: words(t) for i, t in rows}, 50, b" ".join)
+    assert got == {i: sum(g) for i, g in gone.items()} == {1: 0, 2: 0, 3: 80, 4: 55, 5: 55}
+
+
+def test_periodic_texts(spark):
+    rows = [(1, "x " * 300_000), (2, "ab cd ef " * 60_000), (3, "cd ef ab " * 1_000), (4, "y" * 500_000), (5, "x " * 200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.dedup_digest(df).collect()}
+    assert got == {1: (300_000, 0), 2: (180_000, 0), 3: (3_000, 3_000), 4: (1, 0), 5: (200, 200)}
+
+
 def test_loser_tree_merges_and_counts_prefixes():
     rng = np.random.default_rng(3)
     width = suffix_dedup.WIDTH
