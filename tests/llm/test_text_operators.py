@@ -22,6 +22,21 @@ def test_quality_matches_sql(documents, awkward, nothing):
         got = sorted(repr(tuple(r)) for r in quality_rules.judge(frame).collect())
         assert got == sql("documents", frame, quality_rules.JUDGE_SQL)
     assert quality_rules.judge(nothing).count() == 0
+    # columns of like names are not looked at
+    own = documents.withColumnRenamed("block_id", "q_t").withColumnRenamed("payload", "q_marks")
+    assert sorted(map(repr, quality_rules.judge(own).collect())) == sorted(map(repr, quality_rules.judge(documents.select("doc_id", "text")).collect()))
+    assert quality_rules.clean_stage(own).columns == own.columns and quality_rules.clean_stage(own).count() == quality_rules.judge(own).where("kept").count()
+
+
+def test_boilerplate_decides(spark):
+    """A license line says nothing against a text; where most of a text is boilerplate, in any of the languages, it is rejected."""
+    text = "The first line says something here. It goes on for a while, and then some more.\nThe second line ends well, too."
+    notices = ["Alle Rechte vorbehalten.", "Tous droits réservés. Mentions légales.", "Aviso legal. Haz clic aquí.", "Read our cookie notice and the privacy policy."]
+    rows = [(1, text), (2, text + "\n" + notices[0]), (3, "\n".join(notices) + "\nAnd one line of text that is its own.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["kept"], r["lost_chars"], r["removed_chars"] > 0) for r in quality_rules.judge(df).collect()}
+    assert got == {1: (True, 0, False), 2: (True, 0, True), 3: (False, 0, True)}
+    assert {r["doc_id"]: r["text"] for r in quality_rules.clean_stage(df).collect()} == {1: text, 2: text}
 
 
 @pytest.mark.parametrize(("run", "text"), [(substring_dedup.dedup_digest, substring_dedup.DIGEST_SQL), (suffix_dedup.dedup_digest, suffix_dedup.DIGEST_SQL), (sharding.assign, sharding.ASSIGN_SQL)])
