@@ -58,19 +58,17 @@ def _boiler(low: str, words: str, match: str) -> str:
 
 def measured(df: DataFrame, text_col: str, prefix: str, clean: bool = False) -> DataFrame:
     """df with columns ``prefix_...``: all measures, base_failed, kept and, if asked for, the cleaned text of each row."""
-    t, w, n, h, s, p, has, marks, lines = (f"{prefix}_{x}" for x in ("t", "w", "n", "h", "s", "p", "has", "marks", "lines"))
+    t, w, n, h, s, p, low, has, marks, lines = (f"{prefix}_{x}" for x in ("t", "w", "n", "h", "s", "p", "low", "has", "marks", "lines"))
     k = REPEAT_WINDOW
     window = ", ".join(f"{w}[i + {j}]" for j in range(k))
     out = df.withColumn(t, F.coalesce(F.col(text_col), F.lit("")))
-    low = F.lower(t)
-    any_phrase = F.contains(low, F.lit(BOILERPLATE[0]))
-    for phrase in BOILERPLATE[1:]:
-        any_phrase = any_phrase | F.contains(low, F.lit(phrase))
-    out = out.withColumns({w: F.expr(f"filter(split({t}, '{_SPACE}+'), x -> x <> '')"), has: any_phrase})
+    any_phrase = " or ".join(f"contains({low}, '{phrase}')" for phrase in BOILERPLATE)
+    out = out.withColumns({w: F.expr(f"filter(split({t}, '{_SPACE}+'), x -> x <> '')"), low: F.lower(t)}).withColumn(has, F.expr(any_phrase))
     boiler = _boiler(f"translate(l, '{_UPPER}', '{_LOWER}')", f"size(filter(split(l, '{_SPACE}+'), x -> x <> ''))", "{0} rlike '{1}'")
     # each line with 0, or 1 if it fails, 2 if it is boilerplate, -1 if it has no word
-    mark = f"case when not l rlike '{_WORD}' then -1 when {_FAILS} then 1 when {has} and {boiler} then 2 else 0 end"
-    out = out.withColumn(marks, F.expr(f"transform(split({t}, '\\n'), l -> struct(l as l, {mark} as m))"))
+    mark = f"transform(split({t}, '\\n'), l -> struct(l as l, case when not l rlike '{_WORD}' then -1 when {_FAILS} then 1 {{0}} else 0 end as m))"
+    # the condition on the text stays outside: within, it would be computed for each line
+    out = out.withColumn(marks, F.expr(f"if({has}, {mark.format(f'when {boiler} then 2')}, {mark.format('')})"))
     out = out.withColumn(lines, F.expr(f"filter({marks}, x -> x.m >= 0).l"))
     out = out.withColumns({n: F.expr(f"size({w})"), h: F.expr(f"if(size({w}) < {k}, cast(array() as array<bigint>), transform(sequence(0, size({w}) - {k}), i -> xxhash64({window})))")})
     # only texts that have a window twice are sorted
