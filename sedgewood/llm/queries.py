@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sedgewood.llm import decontamination, html_extraction, importance, packing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, url_filters
@@ -13,7 +14,7 @@ from sedgewood.llm import decontamination, html_extraction, importance, packing,
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Folder of the public tokenizers' vocabularies; ``SEDGEWOOD_TOKENIZERS`` names another.
-TOKENIZERS = os.environ.get("SEDGEWOOD_TOKENIZERS", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("SEDGEWOOD_TOKENIZERS") or str(Path(public_tokenizers.path("word_bpe_49k.json")).parent)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

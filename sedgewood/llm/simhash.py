@@ -114,13 +114,16 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 
 def dedup_stage(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each group of near copies: that of the smallest id, once.  Rows without an id stay.
+    """df with one row of each group of near copies: that of the smallest id.  Rows without an id stay.
 
     The groups are those of ``near_copies``: pairs with five-word similarity of 0.8 are beyond the query's three bits.
+    Rows of one id are of one group only if their texts are near copies.
     """
-    lost = near_copies.components(df, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    once = Window.partitionBy(id_col).orderBy(F.length(text_col), F.xxhash64(text_col))
-    kept = df.join(lost, id_col, "left_anti")
-    rank = fresh(df, "rank")
-    ranked = kept.where(F.col(id_col).isNotNull()).withColumn(rank, F.row_number().over(once))
-    return ranked.where(F.col(rank) == 1).select(*df.columns).union(kept.where(F.col(id_col).isNull()).select(*df.columns))
+    h = fresh(df, "h")
+    group = fresh(df, "group")
+    place = fresh(df, "place")
+    found = near_copies.components(df, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col), F.col("text_hash").alias(h), F.col("root").alias(group))
+    chosen = df.withColumn(h, F.xxhash64(text_col)).join(found.distinct(), [id_col, h])
+    once = Window.partitionBy(group).orderBy(F.length(text_col), h)
+    ranked = chosen.withColumn(place, F.row_number().over(once)).where(F.col(place) == 1)
+    return ranked.select(*df.columns).union(df.where(F.col(id_col).isNull()))

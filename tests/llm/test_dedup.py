@@ -239,6 +239,12 @@ def test_near_copies_match_brute_force(spark, corpus, nothing):
     assert near_copies.components(nothing).count() == 0
 
 
+def test_rows_of_one_id_with_other_texts_stay(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    df = spark.createDataFrame([(5, one, "x"), (5, two, "x"), (5, one, "x"), (6, two, "x"), (7, one + " end", "x"), (None, one, "x")], "doc_id long, text string, h string")
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in simhash.dedup_stage(df).collect()))) == sorted(map(repr, [(5, one), (5, two), (None, one)]))
+
+
 def test_trie_join_equals_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 62, 40).astype(np.uint64)

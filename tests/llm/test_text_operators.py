@@ -360,6 +360,45 @@ def test_importance(spark, corpus, nothing, awkward):
     assert importance.select(awkward, labels).count() == 6
 
 
+def test_importance_matches_brute_force(spark, corpus, monkeypatch):
+    """n-grams by a regular expression, counts and weights by dictionaries, and the k largest keys by sorting."""
+    import math
+    import re
+    from collections import Counter
+
+    texts = {i: t or "" for i, t in corpus if i != 400} | {900: "naïve, text -- with (odd) runs_1!  Ünder\tline\n\n#5"}
+    grams = {}
+    for i, t in texts.items():
+        runs = re.findall(r"[A-Za-z0-9_\x80-\xff]+|[^A-Za-z0-9_\x80-\xff \t-\r]+", t.encode().decode("latin-1"))
+        raw = np.frombuffer(t.encode(), np.uint8)
+        bucket, row = importance.ngrams(raw, np.array([0, len(raw)]))
+        assert len(bucket) == len(runs) + max(0, len(runs) - 1) and not row.any()
+        pairs = [(r,) for r in runs] + list(zip(runs, runs[1:]))
+        names = dict(zip(pairs, bucket.tolist()))
+        assert [names[p] for p in pairs] == bucket.tolist()  # one bucket for each n-gram
+        grams[i] = Counter(bucket.tolist())
+    labelled = {i: int(i % 3 > 0) for i in list(texts)[:50]}
+    good = [i for i in labelled if labelled[i]]
+    raw, target = sum(grams.values(), Counter()), sum((grams[i] for i in good), Counter())
+
+    def p(counts, b):
+        return (counts[b] + importance.SMOOTHING) / (sum(counts.values()) + importance.SMOOTHING * importance.BUCKETS)
+
+    weight = {i: sum(n * math.log(p(target, b) / p(raw, b)) for b, n in g.items()) / math.sqrt(max(1, sum(g.values()))) for i, g in grams.items()}
+    docs = spark.createDataFrame([(i, t or None) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(list(labelled.items()), "doc_id long, quality int")
+    rows = {r["doc_id"]: r for r in importance.select(docs, labels).collect()}
+    assert {i: r["n_grams"] for i, r in rows.items()} == {i: sum(g.values()) for i, g in grams.items()}
+    assert all(abs(rows[i]["log_weight"] - w) < 1e-9 for i, w in weight.items())
+    k = round(len(good) / len(labelled) * len(texts))
+    best = sorted((r["gumbel_key"] for r in rows.values()), reverse=True)[:k]
+    assert {i for i, r in rows.items() if r["kept"]} == {i for i, r in rows.items() if r["gumbel_key"] >= best[-1]}
+    # the noise is Gumbel's: its mean is Euler's constant, over many ids
+    many = spark.range(20_000).selectExpr("id as doc_id", "'' as text")
+    noise = [r["gumbel_key"] for r in importance.select(many, labels.limit(0)).collect()]
+    assert abs(np.mean(noise) - 0.5772) < 0.05 and abs(np.var(noise) - np.pi**2 / 6) < 0.1
+
+
 def test_kth_largest(spark):
     values = [0.5, 0.5, 1.0, -3.0, 7.25, 7.25, 7.25, 1e-9, 2e-9]
     df = spark.createDataFrame([(v,) for v in values], "x double")
