@@ -1,8 +1,11 @@
-"""First round of both substring operators: which anchors do several documents have?
+"""First round of the suffix operator: which anchors do several documents have, and which of them have many contexts?
 
 Any two equal windows have their minimizer in common (see ``_text.minimizer_runs``), so a window can repeat in another
 document only if its anchor does.  Blocks exchange their distinct anchors, 48 bits each and front-coded in hash order;
-the answer is one bit an anchor.  Only windows of shared anchors take part in the second round.
+the answer is two bits an anchor.  Only windows of shared anchors take part in the second round.
+
+An anchor that some block finds in ``MANY`` contexts, or that more than ``MOST_BLOCKS`` blocks have, is hot: its windows
+take part one by one, each by its own content, so that the texts around a common phrase do not meet in one task.
 """
 
 from __future__ import annotations
@@ -14,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sedgewood.llm._blocks import BLOCK_BYTES, bucket_labels, pack_arrays, pack_sorted, packed, partitions, squeeze, unpack_table, unsqueeze, unpack_sorted
-from sedgewood.llm._text import buffers, minimizer_runs, pieces
+from sedgewood.llm._blocks import BLOCK_BYTES, bucket_labels, pack_arrays, pack_sorted, packed, partitions, squeeze, unpack_arrays, unpack_sorted, unpack_table, unsqueeze
+from sedgewood.llm._text import buffers, expand, minimizer_runs, mix, pieces, rolling
 
+MANY, MOST_BLOCKS = 16, 4096
 ANSWER = pa.schema([("block_id", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary())])
 ENTRIES = pa.schema([("block_id", pa.int64()), ("bucket", pa.int32()), ("run", pa.binary()), ("extra", pa.binary())])
 ANSWER_DDL, ENTRIES_DDL = "block_id long, bucket int, answer binary", "block_id long, bucket int, run binary, extra binary"
@@ -32,11 +36,13 @@ class Piece:
     buf: np.ndarray
     offsets: np.ndarray
     tokens: object
+    values: np.ndarray
     anchor: np.ndarray
     low: np.ndarray
     high: np.ndarray
     hash: np.ndarray
     row: np.ndarray  # of the block
+    alone: np.ndarray | None = None  # which runs are single windows of hot anchors, whose hash is that of their content
 
 
 @dataclass
@@ -48,6 +54,7 @@ class Spec:
     window: int
     text: str
     id: str
+    many: int = MANY
 
 
 def scan(table: pa.Table, spec: Spec, bits: int = 48) -> Iterator[Piece]:
@@ -58,7 +65,7 @@ def scan(table: pa.Table, spec: Spec, bits: int = 48) -> Iterator[Piece]:
         kept, values, first = spec.tokens(part, offs)
         anchor, low, high, h = minimizer_runs(values, first, spec.gram, spec.window)
         row = np.searchsorted(first, low, "right") - 1 + i
-        yield Piece(i, j, part, offs, kept, anchor, low, high, h >> _U(64 - bits), row)
+        yield Piece(i, j, part, offs, kept, values, anchor, low, high, h >> _U(64 - bits), row)
 
 
 def doc_ids(table: pa.Table, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +93,26 @@ def bucket_edges(values: np.ndarray, bits: int, n: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(values, limits), [len(values)]]).astype(np.int64)
 
 
+def many_contexts(found: list[Piece], h: np.ndarray, window: int, least: int = MANY) -> np.ndarray:
+    """Which of the ascending distinct anchors h have at least so many contexts among the runs."""
+    out = np.zeros(len(h), bool)
+    own = np.concatenate([p.hash for p in found] or [np.zeros(0, np.uint64)])
+    place = np.minimum(np.searchsorted(h, own), max(len(h) - 1, 0))
+    often = np.bincount(place[h[place] == own], minlength=len(h)) >= least if len(h) else out
+    if not often.any():
+        return out
+    anchors, contexts = [], []
+    for p in found:
+        at = np.minimum(np.searchsorted(h, p.hash), len(h) - 1)
+        some = np.flatnonzero((h[at] == p.hash) & often[at])
+        if len(some):
+            prints = rolling(p.values, window)
+            anchors.append(at[some])
+            contexts.append(mix(prints[p.low[some]] ^ mix(prints[p.high[some]] + (p.anchor - p.low)[some].astype(np.uint64))))
+    pairs = np.unique(np.stack([np.concatenate(anchors).astype(np.uint64), np.concatenate(contexts)], 1), axis=0)
+    return np.bincount(pairs[:, 0].astype(np.int64), minlength=len(h)) >= least
+
+
 def anchor_runs(blocks: DataFrame, spec: Spec, labels: list[int]) -> DataFrame:
     n = len(labels)
 
@@ -94,26 +121,31 @@ def anchor_runs(blocks: DataFrame, spec: Spec, labels: list[int]) -> DataFrame:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 table = unpack_table(payload.as_py())
                 _, valid = doc_ids(table, spec)
-                h, _ = distinct_anchors(list(scan(table, spec)), valid)
+                found = list(scan(table, spec))
+                h, _ = distinct_anchors(found, valid)
+                many = many_contexts(found, h, spec.window, spec.many)
                 at = bucket_edges(h, 48, n)
                 some = [b for b in range(n) if at[b] < at[b + 1]]
-                yield pa.record_batch(
-                    [pa.array([block] * len(some), pa.int64()), pa.array([labels[b] for b in some], pa.int32()), pa.array([pack_sorted(h[at[b] : at[b + 1]]) for b in some], pa.binary())],
-                    names=["block_id", "bucket", "run"],
-                )
+                runs = [pack_arrays(np.frombuffer(pack_sorted(h[at[b] : at[b + 1]]), np.uint8), np.packbits(many[at[b] : at[b + 1]])) for b in some]
+                yield pa.record_batch([pa.array([block] * len(some), pa.int64()), pa.array([labels[b] for b in some], pa.int32()), pa.array(runs, pa.binary())], names=["block_id", "bucket", "run"])
 
     return blocks.mapInArrow(run, "block_id long, bucket int, run binary")
 
 
 def shared(blocks: DataFrame, spec: Spec, labels: list[int]) -> DataFrame:
-    """(block_id, bucket, answer): a bit for each of the block's anchors in the bucket, set if another block has it."""
+    """(block_id, bucket, answer): two bits for each of the block's anchors in the bucket: whether another block has it, whether it is hot."""
 
     def mark(table: pa.Table) -> pa.Table:
-        runs = [unpack_sorted(x.as_py()) for x in table["run"]]
-        every, count = np.unique(np.concatenate(runs), return_counts=True)
-        several = count > 1
-        bits = [squeeze(np.packbits(several[np.searchsorted(every, r)]).tobytes(), 1) for r in runs]
-        return pa.table([table["block_id"], table["bucket"], pa.array(bits, pa.binary())], schema=ANSWER)
+        parts = [unpack_arrays(x.as_py()) for x in table["run"]]
+        runs = [unpack_sorted(x.tobytes()) for x, _ in parts]
+        every, inverse, count = np.unique(np.concatenate(runs), return_inverse=True, return_counts=True)
+        hot = count > MOST_BLOCKS
+        hot[inverse[np.concatenate([np.unpackbits(bits, count=len(r)) for r, (_, bits) in zip(runs, parts, strict=True)]).astype(bool)]] = True
+        out = []
+        for r in runs:
+            at = np.searchsorted(every, r)
+            out.append(squeeze(np.packbits(np.concatenate([count[at] > 1, hot[at]])).tobytes(), 1))
+        return pa.table([table["block_id"], table["bucket"], pa.array(out, pa.binary())], schema=ANSWER)
 
     return anchor_runs(blocks, spec, labels).groupBy("bucket").applyInArrow(mark, ANSWER_DDL)
 
@@ -124,25 +156,36 @@ def answers(table: pa.Table, labels: list[int]) -> dict[int, bytes]:
     return {bucket[b] if b >= 0 else -1: unsqueeze(x.as_py()) for b, x in zip(table["bucket"].to_pylist(), table["answer"], strict=True)}
 
 
-def shared_mask(h: np.ndarray, local: np.ndarray, table: pa.Table, labels: list[int]) -> np.ndarray:
-    at, out = bucket_edges(h, 48, len(labels)), local.copy()
+def shared_masks(h: np.ndarray, local: np.ndarray, table: pa.Table, labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which anchors are shared, and which are hot."""
+    at, out, hot = bucket_edges(h, 48, len(labels)), local.copy(), np.zeros(len(h), bool)
     for b, raw in answers(table, labels).items():
         m = at[b + 1] - at[b]
-        out[at[b] : at[b + 1]] |= np.unpackbits(np.frombuffer(raw, np.uint8), count=m).astype(bool)
-    return out
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=2 * m).astype(bool)
+        out[at[b] : at[b + 1]] |= bits[:m]
+        hot[at[b] : at[b + 1]] = bits[m:]
+    return out, hot
 
 
-def echo(block: int, mask: np.ndarray, n: int) -> dict:
+def echo(block: int, masks: tuple[np.ndarray, np.ndarray], n: int) -> dict:
     """A row that the second round hands back unchanged, so that the last step need not ask for shared anchors again."""
-    return {"block_id": block, "bucket": -1 - block % n, "run": squeeze(np.packbits(mask).tobytes(), 1), "extra": pack_arrays()}
+    return {"block_id": block, "bucket": -1 - block % n, "run": squeeze(np.packbits(np.concatenate(masks)).tobytes(), 1), "extra": pack_arrays()}
 
 
-def keep_shared(found: list[Piece], h: np.ndarray, mask: np.ndarray, valid: np.ndarray) -> list[Piece]:
-    """The pieces with only the runs whose anchor is shared and whose row has an id."""
+def keep_shared(found: list[Piece], h: np.ndarray, masks: tuple[np.ndarray, np.ndarray], valid: np.ndarray, window: int) -> list[Piece]:
+    """The pieces with only the runs whose anchor is shared and whose row has an id; those of hot anchors window by window."""
+    mask, hot = masks
     for p in found:
         at = np.minimum(np.searchsorted(h, p.hash), max(len(h) - 1, 0))
         ok = valid[p.row] & (mask[at] if len(h) else False)
-        p.anchor, p.low, p.high, p.hash, p.row = p.anchor[ok], p.low[ok], p.high[ok], p.hash[ok], p.row[ok]
+        split = ok & (hot[at] if len(h) else False)
+        ok &= ~split
+        start, owner = expand(p.low[split], p.high[split])
+        prints = rolling(p.values, window)[start] if len(start) else np.zeros(0, np.uint64)
+        p.alone = np.concatenate([np.zeros(int(ok.sum()), bool), np.ones(len(start), bool)])
+        row = p.row[split][owner]
+        p.anchor, p.low, p.high = (np.concatenate([x[ok], start]) for x in (p.anchor, p.low, p.high))
+        p.hash, p.row = np.concatenate([p.hash[ok], prints]), np.concatenate([p.row[ok], row])
     return found
 
 
@@ -164,9 +207,9 @@ def exchange(df: DataFrame, spec: Spec, entries: Callable, merge: Callable, fini
             ids, valid = doc_ids(table, spec)
             found = list(scan(table, spec))
             h, local = distinct_anchors(found, valid)
-            mask = shared_mask(h, local, right, labels)
-            out.append(echo(block, mask, n))
-            found = keep_shared(found, h, mask, valid)
+            masks = shared_masks(h, local, right, labels)
+            out.append(echo(block, masks, n))
+            found = keep_shared(found, h, masks, valid, spec.window)
             out += [{"block_id": block, "bucket": labels[b], "run": r, "extra": x} for b, r, x in entries(found, ids, n)]
         return pa.Table.from_pylist(out, ENTRIES)
 
@@ -184,8 +227,8 @@ def exchange(df: DataFrame, spec: Spec, entries: Callable, merge: Callable, fini
             h, _ = distinct_anchors(found, valid)
             told = answers(right, labels)
             raw = told.pop(-1)
-            mask = np.unpackbits(np.frombuffer(raw, np.uint8), count=len(h)).astype(bool)
-            out.append(finish(table, keep_shared(found, h, mask, valid), ids, told, n))
+            bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=2 * len(h)).astype(bool)
+            out.append(finish(table, keep_shared(found, h, (bits[: len(h)], bits[len(h) :]), valid, spec.window), ids, told, n))
         return pa.concat_tables(out)
 
     marks = shared(blocks, spec, labels)

@@ -226,7 +226,7 @@ def removed(table: pa.Table, told: pa.Table, spec: _anchors.Spec) -> list[tuple[
                 late = (w[place] == own) & valid[row] & (ids[row] > least[place])
                 if late.any():
                     mask = mask | cover(starts[late], spec.window, size)
-        out.append((_anchors.Piece(i, j, part, offs, t, *[np.zeros(0, np.int64)] * 5), mask if mask.any() else None))
+        out.append((_anchors.Piece(i, j, part, offs, t, t.hash, *[np.zeros(0, np.int64)] * 5), mask if mask.any() else None))
         at += size
     return out
 

@@ -1,7 +1,10 @@
 """Exact substring dedup over bytes by a common-prefix-aware merge sort of sampled suffixes.
 
 A 50-byte string can repeat in another document only if its anchor does (``_anchors``), so only suffixes that start at
-shared anchors are sorted, each with the few bytes before the anchor that its windows need.  A block sorts its suffixes
+shared anchors are sorted, each with the few bytes before the anchor that its windows need.  Buckets are ranges of the
+suffixes' order: their limits come from a bounded sample of the texts, and only their balance depends on it.  Suffixes
+that begin with the same anchor are in one range; hot anchors, of many contexts, are taken apart, and each of their
+windows is a suffix by itself, dealt by its own content.  A block sorts its suffixes
 and sends each bucket a front-coded run: the length of the prefix shared with the suffix before, and the rest.  A
 bucket merges the runs of all blocks with a loser tree in which every contender carries the length of the prefix it
 shares with the last winner, so bytes known to be equal are never compared again; the merged order comes with the
@@ -18,13 +21,15 @@ an empty table gives an empty result.  Other columns are not looked at, whatever
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sedgewood.llm import _anchors
-from sedgewood.llm._blocks import BLOCK_BYTES, pack_arrays, squeeze, unpack_arrays
+from sedgewood.llm._blocks import BLOCK_BYTES, pack_arrays, partitions, squeeze, unpack_arrays
 from sedgewood.llm._text import BASE, cover, mix
 
 WINDOW, GRAM = 50, 24
@@ -33,12 +38,15 @@ WIDTH = WINDOW + LEFT + 2  # right part, left part from the anchor backwards, bo
 _U = np.uint64
 
 
+_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
+
+
 def _tokens(buf: np.ndarray, offsets: np.ndarray):
-    return None, mix(buf.astype(np.uint64) + _U(1)), offsets
+    return None, _BYTE_VALUES[buf], offsets
 
 
-def _spec() -> _anchors.Spec:
-    return _anchors.Spec(_tokens, GRAM, WINDOW, "text", "id")
+def _spec(many: int = _anchors.MANY) -> _anchors.Spec:
+    return _anchors.Spec(_tokens, GRAM, WINDOW, "text", "id", many)
 
 
 def _keys(p: _anchors.Piece) -> np.ndarray:
@@ -56,15 +64,16 @@ def _keys(p: _anchors.Piece) -> np.ndarray:
     return key
 
 
-def _sorted_suffixes(found: list[_anchors.Piece], ids: np.ndarray, n: int):
+def _sorted_suffixes(found: list[_anchors.Piece], ids: np.ndarray, limits: np.ndarray, n: int):
     """Distinct suffixes of a block by (bucket, suffix) as a matrix, with bucket, smallest id, and each run's place."""
     some = [p for p in found if len(p.anchor)]
     if not some:
         return np.zeros((0, WIDTH), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     key = np.concatenate([_keys(p) for p in some])
-    h = np.concatenate([p.hash for p in some])
+    h, alone = np.concatenate([p.hash for p in some]), np.concatenate([p.alone for p in some])
     doc = ids[np.concatenate([p.row for p in some])]
-    bucket = (h % _U(n)).astype(np.int64)
+    gram = np.ascontiguousarray(key[:, :GRAM]).view(f"S{GRAM}").reshape(-1)
+    bucket = np.where(alone, (h % _U(n)).astype(np.int64), np.searchsorted(limits, gram, "right"))
     order = np.argsort(key.view(f"S{WIDTH}").reshape(-1), kind="stable")
     order = order[np.argsort(bucket[order], kind="stable")]
     new = np.ones(len(order), bool)
@@ -75,17 +84,44 @@ def _sorted_suffixes(found: list[_anchors.Piece], ids: np.ndarray, n: int):
     return key[order[at]], bucket[order[at]], np.minimum.reduceat(doc[order], at), place
 
 
-def _entries(found, ids, n):
-    key, bucket, least, _ = _sorted_suffixes(found, ids, n)
-    at = np.searchsorted(bucket, np.arange(n + 1))
-    for b in range(n):
-        if at[b] < at[b + 1]:
-            part = key[at[b] : at[b + 1]]
-            shared = np.zeros(len(part), np.uint8)
-            differs = part[1:] != part[:-1]
-            shared[1:] = differs.argmax(1)
-            rest = part[np.arange(WIDTH) >= shared[:, None]]
-            yield b, pack_arrays(shared, rest), pack_arrays(least[at[b] : at[b + 1]])
+def _entries(limits: np.ndarray):
+    def entries(found, ids, n):
+        key, bucket, least, _ = _sorted_suffixes(found, ids, limits, n)
+        at = np.searchsorted(bucket, np.arange(n + 1))
+        for b in range(n):
+            if at[b] < at[b + 1]:
+                part = key[at[b] : at[b + 1]]
+                shared = np.zeros(len(part), np.uint8)
+                differs = part[1:] != part[:-1]
+                shared[1:] = differs.argmax(1)
+                rest = part[np.arange(WIDTH) >= shared[:, None]]
+                yield b, pack_arrays(shared, rest), pack_arrays(least[at[b] : at[b + 1]])
+
+    return entries
+
+
+#: Sampled anchors for each bucket's limit.
+SAMPLED = 64
+
+
+def bucket_limits(df: DataFrame, n: int) -> np.ndarray:
+    """Where one bucket ends and the next begins, n - 1 ascending grams at most, from the least ``SAMPLED * n`` of the anchors by hash."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = SAMPLED * n
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for p in _anchors.scan(table, _spec()):
+                own = mix(p.hash)
+                some = np.argsort(own, kind="stable")[:most]
+                key = p.buf[np.minimum(p.anchor[some][:, None] + np.arange(GRAM), max(len(p.buf) - 1, 0))]
+                yield pa.record_batch([pa.array((own[some] >> _U(1)).astype(np.int64)), pa.array([x.tobytes() for x in key], pa.binary())], names=["h", "gram"])
+
+    # one text in sixteen; all of them where there are few
+    texts = df.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0)
+    rows = texts.mapInArrow(grams, "h long, gram binary").distinct().orderBy("h", "gram").limit(SAMPLED * n).collect()
+    found = np.sort(np.array([bytes(r["gram"]) for r in rows], f"S{GRAM}"))
+    return np.unique(found[(np.arange(1, n) * len(found)) // n]) if len(found) else found
 
 
 def _decode(data: bytes) -> tuple[list[bytes], list[int]]:
@@ -209,8 +245,8 @@ def earlier_windows(key: np.ndarray, prefix: np.ndarray, doc: np.ndarray) -> np.
     return out
 
 
-def _digest(table, found, ids, told, n):
-    key, bucket, least, place = _sorted_suffixes(found, ids, n)
+def _digest(limits: np.ndarray, table, found, ids, told, n):
+    key, bucket, least, place = _sorted_suffixes(found, ids, limits, n)
     at, mask = np.searchsorted(bucket, np.arange(n + 1)), np.zeros(len(key), np.uint32)
     for b, raw in told.items():
         mask[at[b] : at[b + 1]] = np.frombuffer(raw, np.uint32)
@@ -239,10 +275,11 @@ def _digest(table, found, ids, told, n):
     return pa.table({"doc_id": table[0].cast(pa.int64()), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(lost, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
 
-def dedup_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def dedup_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, many: int = _anchors.MANY) -> DataFrame:
     """One row per row of df: doc_id, n_bytes, n_removed, n_spans and kept_sha256 (of the kept bytes)."""
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return _anchors.exchange(slim, _spec(), _entries, _merge, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", block_bytes)
+    limits = bucket_limits(slim, partitions(df.sparkSession))
+    return _anchors.exchange(slim, _spec(many), _entries(limits), _merge, partial(_digest, limits), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", block_bytes)
 
 
 DIGEST_SQL = """

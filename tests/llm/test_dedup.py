@@ -50,6 +50,43 @@ def test_bytes_match_brute_force(documents, corpus):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(b), sum(g), runs, hashlib.sha256(kept).hexdigest()), i
 
 
+def test_hot_phrase_is_taken_apart(spark):
+    """A phrase within many different texts: its contexts are dealt by window, and nothing is lost."""
+    rng = np.random.default_rng(4)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    phrase = "the one phrase that all have in common"
+    some = lambda n: letters[rng.integers(0, 27, n)].tobytes().decode()
+    rows = [(i, some(60) + phrase + some(60)) for i in range(120)]
+    rows += [(200 + i, some(30) + rows[i][1][45:130] + some(30)) for i in range(20)]
+    gone = covered({i: t.encode() for i, t in rows}, 50, bytes)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for many in (2, 16, 10**9):
+        got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.dedup_digest(df, block_bytes=4000, many=many).collect()}
+        assert got == {i: sum(g) for i, g in gone.items()}
+    assert sum(map(sum, gone.values())) > 1000
+
+
+def test_hot_anchors_are_found():
+    import pyarrow as pa
+
+    table = pa.table({"id": pa.array(range(40)), "text": [f"{i:045d}the one phrase that all have{i:045d}" for i in range(40)]})
+    found = list(suffix_dedup._anchors.scan(table, suffix_dedup._spec()))
+    h, _ = suffix_dedup._anchors.distinct_anchors(found, np.ones(40, bool))
+    many = suffix_dedup._anchors.many_contexts(found, h, 50)
+    assert 0 < many.sum() < 20
+    masks = np.ones(len(h), bool), many
+    kept = suffix_dedup._anchors.keep_shared(found, h, masks, np.ones(40, bool), 50)
+    alone = np.concatenate([p.alone for p in kept])
+    assert alone.any() and all((p.low[p.alone] == p.high[p.alone]).all() for p in kept)
+
+
+def test_bytes_of_periodic_texts(spark):
+    rows = [(1, "x" * 400_000), (2, "ab" * 100_000), (3, "ba" * 500), (4, "x" * 200), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"]) for r in suffix_dedup.dedup_digest(df).collect()}
+    assert got == {1: (400_000, 0), 2: (200_000, 0), 3: (1_000, 1_000), 4: (200, 200), 5: (0, 0)}
+
+
 @pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup])
 def test_awkward_rows(operator, awkward, nothing):
     rows = operator.dedup_digest(awkward).collect()
