@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sedgewood.llm._blocks import BLOCK_BYTES, bucket_labels, pack_arrays, pack_sorted, packed, partitions, squeeze, unpack_arrays, unpack_sorted, unpack_table, unsqueeze
-from sedgewood.llm._text import buffers, expand, minimizer_runs, mix, pieces, rolling
+from sedgewood.llm._text import buffers, expand, minimizer_runs, mix, pieces, powers, rolling
 
-MANY, MOST_BLOCKS = 16, 4096
+MANY, MOST_BLOCKS, EDGE = 16, 4096, 6
 ANSWER = pa.schema([("block_id", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary())])
 ENTRIES = pa.schema([("block_id", pa.int64()), ("bucket", pa.int32()), ("run", pa.binary()), ("extra", pa.binary())])
 ANSWER_DDL, ENTRIES_DDL = "block_id long, bucket int, answer binary", "block_id long, bucket int, run binary, extra binary"
@@ -74,17 +74,17 @@ def doc_ids(table: pa.Table, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
 
 
-def distinct_anchors(found: list[Piece], valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct anchors of a block's rows with an id, and which of them two rows have."""
+def distinct_anchors(found: list[Piece], valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending distinct anchors of a block's rows with an id, which of them two rows have, and how often each occurs."""
     h = np.concatenate([p.hash for p in found] or [np.zeros(0, np.uint64)])
     row = np.concatenate([p.row for p in found] or [np.zeros(0, np.int64)])
     h, row = h[valid[row]], row[valid[row]]
     if not len(h):
-        return h, np.zeros(0, bool)
+        return h, np.zeros(0, bool), np.zeros(0, np.int64)
     order = np.argsort(h, kind="stable")
     h, row = h[order], row[order]
     at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[at], np.minimum.reduceat(row, at) != np.maximum.reduceat(row, at)
+    return h[at], np.minimum.reduceat(row, at) != np.maximum.reduceat(row, at), np.diff(np.append(at, len(h)))
 
 
 def bucket_edges(values: np.ndarray, bits: int, n: int) -> np.ndarray:
@@ -93,24 +93,28 @@ def bucket_edges(values: np.ndarray, bits: int, n: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(values, limits), [len(values)]]).astype(np.int64)
 
 
-def many_contexts(found: list[Piece], h: np.ndarray, window: int, least: int = MANY) -> np.ndarray:
-    """Which of the ascending distinct anchors h have at least so many contexts among the runs."""
+def many_contexts(found: list[Piece], h: np.ndarray, count: np.ndarray, window: int, least: int = MANY) -> np.ndarray:
+    """Which of the ascending distinct anchors h, which occur so often, have at least so many contexts among the runs.
+
+    Contexts are told apart by the ``EDGE`` tokens at both ends of a run's windows.
+    """
+    often = np.flatnonzero(count >= least)
     out = np.zeros(len(h), bool)
-    own = np.concatenate([p.hash for p in found] or [np.zeros(0, np.uint64)])
-    place = np.minimum(np.searchsorted(h, own), max(len(h) - 1, 0))
-    often = np.bincount(place[h[place] == own], minlength=len(h)) >= least if len(h) else out
-    if not often.any():
+    if not len(often):
         return out
-    anchors, contexts = [], []
+    few, pairs = h[often], []
     for p in found:
-        at = np.minimum(np.searchsorted(h, p.hash), len(h) - 1)
-        some = np.flatnonzero((h[at] == p.hash) & often[at])
+        at = np.minimum(np.searchsorted(few, p.hash), len(few) - 1)
+        some = np.flatnonzero(few[at] == p.hash)
         if len(some):
-            prints = rolling(p.values, window)
-            anchors.append(at[some])
-            contexts.append(mix(prints[p.low[some]] ^ mix(prints[p.high[some]] + (p.anchor - p.low)[some].astype(np.uint64))))
-    pairs = np.unique(np.stack([np.concatenate(anchors).astype(np.uint64), np.concatenate(contexts)], 1), axis=0)
-    return np.bincount(pairs[:, 0].astype(np.int64), minlength=len(h)) >= least
+            edge = np.arange(EDGE)
+            ends = np.concatenate([p.low[some][:, None] + edge, p.high[some][:, None] + window - 1 - edge], 1)
+            context = mix(p.values[ends] * powers(2 * EDGE) + (p.anchor - p.low)[some][:, None].astype(np.uint64)).sum(1, dtype=np.uint64)
+            pairs.append(np.stack([often[at[some]].astype(np.uint64), context], 1))
+    every = np.concatenate(pairs)
+    every = every[np.lexsort(every.T)]
+    new = np.concatenate([[True], (every[1:] != every[:-1]).any(1)])
+    return np.bincount(every[new, 0].astype(np.int64), minlength=len(h)) >= least
 
 
 def anchor_runs(blocks: DataFrame, spec: Spec, labels: list[int]) -> DataFrame:
@@ -122,8 +126,8 @@ def anchor_runs(blocks: DataFrame, spec: Spec, labels: list[int]) -> DataFrame:
                 table = unpack_table(payload.as_py())
                 _, valid = doc_ids(table, spec)
                 found = list(scan(table, spec))
-                h, _ = distinct_anchors(found, valid)
-                many = many_contexts(found, h, spec.window, spec.many)
+                h, _, count = distinct_anchors(found, valid)
+                many = many_contexts(found, h, count, spec.window, spec.many)
                 at = bucket_edges(h, 48, n)
                 some = [b for b in range(n) if at[b] < at[b + 1]]
                 runs = [pack_arrays(np.frombuffer(pack_sorted(h[at[b] : at[b + 1]]), np.uint8), np.packbits(many[at[b] : at[b + 1]])) for b in some]
@@ -206,7 +210,7 @@ def exchange(df: DataFrame, spec: Spec, entries: Callable, merge: Callable, fini
             table = unpack_table(payload.as_py())
             ids, valid = doc_ids(table, spec)
             found = list(scan(table, spec))
-            h, local = distinct_anchors(found, valid)
+            h, local, _ = distinct_anchors(found, valid)
             masks = shared_masks(h, local, right, labels)
             out.append(echo(block, masks, n))
             found = keep_shared(found, h, masks, valid, spec.window)
@@ -224,7 +228,7 @@ def exchange(df: DataFrame, spec: Spec, entries: Callable, merge: Callable, fini
             table = unpack_table(payload.as_py())
             ids, valid = doc_ids(table, spec)
             found = list(scan(table, spec))
-            h, _ = distinct_anchors(found, valid)
+            h, _, _ = distinct_anchors(found, valid)
             told = answers(right, labels)
             raw = told.pop(-1)
             bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=2 * len(h)).astype(bool)

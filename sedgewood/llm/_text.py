@@ -191,8 +191,15 @@ def minimizer_runs(tokens: np.ndarray, first: np.ndarray, k: int, window: int):
         return none, none, none, np.zeros(0, np.uint64)
     stop = np.append(np.flatnonzero(change)[1:], len(least)) - 1
     stop = stop[valid[np.flatnonzero(change)]]
-    # every place from a segment's first window on that has its least hash is the anchor of the windows since the last
-    found = []
+    offs, parts = np.arange(w), []
+    for i in range(0, len(start), 65536):
+        s = start[i : i + 65536]
+        parts.append(s + (h[s[:, None] + offs] == least[s][:, None]).argmax(1))
+    anchor = np.concatenate(parts)
+    found = [(anchor, start, np.minimum(stop, anchor), least[start])]
+    # where the least hash comes again further right, as in periodic text, each place that has it is the next windows' anchor
+    again = stop > anchor
+    start, stop = anchor[again] + 1, stop[again]
     for i in range(0, len(start), 65536):
         s, e = start[i : i + 65536], stop[i : i + 65536]
         at, owner = expand(s, np.minimum(e + w - 1, len(h) - 1))
@@ -204,7 +211,11 @@ def minimizer_runs(tokens: np.ndarray, first: np.ndarray, k: int, window: int):
         some = low <= e[owner]
         at, owner, low = at[some], owner[some], low[some]
         found.append((at, low, np.minimum(at, e[owner]), least[s][owner]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    a, s, e, v = (np.concatenate(x) for x in zip(*found, strict=True))
+    if len(found) == 1:
+        return a, s, e, v
+    order = np.argsort(s, kind="stable")
+    return a[order], s[order], e[order], v[order]
 
 
 def expand(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

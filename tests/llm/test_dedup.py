@@ -71,8 +71,8 @@ def test_hot_anchors_are_found():
 
     table = pa.table({"id": pa.array(range(40)), "text": [f"{i:045d}the one phrase that all have{i:045d}" for i in range(40)]})
     found = list(suffix_dedup._anchors.scan(table, suffix_dedup._spec()))
-    h, _ = suffix_dedup._anchors.distinct_anchors(found, np.ones(40, bool))
-    many = suffix_dedup._anchors.many_contexts(found, h, 50)
+    h, _, count = suffix_dedup._anchors.distinct_anchors(found, np.ones(40, bool))
+    many = suffix_dedup._anchors.many_contexts(found, h, count, 50)
     assert 0 < many.sum() < 20
     masks = np.ones(len(h), bool), many
     kept = suffix_dedup._anchors.keep_shared(found, h, masks, np.ones(40, bool), 50)
