@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def strip(c: Column) -> Column:
@@ -15,6 +17,35 @@ def count_tokens(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")).cast("long")
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str | None:
+    """The file of a public tokenizer's vocabulary, or None where there is none."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return None
+    return str(public_tokenizers.path(name))
+
+
+_ENCODERS: dict = {}
+
+
+def encoded_tokens(c: Column, path: str | None) -> Column:
+    """Tokens by the vocabulary of a tokenizer file; ``count_tokens`` where none is given."""
+    if path is None:
+        return count_tokens(c)
+
+    @pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        if path not in _ENCODERS:
+            from tokenizers import Tokenizer
+
+            _ENCODERS[path] = Tokenizer.from_file(path)
+        encoded = _ENCODERS[path].encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+        return pd.Series([len(e.ids) for e in encoded]).where(texts.notna().to_numpy())
+
+    return count(c)
+
+
 def truncate(c: Column, tokens: int, mark: str = "...(truncated)") -> Column:
     """The first four characters a token, marked where something was cut."""
     n = 4 * tokens

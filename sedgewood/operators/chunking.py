@@ -10,6 +10,8 @@ from pyspark.sql.functions import pandas_udf
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 PLACEHOLDER = r"\[([A-Za-z]+_[A-Za-z0-9]+)_(\d+)\]"
+#: Fixed value: placeholders that stand for several parts; their ids may hold underscores.
+EXPANDED = r"\[(TABLE_[a-zA-Z0-9_]+)_(\d+)\]"
 
 
 def fixed_chunks(df: DataFrame, id_col: str, text: str, size: int, overlap: int) -> DataFrame:
@@ -121,11 +123,11 @@ def expansions(text: Column) -> Column:
 
     Placeholders are first replaced by marks that no replacement can contain, so one never changes another.
     """
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0))))
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(EXPANDED), F.lit(0))))
     hide = F.aggregate(found, text, lambda a, m: F.replace(a, m, F.concat(F.lit("\x01"), F.substring(m, F.lit(2), F.length(m) - 2), F.lit("\x02"))))
 
     def spread(acc: Column, m: Column) -> Column:
-        base, upto = F.regexp_extract(m, PLACEHOLDER, 1), F.regexp_extract(m, PLACEHOLDER, 2).cast("int")
+        base, upto = F.regexp_extract(m, EXPANDED, 1), F.regexp_extract(m, EXPANDED, 2).cast("int")
         mark = F.concat(F.lit("\x01"), F.substring(m, F.lit(2), F.length(m) - 2), F.lit("\x02"))
         return F.flatten(F.transform(acc, lambda c: F.transform(F.sequence(F.lit(0), upto), lambda i: F.replace(c, mark, F.concat(F.lit("["), base, F.lit("_"), i.cast("string"), F.lit("]"))))))
 

@@ -14,17 +14,34 @@ def folded(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit(" "), F.lit(""))
 
 
+def grams(c: str, sizes: str) -> Column:
+    """The distinct substrings of a column that have the sizes of an array."""
+    return F.expr(f"array_distinct(flatten(transform({sizes}, s -> if(length({c}) < s, cast(array() as array<string>), transform(sequence(1, length({c}) - s + 1), i -> substring({c}, i, s))))))")
+
+
+def containing(names: DataFrame, parts: DataFrame) -> DataFrame:
+    """n, t: the pairs of distinct names(n) and parts(t), not empty, where the name contains the part.
+
+    A name that contains a part has each of its three-letter pieces (a shorter part is its own piece), so pairs meet in
+    a join on the part's piece that the fewest names have, and are verified.
+    """
+    pieces = names.select("n").distinct().select("n", F.explode(grams("n", "array(1, 2, 3)")).alias("gram"))
+    often = pieces.groupBy("gram").agg(F.count("*").alias("often"))
+    own = parts.select("t").where("t <> ''").distinct().select("t", F.explode(grams("t", "array(least(3, length(t)))")).alias("gram"))
+    rarest = own.join(often, "gram").groupBy("t").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"))
+    return rarest.join(pieces, "gram").where(F.contains("n", "t")).select("n", "t")
+
+
 def entry_points(targets: DataFrame, nodes: DataFrame, most: int = 10) -> DataFrame:
     """query_id, id, rank: nodes named like a target; for targets without one, all nodes that contain it, by id.
 
-    Names are compared in lower case without spaces.  targets(query_id, target) are a query set; they are what is
-    broadcast where Spark finds them small.
+    Names are compared in lower case without spaces.
     """
     t = targets.select("query_id", folded(F.col("target")).alias("t")).where("t <> ''").distinct()
     n = nodes.select("id", folded(F.col("id")).alias("n"))
     exact = t.join(n, t["t"] == n["n"]).select("query_id", "t", "id")
     rest = t.join(exact.select("query_id", "t").distinct(), ["query_id", "t"], "left_anti")
-    near = n.join(rest, F.contains("n", "t")).select("query_id", "t", "id")
+    near = rest.join(containing(n, rest), "t").join(n, "n").select("query_id", "t", "id")
     found = exact.unionByName(near).select("query_id", "id").distinct()
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id")).cast("long")).where(F.col("rank") <= most)
 
@@ -34,8 +51,13 @@ def first_match(targets: DataFrame, nodes: DataFrame) -> DataFrame:
     t, n = targets.select("query_id", "target", F.lower("target").alias("t")).distinct(), nodes.select("id", "ordinal", F.lower("id").alias("n"))
     exact = t.join(nodes.select("id"), t["target"] == F.col("id")).select("query_id", "target", "id")
     rest = t.join(exact, ["query_id", "target"], "left_anti")
-    near = n.join(rest, F.contains("n", "t") | F.contains("t", "n")).groupBy("query_id", "target").agg(F.min_by("id", F.struct("ordinal", "id")).alias("id"))
-    return exact.unionByName(near)
+    either = containing(n, rest).unionByName(containing(rest.select(F.col("t").alias("n")), n.select(F.col("n").alias("t"))).select(F.col("t").alias("n"), F.col("n").alias("t"))).distinct()
+    met = rest.join(either, "t").join(n, "n").select("query_id", "target", "ordinal", "id")
+    # an empty name is in every other: one row of nodes each
+    least = F.min_by(F.struct("ordinal", "id"), F.struct("ordinal", "id")).alias("least")
+    blank = rest.crossJoin(F.broadcast(n.where("n = ''").agg(least))).unionByName(rest.where("t = ''").crossJoin(F.broadcast(n.agg(least))))
+    every = met.unionByName(blank.where("least is not null").select("query_id", "target", "least.ordinal", "least.id"))
+    return exact.unionByName(every.groupBy("query_id", "target").agg(F.min_by("id", F.struct("ordinal", "id")).alias("id")))
 
 
 def neighbours(entries: DataFrame, edges: DataFrame) -> DataFrame:
@@ -47,11 +69,13 @@ def neighbours(entries: DataFrame, edges: DataFrame) -> DataFrame:
 
 def capped_context(entries: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
     """query_id, id, context: a line for the node, how many connections are left out, then the first ``most`` by edge_seq."""
-    w = Window.partitionBy("query_id", "id")
-    near = neighbours(entries, edges).withColumn("r", F.row_number().over(w.orderBy("edge_seq", "neighbour"))).withColumn("n", F.count("*").over(w))
+    # counted by partial sums; only the first edges of a hub are ranked
+    every = neighbours(entries, edges)
+    counts = every.groupBy("query_id", "id").agg(F.count("*").alias("n"))
+    first = every.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "id").orderBy("edge_seq", "neighbour"))).where(F.col("r") <= most)
     line = F.concat(F.lit("  - ["), "relation", F.lit("] -> "), "neighbour", F.when(F.col("description") != "", F.concat(F.lit("\n    (Details: "), "description", F.lit(")"))).otherwise(""))
-    lines = near.where(F.col("r") <= most).groupBy("query_id", "id").agg(F.max("n").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
-    full = entries.select("query_id", "id").join(nodes.select("id", "type", "description"), "id").join(lines, ["query_id", "id"], "left")
+    lines = first.groupBy("query_id", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    full = entries.select("query_id", "id").join(nodes.select("id", "type", "description"), "id").join(lines.join(counts, ["query_id", "id"]), ["query_id", "id"], "left")
     head = F.concat(F.lit("ENTITY: "), "id", F.lit(" ("), "type", F.lit(") - "), "description")
     cut = F.when(F.col("n") > most, F.concat(F.lit("    (Truncated "), (F.col("n") - most).cast("string"), F.lit(" other connections...)")))
     return full.select("query_id", "id", F.concat_ws("\n", head, cut, F.col("lines")).alias("context"))
@@ -87,4 +111,4 @@ def or_else(context: Column, sentinel: str = "No relevant graph context found.")
     return F.coalesce(F.nullif(context, F.lit("")), F.lit(sentinel))
 
 
-__all__ = ["both_ways", "capped_context", "entry_points", "first_match", "folded", "global_answers", "line_context", "neighbours", "or_else", "sections"]
+__all__ = ["both_ways", "capped_context", "containing", "entry_points", "first_match", "folded", "global_answers", "line_context", "neighbours", "or_else", "sections"]

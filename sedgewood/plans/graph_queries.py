@@ -384,9 +384,8 @@ def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT * FROM ex UNION ALL SELECT query_id, target, arg_min(id, ordinal) FROM d JOIN o ON contains(lower(id), lower(target)) OR contains(lower(target), lower(id)) WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.query_id = d.query_id AND ex.target = d.target) GROUP BY ALL""")
 def entry_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first node that contains a name or that it contains."""
-    ordered = nodes(spark, sf_dir).withColumn("ordinal", F.xxhash64("id"))
     # the ordinal is the order of ids
-    return G.first_match(targets(spark, sf_dir), ordered.withColumn("ordinal", F.col("id")))
+    return G.first_match(targets(spark, sf_dir), nodes(spark, sf_dir).withColumn("ordinal", F.col("id")))
 
 
 _NEAR = f"{_BOTH}, nr AS (SELECT query_id, ep.id, dst AS neighbour, relation, b.description, row_number() OVER (PARTITION BY query_id, ep.id ORDER BY edge_seq, dst) AS r, count(*) OVER (PARTITION BY query_id, ep.id) AS n FROM ep JOIN both_ways AS b ON ep.id = b.src)"

@@ -68,6 +68,19 @@ def recursive_chunks_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame
     return C.recursive_chunks(table(spark, sf_dir, "documents").withColumn("text", text), "doc_id", "text", 1024, 200, C.placeholder_length(500))
 
 
+@query()
+def recursive_chunks_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where a placeholder counts as the Markdown that it becomes."""
+    markdown = {f"TABLE_{t}_{i}": f"md{t}.{i} " * 40 for t in range(6) for i in range(2)}
+    return C.recursive_chunks(marked(spark, sf_dir), "doc_id", "text", 1000, 20, C.restored_length(markdown))
+
+
+@query()
+def token_counts_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document by a public model's vocabulary, where it is installed."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.encoded_tokens(F.col("text"), X.vocabulary()).alias("n_tokens"))
+
+
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a placeholder behind their text, twice for every fifth."""
     mark = F.concat(F.lit("[TABLE_"), (F.col("doc_id") % 7).cast("string"), F.lit("_"), (F.col("doc_id") % 3).cast("string"), F.lit("]"))
@@ -98,11 +111,11 @@ def restore_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.restore_exact(marked(spark, sf_dir), part_rows(spark, sf_dir), ["doc_id"], "text")
 
 
-@query("""SELECT doc_id, CAST(a * (doc_id % 2 + 1) + b AS BIGINT) AS idx, text || '[TABLE_1_' || a || '] or [TABLE_2_' || b || ']' AS content
+@query("""SELECT doc_id, CAST(b * (doc_id % 3 + 1) + a AS BIGINT) AS idx, text || '[TABLE_doc_1_' || a || '] or [TABLE_2_' || b || '] not [table_1_1]' AS content
 FROM documents, LATERAL (SELECT unnest(range(0, doc_id % 3 + 1)) AS a), LATERAL (SELECT unnest(range(0, doc_id % 2 + 1)) AS b)""")
 def expand_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks for every combination of the parts of their tables."""
-    text = F.concat("text", F.lit("[TABLE_1_"), (F.col("doc_id") % 3).cast("string"), F.lit("] or [TABLE_2_"), (F.col("doc_id") % 2).cast("string"), F.lit("]"))
+    text = F.concat("text", F.lit("[TABLE_doc_1_"), (F.col("doc_id") % 3).cast("string"), F.lit("] or [TABLE_2_"), (F.col("doc_id") % 2).cast("string"), F.lit("] not [table_1_1]"))
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.expansions(text)).alias("idx", "content")).select("doc_id", F.col("idx").cast("long").alias("idx"), "content")
 
 

@@ -41,11 +41,14 @@ def merge_pages(pages: DataFrame, key: str, order: str, text: str, start: int |
 def read_artifacts(spark: SparkSession, path: str, text_name: str, json_name: str, schema: str, prefix: str = "") -> DataFrame:
     """folder, text, tables of each folder with the prefix that has both files."""
     folder = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("content").cast("string").alias("body"))
-    named = files.withColumn("folder", folder).where(F.startswith("folder", F.lit(prefix)))
-    texts = named.where(F.endswith("path", F.lit("/" + text_name))).select("folder", F.col("body").alias("text"))
-    tables = named.where(F.endswith("path", F.lit("/" + json_name))).select("folder", F.from_json("body", schema).alias("tables"))
-    return texts.join(tables, "folder")
+
+    def files(name: str) -> DataFrame:
+        # other files and folders are left out when they are listed, so their contents are never read
+        found = spark.read.format("binaryFile").option("pathGlobFilter", name).load(f"{path}/{prefix}*")
+        return found.select(folder.alias("folder"), F.col("content").cast("string").alias("body"))
+
+    tables = files(json_name).select("folder", F.from_json("body", schema).alias("tables"))
+    return files(text_name).withColumnRenamed("body", "text").join(tables, "folder")
 
 
 def read_json_list(spark: SparkSession, path: str) -> DataFrame:

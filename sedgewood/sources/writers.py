@@ -56,6 +56,18 @@ def graph_fragments(nodes: DataFrame, edges: DataFrame, kind: str = "gexf") -> D
     return n.unionByName(e)
 
 
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, kind: str = "gexf") -> None:
+    """A whole GEXF or GraphML file of nodes(id, label) and edges(src, dst), as one part in the folder ``path``."""
+    lines = graph_fragments(nodes, edges, kind)
+    gexf = kind == "gexf"
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', *(('<gexf xmlns="http://gexf.net/1.2draft" version="1.2">', '<graph defaultedgetype="directed">', "<nodes>") if gexf else ('<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<graph edgedefault="directed">'))]
+    middle, tail = (["</nodes>", "<edges>"], ["</edges>", "</graph>", "</gexf>"]) if gexf else ([], ["</graph>", "</graphml>"])
+
+    fixed = nodes.sparkSession.createDataFrame([(i, "\n".join(t)) for i, t in ((0, head), (2, middle), (4, tail)) if t], "place int, value string")
+    body = lines.select(F.when(F.col("section") == "nodes", 1).otherwise(3).alias("place"), "value")
+    fixed.unionByName(body).coalesce(1).sortWithinPartitions("place", "value").select("value").write.mode("overwrite").text(path)
+
+
 def drop_communities(df: DataFrame) -> DataFrame:
     """df without every column that names a community."""
     return df.drop(*(c for c in df.columns if "community" in c))

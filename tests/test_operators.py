@@ -198,3 +198,111 @@ def test_generation_goes_on_until_the_target(spark):
     assert out.count() == 10 and out.distinct().count() == 10 and made[0] == (4, 1)
     stuck = generate_until(lambda n, done: spark.createDataFrame([("q0",)], "question string"), out.limit(0), 5, 2, "question")
     assert stuck.count() == 1
+
+
+def test_next_fit_summaries_compose():
+    import random
+
+    from sedgewood.operators import jobs
+
+    rng = random.Random(1)
+    for _ in range(200):
+        budget = rng.randint(3, 30)
+        blocks = [np.array([rng.randint(0, 12) if rng.random() < 0.9 else rng.randint(20, 50) for _ in range(rng.randint(1, 9))], np.int64) for _ in range(3)]
+        parts = [jobs.summary_of(b, budget) for b in blocks]
+        whole = jobs.composed(jobs.composed(parts[0], parts[1], budget), parts[2], budget)
+        for start in ((-1, 0), (4, rng.randint(1, budget))):
+            state = start
+            for p in parts:
+                state = jobs.advanced(*state, p, budget)
+            assert jobs.advanced(*start, whole, budget) == state
+            part, used = start
+            for s in np.concatenate(blocks).tolist():
+                if part < 0 or used + s > budget:
+                    part, used = part + 1, 0
+                used += s
+            assert (part, used) == state
+
+
+def test_next_fit_over_many_blocks(spark, monkeypatch):
+    import random
+
+    from sedgewood.operators import jobs
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice([0, 1, 5, 9, 40])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, size long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(jobs, "CHAINED", 2)
+    try:
+        got = {r["id"]: r["part"] for r in jobs.next_fit(df, ["id"], "size", 30).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    part, used = -1, 0
+    for i, s in rows:
+        if part < 0 or used + s > 30:
+            part, used = part + 1, 0
+        used += s
+        assert got[i] == part
+
+
+def test_running_parts_of_one_large_group(spark):
+    from sedgewood.operators import jobs
+
+    rows = [("a" if i % 10 else None, i, i % 7) for i in range(2000)]
+    got = {(r["g"], r["id"]): r["part"] for r in jobs.running_parts(spark.createDataFrame(rows, "g string, id long, size long"), ["id"], "size", 50, ["g"]).collect()}
+    so_far = {}
+    for g, i, s in rows:
+        assert got[g, i] == so_far.get(g, 0) // 50
+        so_far[g] = so_far.get(g, 0) + s
+
+
+def test_names_that_contain_names(spark):
+    import itertools
+
+    from sedgewood.operators import graph_retrieval as G
+
+    names = ["", "a", "ab", "abc", "abcd", "xabcy", "bcd", "ABCD", "zz", "müller", "ü"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = {tuple(r) for r in G.containing(df, df.withColumnRenamed("n", "t")).select("n", "t").collect()}
+    assert got == {(n, t) for n, t in itertools.product(names, names) if t and t in n}
+    nodes = spark.createDataFrame([(n or "", i) for i, n in enumerate(names[1:] + [""])], "id string, ordinal int")
+    targets = spark.createDataFrame([(i, t) for i, t in enumerate(["bc", "abcde", "", "q", "zz"])], "query_id long, target string")
+    found = {r["target"]: r["id"] for r in G.first_match(targets, nodes).collect()}
+    assert found == {"bc": "abc", "abcde": "a", "": "", "q": "", "zz": "zz"}
+    plan = G.entry_points(targets, nodes)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_underscores_in_placeholders(spark):
+    from sedgewood.operators import chunking
+
+    df = spark.createDataFrame([("see [TABLE_doc_3_1] and [TABLE_a_0] not [table_1_2]",)], "t string")
+    assert df.select(chunking.expansions(F.col("t")).alias("x")).first()["x"] == [f"see [TABLE_doc_3_{i}] and [TABLE_a_0] not [table_1_2]" for i in range(2)]
+
+
+def test_rebuild_fetches_what_is_not_cached(spark):
+    from sedgewood.operators import jobs
+
+    cached = spark.createDataFrame([("a", "1"), ("a", "2"), ("c", "3")], "file string, line string")
+    log = spark.createDataFrame([("a", "processed"), ("b", "processed"), ("b", "processed"), ("d", "failed")], "file string, status string")
+    out = jobs.rebuild(cached, log, lambda missing: missing.select("file", F.lit("fetched").alias("line")))
+    assert sorted(map(tuple, out.collect())) == [("a", "1"), ("a", "2"), ("b", "fetched"), ("c", "3")]
+
+
+def test_tokens_of_a_vocabulary(spark):
+    import pytest
+
+    from sedgewood.functions import text
+
+    path = text.vocabulary()
+    if path is None:
+        pytest.skip("no public vocabulary here")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    texts = ["", "It's one of 12 words.", "naïve Straße\n\nand more", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, text string")
+    got = {r["id"]: r["n"] for r in df.select("id", text.encoded_tokens(F.col("text"), path).alias("n")).collect()}
+    assert got == {i: None if x is None else len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    assert df.where("id = 1").select(text.encoded_tokens(F.col("text"), None).alias("n")).first()["n"] == 8

@@ -95,3 +95,20 @@ def test_streams_agree_with_batches(spark, tmp_path):
     q.awaitTermination(120)
     assert spark.table("sessions").agg(F.sum("n")).first()[0] == source.count()
     assert events.first_seen(source.union(source)).count() == source.count()
+
+
+def test_whole_graph_files(spark, tmp_path):
+    import glob
+    from xml.etree import ElementTree
+
+    nodes = spark.createDataFrame([(f"n{i}", f'a <b> & "{i}"') for i in range(50)], "id string, label string").repartition(4)
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(49)], "src string, dst string").repartition(3)
+    for kind, ns in (("gexf", "{http://gexf.net/1.2draft}"), ("graphml", "{http://graphml.graphdrawing.org/xmlns}")):
+        writers.write_graph(nodes, edges, f"{tmp_path}/{kind}", kind)
+        (file,) = glob.glob(f"{tmp_path}/{kind}/part-*")
+        root = ElementTree.parse(file).getroot()
+        assert root.tag == ns + kind
+        assert {n.get("id") for n in root.iter(ns + "node")} == {f"n{i}" for i in range(50)}
+        assert {(e.get("source"), e.get("target")) for e in root.iter(ns + "edge")} == {(f"n{i}", f"n{i + 1}") for i in range(49)}
+    back, ways = readers.read_gexf(spark, f"{tmp_path}/gexf")
+    assert back.count() == 50 and ways.count() == 49 and back.where("id = 'n7'").first()["label"] == 'a <b> & "7"'
