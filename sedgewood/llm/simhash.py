@@ -119,11 +119,10 @@ def dedup_stage(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     The groups are those of ``near_copies``: pairs with five-word similarity of 0.8 are beyond the query's three bits.
     Rows of one id are of one group only if their texts are near copies.
     """
-    h = fresh(df, "h")
-    group = fresh(df, "group")
-    place = fresh(df, "place")
-    found = near_copies.components(df, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col), F.col("text_hash").alias(h), F.col("root").alias(group))
-    chosen = df.withColumn(h, F.xxhash64(text_col)).join(found.distinct(), [id_col, h])
-    once = Window.partitionBy(group).orderBy(F.length(text_col), h)
-    ranked = chosen.withColumn(place, F.row_number().over(once)).where(F.col(place) == 1)
-    return ranked.select(*df.columns).union(df.where(F.col(id_col).isNull()))
+    h, place = fresh(df, "h"), fresh(df, "place")
+    found = near_copies.components(df, id_col, text_col).where("doc_id = component_id")
+    chosen = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select(F.col("row.doc_id").alias(id_col), F.col("row.text_hash").alias(h)).distinct()
+    kept = df.withColumn(h, F.xxhash64(text_col)).join(chosen, [id_col, h])
+    # of rows that are repeated whole, one; dealt as the join deals them
+    once = kept.withColumn(place, F.row_number().over(Window.partitionBy(id_col, h).orderBy(F.lit(1)))).where(F.col(place) == 1)
+    return once.select(*df.columns).union(df.where(F.col(id_col).isNull()))
