@@ -124,5 +124,5 @@ def dedup_stage(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     chosen = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select(F.col("row.doc_id").alias(id_col), F.col("row.text_hash").alias(h)).distinct()
     kept = df.withColumn(h, F.xxhash64(text_col)).join(chosen, [id_col, h])
     # of rows that are repeated whole, one; dealt as the join deals them
-    once = kept.withColumn(place, F.row_number().over(Window.partitionBy(id_col, h).orderBy(F.lit(1)))).where(F.col(place) == 1)
+    once = kept.withColumn(place, F.row_number().over(Window.partitionBy(id_col, h).orderBy(F.xxhash64(*df.columns)))).where(F.col(place) == 1)
     return once.select(*df.columns).union(df.where(F.col(id_col).isNull()))
