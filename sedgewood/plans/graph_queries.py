@@ -210,6 +210,18 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.components(*accounts(spark, sf_dir))
 
 
+@query("SELECT 'V' || p_partkey AS id, min('V' || p_partkey) OVER (PARTITION BY p_partkey // 50) AS component FROM part")
+def components_of_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of chains of fifty nodes, every second one closed to a ring, some links turned round or twice."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    last = F.col("k") % 50 == 49
+    ahead = p.join(p.select((F.col("k") - 1).alias("k")), "k").where(~last)
+    ways = ahead.select(key("V", "k").alias("src"), F.concat(F.lit("V"), F.col("k") + 1).alias("dst"))
+    rings = p.where("k % 100 = 49").select(key("V", "k").alias("src"), F.concat(F.lit("V"), F.greatest(F.col("k") - 49, F.lit(1))).alias("dst"))
+    turned = ways.where("src < dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return A.components(p.select(key("V", "k").alias("id")), ways.unionByName(rings).unionByName(turned))
+
+
 @query(f"WITH {_NODES} SELECT id, (SELECT min(id) FROM nodes) AS component FROM nodes WHERE id IN (SELECT 'S' || s_suppkey FROM supplier UNION SELECT 'P' || l_partkey FROM lineitem UNION SELECT 'N' || s_nationkey FROM supplier UNION SELECT 'R' || n_regionkey FROM nation JOIN supplier ON s_nationkey = n_nationkey UNION SELECT 'N' || n_nationkey FROM nation WHERE n_regionkey IN (SELECT n_regionkey FROM nation JOIN supplier ON s_nationkey = n_nationkey))")
 def giant_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of the smallest node of the whole graph."""

@@ -44,10 +44,11 @@ def table_drop_blank_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brand_tables(spark, sf_dir).select("p_brand", T.markdown(T.drop_blank_columns(F.col("cells"))).alias("markdown"))
 
 
-@query("SELECT p_brand, CAST(1 AS INTEGER) AS n_header FROM part GROUP BY p_brand")
+@query("SELECT p_brand, CAST(greatest(1, least(count(*), ascii(right(p_brand, 1)) % 4)) AS INTEGER) AS n_header FROM part GROUP BY p_brand")
 def table_header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leading rows of the header's colour."""
-    return brand_tables(spark, sf_dir).select("p_brand", T.header_rows(F.col("colors")).alias("n_header"))
+    """Leading rows of the header's colour: as many as the brand's name says, or no colour; a later row of that colour is none."""
+    colors = F.expr("transform(cells, (x, i) -> case when i < ascii(right(p_brand, 1)) % 4 then 'grey' when i = ascii(right(p_brand, 1)) % 4 then if(i = 0, null, 'white') when i % 2 = 0 then 'grey' end)")
+    return brand_tables(spark, sf_dir).select("p_brand", T.header_rows(colors).alias("n_header"))
 
 
 _BOX = "SELECT l_orderkey AS page, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS box_id, CAST(l_linenumber * 10 AS DOUBLE) AS x0, CAST(l_linenumber * 5 AS DOUBLE) AS top, l_linenumber * 10 + l_quantity AS x1, l_linenumber * 5 + l_quantity AS bottom FROM lineitem"
