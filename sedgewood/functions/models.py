@@ -34,6 +34,16 @@ class Extractor(Protocol):
         """entities(chunk_id, pos, name, type, description) and relations(chunk_id, pos, source, target, relation) of (chunk_id, text)."""
 
 
+class Judge(Protocol):
+    def __call__(self, *texts: str) -> float:
+        """A score of 0 to 1 for the texts (a question, a context, an answer), one row at a time; may fail."""
+
+
+class Answerer(Protocol):
+    def __call__(self, question: str) -> str:
+        """The answer of one mode to a question; may fail."""
+
+
 NAME = r"[\p{Lu}][\p{L}]{3,}"
 
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.functions import pandas_udf
 
+from sedgewood.functions.models import Answerer, Judge
 from sedgewood.functions.text import signature
 
 
@@ -41,3 +47,53 @@ def valid_answers(df: DataFrame, question: str, answer: str, evasive: list[str],
     for p in evasive:
         bad |= F.contains(F.lower(answer), F.lit(p))
     return df.where(~F.coalesce(bad, F.lit(True)) & (F.length(question) >= least))
+
+
+def judged(df: DataFrame, judges: dict[str, tuple[Judge, list[str]]]) -> DataFrame:
+    """df with a score of each judge on its columns; null where the judge fails or a text is missing, which ``means`` counts as 0."""
+
+    def scorer(judge: Judge):
+        @pandas_udf("double")
+        def score(rows: pd.DataFrame) -> pd.Series:
+            out: list[float | None] = []
+            for texts in rows.itertuples(index=False):
+                try:
+                    out.append(None if any(t is None for t in texts) else float(judge(*texts)))
+                except Exception:  # one row's failure is its own
+                    out.append(None)
+            return pd.Series(out, dtype="float64")
+
+        return score
+
+    for name, (judge, columns) in judges.items():
+        df = df.withColumn(name, scorer(judge)(F.struct(*columns)))
+    return df
+
+
+def run_modes(questions: DataFrame, modes: dict[str, Answerer], question: str = "question") -> DataFrame:
+    """A row for each question and mode: questions' columns with mode, answer, error and latency in seconds.
+
+    A question on which a mode fails has no answer but the error's text, and does not end the run.
+    """
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in questions.schema.fields)}, mode string, answer string, error string, latency double"
+
+    def one(mode: str, answer: Answerer) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for text in batch[question]:
+                    start, found, error = time.perf_counter(), None, None
+                    try:
+                        found = answer(text)
+                    except Exception as e:  # kept with its question
+                        error = f"{type(e).__name__}: {e}"
+                    rows.append((mode, found, error, time.perf_counter() - start))
+                yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(rows, columns=["mode", "answer", "error", "latency"])], axis=1)
+
+        return questions.mapInPandas(run, schema)
+
+    out = None
+    for mode, answer in modes.items():
+        own = one(mode, answer)
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from sedgewood.functions.text import words
+from sedgewood.operators.state import settle
 
 #: Query vectors that are searched for at once; more take more passes, never a larger block.
 QUERY_BLOCK = 4096
@@ -122,6 +123,8 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b:
 
     n = queries.count()
     blocks, found = max(1, -(-n // BM25_BLOCK)), None
+    if blocks > 1:
+        idf = settle(idf)  # the words of the corpus are counted once, not for each block
     for block in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
         rows = part.join(idf, "term", "left").collect()

@@ -72,6 +72,30 @@ def multi_mode_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.unpivot(["conv_id", "turn"], ["question", "answer"], "mode", "text").select("mode", "conv_id", "turn", F.length("text").cast("long").alias("n"))
 
 
+def _head(question: str) -> str:
+    return question[:20]
+
+
+def _strict(question: str) -> str:
+    if len(question) > 60:
+        raise ValueError("too long")
+    return question[-10:]
+
+
+@query(f"WITH q AS ({_QA}) SELECT 'head' AS mode, conv_id, turn, substring(question, 1, 20) AS answer, NULL AS error FROM q UNION ALL SELECT 'strict', conv_id, turn, CASE WHEN length(question) <= 60 THEN right(question, 10) END, CASE WHEN length(question) > 60 THEN 'ValueError: too long' END FROM q")
+def mode_runs_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two modes over all questions, one of which fails on some."""
+    q = questions(spark, sf_dir).select("conv_id", "turn", "question")
+    return E.run_modes(q, {"head": _head, "strict": _strict}).select("mode", "conv_id", "turn", "answer", "error")
+
+
+@query(f"WITH q AS ({_QA}) SELECT conv_id, turn, CASE WHEN length(question) > 0 THEN round(least(1.0::DOUBLE, length(answer)::DOUBLE / length(question)), 6) END AS relevance FROM q")
+def judged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judge passed in from outside; where it fails, there is no score."""
+    q = E.judged(questions(spark, sf_dir), {"relevance": (lambda question, answer: min(1.0, len(answer) / len(question)), ["question", "answer"])})
+    return q.select("conv_id", "turn", F.round("relevance", 6).alias("relevance"))
+
+
 @query(f"WITH q AS ({_QA}) SELECT conv_id, turn, CASE WHEN ('0x' || substr(md5(question), 1, 4))::BIGINT % 2 = 0 THEN 'headline' ELSE 'keyphrase' END AS kind FROM q")
 def question_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions split evenly into two kinds by a hash."""

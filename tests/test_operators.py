@@ -306,3 +306,18 @@ def test_tokens_of_a_vocabulary(spark):
     got = {r["id"]: r["n"] for r in df.select("id", text.encoded_tokens(F.col("text"), path).alias("n")).collect()}
     assert got == {i: None if x is None else len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
     assert df.where("id = 1").select(text.encoded_tokens(F.col("text"), None).alias("n")).first()["n"] == 8
+
+
+def test_modes_and_judges_keep_failures_to_their_rows(spark):
+    df = spark.createDataFrame([(1, "one"), (2, "boom"), (3, None)], "id int, question string")
+
+    def fails(q):
+        if q == "boom":
+            raise RuntimeError("no")
+        return q.upper()
+
+    got = {(r["mode"], r["id"]): (r["answer"], r["error"], r["latency"] >= 0) for r in evaluation.run_modes(df, {"a": fails, "b": str}).collect()}
+    assert got["a", 1] == ("ONE", None, True) and got["a", 2] == (None, "RuntimeError: no", True) and got["a", 3][1].startswith("AttributeError")
+    assert got["b", 2] == ("boom", None, True) and len(got) == 6
+    scores = {r["id"]: r["s"] for r in evaluation.judged(df, {"s": (lambda q: 1 / (len(q) - 4), ["question"])}).collect()}
+    assert scores == {1: -1.0, 2: None, 3: None}
