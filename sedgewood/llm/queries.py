@@ -9,7 +9,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sedgewood.llm import decontamination, html_extraction, importance, packing, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, url_filters
+from sedgewood.llm import decontamination, filter_audit, html_extraction, importance, packing, phrases, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, toxicity, url_filters
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -94,3 +94,24 @@ def op6_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_phrase_collocations"] = phrases.COLLOCATIONS_SQL
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+ORACLE_SQL["op12_filter_audit"] = filter_audit.AUDIT_SQL
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
