@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sedgewood.functions import models as M
-from sedgewood.operators import graph_analytics as A, graph_build as B, graph_retrieval as G, retrieval as R
+from sedgewood.operators import graph_analytics as A, graph_build as B, graph_retrieval as G, leiden, retrieval as R
+from sedgewood.operators.state import settle
 from sedgewood.plans.registry import query, table
 
 # --- the graph -------------------------------------------------------------------------------------------------------
@@ -361,6 +362,40 @@ def communities_hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.hierarchy(links, [0.1, 0.2, 0.3, 0.4], [10, 20, 100, None])
 
 
+_SUPPLY_IDS = "SELECT 'P' || l_partkey AS id FROM lineitem UNION SELECT 'S' || l_suppkey FROM lineitem"
+
+
+@query(f"SELECT count(*) AS placed, 0::BIGINT AS in_pieces, true AS above_stars FROM ({_SUPPLY_IDS})")
+def leiden_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat communities of parts and suppliers, judged: nodes placed, communities that are not connected, and whether their
+    modularity is above that of parts put with the supplier they have most lines with."""
+    e = settle(supply_edges(spark, sf_dir))
+    found = leiden.leiden(e, levels=2, rounds=8)
+    pieces = settle(leiden.connected(e, found).join(found.withColumnRenamed("community", "whole"), "id").groupBy("whole").agg(F.count_distinct("community").alias("n")))
+    best = e.groupBy("src").agg(F.max_by("dst", F.struct("weight", "dst")).alias("community"))
+    stars = best.select(F.col("src").alias("id"), "community").union(e.select("dst", "dst").distinct())
+    strength = leiden.singles(e).select("id", "k", "size")
+    values = [leiden.quality(e, settle(strength.join(x, "id"))) for x in (found, stars)]
+    placed = found.join(strength, "id", "left_semi").agg(F.count_distinct("id").alias("placed"))
+    return placed.join(pieces.agg(F.count_if(F.col("n") > 1).alias("in_pieces")), how="cross").withColumn("above_stars", F.lit(values[0] >= values[1]))  # two single rows
+
+
+@query(f"SELECT count(*) AS placed, true AS within_limits, true AS only_filled_go_on FROM ({_SUPPLY_IDS})")
+def capped_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of parts and suppliers on three levels under size limits, judged: nodes placed on the finest level, no
+    community above its limit, and only communities that fill nine tenths of it on the next level."""
+    limits = {2: 10, 1: 20}
+    e = settle(supply_edges(spark, sf_dir))
+    rows = settle(leiden.capped_hierarchy(e, [0.1, 0.2, 0.3], [10, 20, None], rounds=2))
+    fine, upper = (rows.where(F.col("level") == n).select("id", F.col("community").alias(f"c{n}")) for n in (2, 1))
+    size = fine.groupBy("c2").agg(F.count_distinct("id").alias("n"))
+    went = fine.join(upper, "id").join(size, "c2")
+    held = went.groupBy("c1").agg(F.count_distinct("c2").alias("n"))
+    one = fine.agg(F.count_distinct("id").alias("placed"))
+    checks = size.agg(F.max("n").alias("a")).join(held.agg(F.coalesce(F.max("n"), F.lit(0)).alias("b")), how="cross").join(went.agg(F.coalesce(F.min("n"), F.lit(limits[2])).alias("c")), how="cross")
+    return one.join(checks, how="cross").select("placed", ((F.col("a") <= limits[2]) & (F.col("b") <= limits[1])).alias("within_limits"), (F.col("c") >= int(limits[2] * 0.9)).alias("only_filled_go_on"))  # single rows
+
+
 @query(f"WITH {_NODES}, {_EDGES}, {_DEGREES} SELECT id, type, description, degree, true AS known FROM deg JOIN nodes USING (id) WHERE id IN ('S1', 'P7', 'N3', 'R0', 'X1')")
 def node_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Point lookups: attributes and degree of named nodes."""
