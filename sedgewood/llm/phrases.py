@@ -31,8 +31,8 @@ from sedgewood.llm._state import settle
 from sedgewood.llm._text import buffers, pieces
 
 LONGEST, LEAST, TOP = 3, 10, 2000
-#: Bytes of text whose equal paths are sent once; rows sent at once; paths sampled for each range's limits, and from a task.
-STRETCH, BATCH, SAMPLED, PER_TASK = 8 << 20, 50_000, 256, 4096
+#: Bytes of text whose equal paths are sent once; rows sent at once; paths sampled for each range's limits.
+STRETCH, BATCH, SAMPLED = 8 << 20, 50_000, 64
 JOINT = "\x01"
 _KIND = np.zeros(256, np.int8)
 _KIND[[0x20, 0x09]] = 1
@@ -165,10 +165,11 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lo
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, _ = next(stretches(batches), (pa.array([], pa.string()), None))
-        yield pa.record_batch([found.take(pa.array(np.arange(0, len(found), max(1, len(found) // PER_TASK))))], names=["path"])
+        step = max(1, len(found) // per_task)
+        yield pa.record_batch([found.take(pa.array(np.arange(step // 2, len(found), step)))], names=["path"])
 
-    sampled = slim.mapInArrow(sample, "path string").orderBy(F.xxhash64("path", F.spark_partition_id()), "path").limit(SAMPLED * n)
-    drawn = sorted(r["path"] for r in sampled.collect())
+    per_task = -(-SAMPLED * n // max(1, slim.rdd.getNumPartitions()))  # so the sample follows the ranges, not the tasks
+    drawn = sorted(r["path"] for r in slim.mapInArrow(sample, "path string").collect())
     limits = sorted({drawn[k * len(drawn) // n] for k in range(1, n)}) if drawn else []
     labels = bucket_labels(spark, n)
 
