@@ -24,7 +24,8 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 ITERATIONS, DAMPING, THRESHOLD = 10, 0.85, 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*https?://([^/?#"'\s>]+)"""
+# no part of the pattern may run past the next "<", nor two parts over the same spaces: a page of open tags is read in linear time
+_LINK = r"""(?i)<a\s[^<>]*?href\s{0,8}=\s{0,8}["']?\s{0,8}https?://([^/?#"'\s<>]+)"""
 
 
 def host_of(url: Column) -> Column:

@@ -170,3 +170,14 @@ def test_scores_sum_to_one(spark):
 def test_marked_elements_are_excluded():
     kept = read("<article><p>a</p><div id='userComments'><p>b</p></div><p class='cookiebar'>c</p><section class='post body'>d</section><form>e</form><p hidden>f</p><div role=banner>g</div></article>").blocks
     assert kept == ["a", "d"]
+
+
+def test_links_are_found_in_linear_time(spark):
+    import time
+
+    texts = ["<a " * 350_000, "<a " + "href=" * 200_000, "<a href" + " " * 1_000_000, "<a href=" + " " * 1_000_000 + "'", "<a " + " " * 1_000_000, "<a href='https://x.example.com" * 30_000]
+    df = spark.createDataFrame([(f"https://h{i}.example.net/", t) for i, t in enumerate(texts)], "url string, html string")
+    start = time.perf_counter()
+    got = url_filters.host_links(df).collect()
+    assert time.perf_counter() - start < 10
+    assert [(r["src"], r["dst"]) for r in got] == [("h5.example.net", "x.example.com")]
