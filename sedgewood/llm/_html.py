@@ -3,12 +3,19 @@
 It reads tags, comments, and the raw bodies of scripts and styles, and closes what a start tag implies closed.  An
 element's hash is made from its tags, its text and the hashes of the elements in it, so a page is read in time linear in
 its length, however deep its elements lie and whatever stays open.  It is no browser: tables and lists are plain blocks.
+
+Menus, footers, forms and the like are known by tag and role.  A class or id is only believed if more speaks for it.
+Outside of articles the element must hold less than half of the page.  Within an article all words of the name must mean
+furniture or layout (``share-buttons``, not ``share-price``) and the element hold less than a quarter of the article, or
+half if one of ``STEMS`` is in it; or half of its text must be links.  Comments may be of any length, but follow a text; they are also known by a heading
+such as "3 responses".
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from html import unescape
 
 import xxhash
 
@@ -18,7 +25,7 @@ _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[
 
 #: Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select".split())
+RAW = frozenset("script style textarea title noscript template iframe svg annotation annotation-xml object select".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
@@ -33,7 +40,17 @@ LABELS = frozenset(
 )
 #: Parts of longer labels that mean the same wherever they stand.
 STEMS = ("comment", "cookie", "advert", "sidebar", "newsletter", "disqus", "sponsor", "navbar", "breadcrumb", "masthead")
+#: Words that say nothing more in a label.
+LAYOUT = frozenset(
+    "box block list container wrapper wrap bar area section sections buttons button links link icons icon posts articles slot unit top bottom left right inner outer main page "
+    "site post article content items item panel card inline user group row holder module text title heading form count counter js the".split()
+)
+#: What a label may say of comments without being their place; and headings of comments, after their number.
+STATES = frozenset("has no with without allow enable enabled open closed".split())
+_REMARKS = re.compile(r"\s*\d{1,7}\s+(?:reader\s+|user\s+)?(?:comments?|responses?|replies|reply|kommentare?|antworten|commentaires?|réponses?|comentarios?|respuestas?)\b.{0,40}$", re.I | re.S)
 _LABEL = re.compile("[a-z]+")
+#: How far a label is believed: not at all, with links, in an element of less than a quarter or half of the text, as comments.
+NONE, WEAK, STRONG, SURE, REMARKS = range(5)
 #: A start tag of the key's kind closes an open element of these kinds.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}, "body": {"head"}}
 _SCOPES = frozenset("table ul ol dl article section div main body html aside nav footer header form blockquote figure".split())
@@ -52,6 +69,8 @@ class Element:
     place: int = -1  # among the page's elements
     state: object = None  # running hash of what it holds
     form_main: bool = False  # a form that holds an article or main
+    label: int = 0  # what its labels say
+    scope: int = -1  # place of the article or main that it lies in
 
 
 @dataclass
@@ -62,16 +81,34 @@ class Page:
     elements: list[tuple[int, int, int, int]] = field(default_factory=list)  # first block, block after the last, kind, hash of markup and content
 
 
-def _labelled(attrs: str) -> tuple[bool, bool]:
-    """Whether the attributes hide an element, and whether its class, id or role names something that is no content."""
-    hidden = named = False
+def _meaning(name: str, inside: bool) -> int:
+    """How far one class or id is believed; within an article only if all its words are furniture or layout."""
+    words = _LABEL.findall(name.lower())
+    stem = any(s in w for w in words for s in STEMS)
+    if not stem and LABELS.isdisjoint(words):
+        return NONE
+    if not inside:
+        return SURE
+    if not STATES.isdisjoint(words):
+        return NONE
+    known = all(w in LABELS or w in LAYOUT or any(s in w for s in STEMS) for w in words)
+    if any("comment" in w or w in ("disqus", "replies") for w in words):
+        return REMARKS if known else WEAK
+    return (SURE if stem else STRONG) if known else WEAK
+
+
+def _labelled(attrs: str, inside: bool) -> tuple[bool, bool, int]:
+    """Whether the attributes hide an element, whether its role is no content, and how far its classes and id say that it is none."""
+    hidden, role, label = False, False, NONE
     if attrs and ("=" in attrs or "hidden" in attrs.lower()):
         for name, value in _ATTR.findall(attrs):
-            name, value = name.lower(), value.strip("\"'").lower()
-            hidden |= name == "hidden" and value in ("", "hidden", "true") or name == "aria-hidden" and value == "true"
-            labels = _LABEL.findall(value) if name in ("class", "id") else []
-            named |= name == "role" and value in ROLES or not LABELS.isdisjoint(labels) or any(s in x for x in labels for s in STEMS)
-    return hidden, named
+            name, value = name.lower(), value.strip("\"'")
+            low = value.lower()
+            hidden |= name == "hidden" and low in ("", "hidden", "true") or name == "aria-hidden" and low == "true"
+            role |= name == "role" and low in ROLES
+            if name in ("class", "id"):
+                label = max([label, *(_meaning(v, inside) for v in value.split())])
+    return hidden, role, label
 
 
 class _Reader:
@@ -86,8 +123,14 @@ class _Reader:
         self.blocks: list[str] = []
         self.elements: list[list] = []
         self.gone: list[tuple[int, int]] = []  # blocks of excluded elements
+        self.doubts: list[tuple[int, int, int, int]] = []  # blocks of labelled elements, their scope and label
+        self.within: list[int] = []  # scope of each element
+        self.articles: list[int] = []  # places of the open articles and mains
+        self.forms: list[Element] = []
+        self.linked, self.link_chars = False, 0
+        self.links: list[int] = []  # characters of each block that are in links
         self.holders: list[Element] = []  # open elements with a hash
-        self.muted = self.mains = 0  # open inline elements that are excluded; open articles and mains
+        self.muted = 0  # open inline elements that are excluded
         self.quoted = True
 
     def tag_end(self, at: int) -> int:
@@ -110,6 +153,8 @@ class _Reader:
             self.text.clear()
             if body and not body.isspace():
                 self.blocks.append(body)
+                self.links.append(self.link_chars)
+            self.link_chars = 0
 
     def say(self, raw: str) -> None:
         if self.holders:
@@ -128,13 +173,20 @@ class _Reader:
             self.scopes.pop()
         self.open[e.tag] -= 1
         self.scopes[-1][e.tag] -= 1
+        if e.tag == "form":
+            self.forms.pop()
+            if self.forms:
+                self.forms[-1].form_main |= e.form_main
+        if e.label and len(self.blocks) > e.first:
+            self.doubts.append((e.first, len(self.blocks), e.scope, e.label))
         if e.kind < 0:
             if e.tag not in BLOCK:
                 self.muted -= e.excluded
             elif e.excluded:
                 self.exclude(e)
             return
-        self.mains -= e.kind != CONTAINER
+        if e.kind != CONTAINER:
+            self.articles.pop()
         self.holders.pop()
         digest = e.state.digest()
         if self.holders:
@@ -154,6 +206,7 @@ class _Reader:
     def end_tag(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
+        self.linked &= tag != "a"
         if self.open.get(tag):
             k = len(self.stack) - 1
             while self.stack[k].tag != tag:
@@ -164,12 +217,15 @@ class _Reader:
         if tag in VOID or tag in ("td", "th"):
             self.text.append(" ")
             return
-        hidden, named = _labelled(attrs)
+        hidden, role, label = _labelled(attrs, bool(self.articles))
         if tag not in BLOCK:
-            if hidden or named or tag in EXCLUDED:
+            # within an article, a labelled link or word is part of its sentence
+            if hidden or role or tag in EXCLUDED or label and not self.articles:
                 self.push(Element(tag, len(self.blocks), True))
                 self.muted += 1
+            self.linked |= tag == "a"
             return
+        self.linked = False
         self.flush()
         shut = _CLOSES.get(tag, frozenset()) | {"p"}
         inner = self.scopes[-1]
@@ -180,17 +236,22 @@ class _Reader:
             self.pop_to(k)
         article = tag in ("article", "main")
         # the heading of an article is its own; labels of a page or an article say nothing about its text
-        excluded = hidden or tag in EXCLUDED and not (tag == "header" and self.mains) or named and not article and tag not in ("html", "body")
-        e = Element(tag, len(self.blocks), excluded)
+        excluded = hidden or tag in EXCLUDED and not (tag == "header" and self.articles) or role and not article and tag not in ("html", "body")
+        e = Element(tag, len(self.blocks), excluded, scope=self.articles[-1] if self.articles else -1)
+        if not article and tag not in ("html", "body"):
+            e.label = label
+        if tag == "form":
+            self.forms.append(e)
         if tag not in PROSE:
-            e.kind = (SUSPECT if named else ARTICLE) if tag == "article" else MAIN if article else CONTAINER
+            e.kind = (SUSPECT if role or label else ARTICLE) if tag == "article" else MAIN if article else CONTAINER
             e.place, e.state = len(self.elements), xxhash.xxh64(raw.encode("utf-8", "surrogatepass"))
             self.elements.append([e.first, e.first, e.kind, 0])
+            self.within.append(e.scope)
             self.holders.append(e)
             if article:
-                self.mains += 1
-                for outer in self.stack if self.open.get("form") else ():
-                    outer.form_main |= outer.tag == "form"
+                self.articles.append(e.place)
+                if self.forms:
+                    self.forms[-1].form_main = True
         self.push(e)
 
     def read(self) -> Page:
@@ -240,10 +301,38 @@ class _Reader:
         self.say(raw)
         if not self.muted:
             self.text.append(raw)
+            if self.linked:
+                self.link_chars += len(raw.strip())
+
+    def believed(self) -> list[tuple[int, int]]:
+        """The blocks of labelled elements, and of comments by their heading, that what else is known speaks against."""
+        n = len(self.blocks)
+        gone = [0] * (n + 1)
+        for a, b in self.gone:
+            gone[a] += 1
+            gone[b] -= 1
+        text, links, depth = [0], [0], 0
+        for i, block in enumerate(self.blocks):
+            depth += gone[i]
+            text.append(text[-1] + (0 if depth else len(block.strip())))
+            links.append(links[-1] + (0 if depth else self.links[i]))
+        out = []
+        for a, b, scope, label in self.doubts:
+            start, stop = self.elements[scope][:2] if scope >= 0 else (0, n)
+            size, whole = text[b] - text[a], text[stop] - text[start]
+            linked = 2 * (links[b] - links[a]) >= size
+            after = text[a] > text[start]  # comments follow a text
+            if linked and size < whole or label == STRONG and 4 * size < whole or label == SURE and 2 * size < whole or label == REMARKS and after:
+                out.append((a, b))
+        heads = {i for i, block in enumerate(self.blocks) if len(block) < 200 and _REMARKS.match(unescape(block))}
+        for (a, b, kind, _), scope in zip(self.elements, self.within, strict=True) if heads else ():
+            if kind == CONTAINER and a in heads and b > a + 1 and text[a] > text[self.elements[scope][0] if scope >= 0 else 0]:
+                out.append((a, b))
+        return out
 
     def page(self) -> Page:
         left = [0] * (len(self.blocks) + 1)
-        for a, b in self.gone:
+        for a, b in self.gone + self.believed():
             left[a] += 1
             left[b] -= 1
         depth, place, blocks = 0, [0] * (len(left)), []

@@ -8,8 +8,8 @@ menus, counts once and loses nothing.  Template subtrees are deleted from each p
 
 Of what is left, the article (or main) element with most text is the main text if it has a quarter of the page's; in a
 main, an article that has half of it.  A page without such an element gives all that is left.  Elements that HTML itself
-or their labels mark as no content (menus, headers, footers, asides, forms, and so on) never count, as a host with few
-pages cannot tell these by counting.
+marks as no content (menus, headers, footers, asides, forms, and so on) never count, as a host with few pages cannot tell
+these by counting; a class or id alone takes no element out (``_html``).
 
 Pages are read once and travel once, as compressed blocks, by a key of the row; only (host, hash) pairs are shuffled to
 be counted, with partial sums before.
@@ -76,9 +76,16 @@ def main_text(blocks: list[str], elements: list, gone: set[int]) -> str:
 
     w = weights()
     # an article whose labels speak against it goes, unless it is most of the page
+    step, depth = [0] * (len(blocks) + 1), 0
     for a, b, kind, _ in elements:
         if kind == SUSPECT and 2 * (w[b] - w[a]) < w[-1]:
-            alive = [i for i in alive if not a <= i < b]
+            step[a] += 1
+            step[b] -= 1
+    inside = []
+    for x in step:
+        depth += x
+        inside.append(depth)
+    alive = [i for i in alive if not inside[i]]
     w = weights()
     mains = [(w[b] - w[a], -a, b, kind) for a, b, kind, _ in elements if kind != CONTAINER and w[b] > w[a]]
     if mains:

@@ -181,3 +181,42 @@ def test_links_are_found_in_linear_time(spark):
     got = url_filters.host_links(df).collect()
     assert time.perf_counter() - start < 10
     assert [(r["src"], r["dst"]) for r in got] == [("h5.example.net", "x.example.com")]
+
+
+def test_class_words_alone_delete_nothing():
+    body = "<p>" + "The body of the article, in whole sentences. " * 4 + "</p>"
+    plain = text_of(f"<article>{body}</article>")
+    for word in ("share", "related", "notice", "banner", "menu", "respond", "widget", "promo"):
+        assert text_of(f"<article><h1>T</h1><div class='{word}-price'><p>The price rose. It fell.</p></div><p>end</p></article>") == "T\nThe price rose. It fell.\nend"
+        assert text_of(f"<article><h1>T</h1><div class='{word}'>{body}</div><p>end</p></article>") == f"T\n{plain}\nend"
+        assert text_of(f"<article>{body}<p>See <a class='{word}' href='/x'>the other one</a> too.</p></article>") == f"{plain}\nSee the other one too."
+        # furniture by name and size, or by its links
+        assert text_of(f"<article>{body}<div class='{word}-box'><p>Tell a friend.</p></div></article>") == plain
+        assert text_of(f"<article>{body}<div class='{word}-price'><a href='/1'>One</a> <a href='/2'>Two</a></div></article>") == plain
+    assert text_of("<article><p>As <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> shows.</p></article>") == "As x=2 shows."
+
+
+def test_comments_by_name_and_structure():
+    body, said = "<p>The article itself.</p>", "<p>I liked it. " + "So did I. " * 30 + "</p>"
+    for box in (f"<div class='comments'>{said}</div>", f"<section id='commentList'>{said}</section>", f"<div class='user-feedback'><h2>3 responses</h2>{said}</div>", f"<ol><li>12 Kommentare</li><li>{said}</li></ol>"):
+        assert text_of(f"<article>{body}{box}</article>") == "The article itself.", box
+    assert text_of(f"<article><h1>T</h1><div class='has-comments'>{body}</div></article>") == "T\nThe article itself."
+    assert text_of("<article><p>We had</p><p>3 responses</p><p>to the survey.</p></article>") == "We had\n3 responses\nto the survey."
+
+
+def test_forms_and_suspects_in_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for html in ("<form>" + "<article>" * 40_000 + "x", "<article class='comment'>x</article>" * 20_000, "<form>" * 20_000 + "<article>" * 20_000 + "x", "<article><div class='share-x'>" * 20_000 + "x"):
+        text_of(html)
+    assert time.perf_counter() - start < 10
+
+
+def test_templates_within_articles_go(spark):
+    box = "<div><p>Read all of our series on this page.</p></div>"
+    rows = [page(i, "a.example.com", f"<article><h1>Title {i}</h1><p>The article of number {i} is a text of its own.</p>{box}</article>", f"/en/{i}") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    on = {r["page_id"]: r["text"] for r in html_extraction.extract(df).collect()}
+    off = {r["page_id"]: r["text"] for r in html_extraction.extract(df, min_pages=10**9).collect()}
+    assert all("our series" in off[i] and on[i] == f"Title {i}\nThe article of number {i} is a text of its own." for i in range(8))
