@@ -2,8 +2,9 @@
 
 Words lose punctuation and case; numbers (digits or number words), units after a number, and names (capitalised within a
 sentence, a run of them as one) become typed placeholders.  A document and a benchmark item that share a window of 13
-such tokens (a shorter item: all of them) at least 7 of which (of a shorter item: half) are words, may hold the same
-question with other parameters.  The windows of one pair that follow each other on one diagonal are then laid over each
+such tokens (a shorter item: all of them) at least 7 of which (of a shorter item: half, and 5) are words, may hold the
+same question with other parameters; an operator counts as two words.  A number is split from letters after it (``12x``)
+and at operators; an operator after a number or a letter belongs to the token that follows.  The windows of one pair that follow each other on one diagonal are then laid over each
 other, and the slots must agree: one value of the item always faces one value of the document, and the reverse.  Such
 runs are leaks.  Windows that agree word for word are leaks too, however few of their tokens are words and whatever the
 slots around them say, so every item has an exact way; an item of one or two tokens is one only as a whole document.
@@ -34,9 +35,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from sedgewood.llm._blocks import partitions
 from sedgewood.llm._state import fresh, settle
-from sedgewood.llm._text import IS_SPACE, MIX, buffers, mix, pieces, rolling, span_hash, words
+from sedgewood.llm._text import IS_SPACE, MIX, Words, buffers, mix, pieces, rolling, span_hash, words
 
-WINDOW, SHORTEST, MIN_WORDS = 13, 3, 7
+WINDOW, SHORTEST, MIN_WORDS, SHORT_WORDS, OPERATOR_WORDS = 13, 3, 7, 5, 2
 #: Bits of the filter for each benchmark window, and the fewest and most bits that it has.
 BITS, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 28
 
@@ -64,6 +65,11 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xE0)]] = True
+_OPERATOR, _NARROW = np.zeros(256, bool), np.zeros(256, bool)
+_OPERATOR[[ord(c) for c in "+-*/=^<>%"]] = True
+_NARROW[[ord(c) for c in "-/"]] = True  # operators only between digits, within a word
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:"]] = True
 
@@ -79,6 +85,26 @@ class Tokens:
     word: np.ndarray  # number of the raw word within its row
     row: np.ndarray
     first: np.ndarray
+    operator: np.ndarray  # hash of the operator before it, else 0
+
+
+def _segments(buf: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and word of the parts of words: cut at operators beside digits, and between a number and the letters after it."""
+    digit, alnum = _DIGIT[buf], _ALNUM[buf]
+    p = np.flatnonzero(_OPERATOR[buf])
+    p = p[(p > 0) & (p < len(buf) - 1)]
+    p = p[alnum[p - 1] & alnum[p + 1] & np.where(_NARROW[buf[p]], digit[p - 1] & digit[p + 1], digit[p - 1] | digit[p + 1])]
+    q = np.flatnonzero(digit[:-1] & _LETTER[buf[1:]]) + 1
+    if len(q):
+        before = np.flatnonzero(~digit)  # the byte before the run of digits must be no letter
+        at = np.searchsorted(before, q) - 1
+        own = w.start[np.searchsorted(w.start, q, "right") - 1]
+        q = q[(at < 0) | (before[at] < own) | ~alnum[before[at]]]
+    if not len(p) and not len(q):
+        return w.start, w.end, np.arange(len(w.start))
+    start = np.unique(np.concatenate([w.start, p, p + 1, q]))
+    word = np.searchsorted(w.start, start, "right") - 1
+    return start, np.minimum(np.append(start[1:], len(buf)), w.end[word]), word
 
 
 def _lowered(buf: np.ndarray) -> np.ndarray:
@@ -104,23 +130,32 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> Tokens:
     rows = len(offsets) - 1
     if not len(w.start):
         z = np.zeros(0, np.int64)
-        return Tokens(np.zeros(0, np.uint64), z, np.zeros(0, np.uint64), z, z, z, np.zeros(rows + 1, np.int64))
+        return Tokens(np.zeros(0, np.uint64), z, np.zeros(0, np.uint64), z, z, z, np.zeros(rows + 1, np.int64), np.zeros(0, np.uint64))
+    start, end, word = _segments(buf, w)
+    own_row = w.row[word]
     low, keep = _lowered(buf), _ALNUM[buf] & ~IS_SPACE[buf]
-    value = span_hash(low, keep, w.start, w.end)
+    value = span_hash(low, keep, start, end)
     kept = np.concatenate([[0], np.cumsum(keep)])
     digit = np.concatenate([[0], np.cumsum(_DIGIT[buf])])
-    letters, digits = kept[w.end] - kept[w.start], digit[w.end] - digit[w.start]
+    letters, digits = kept[end] - kept[start], digit[end] - digit[start]
     number = (letters > 0) & (digits == letters)
-    head = buf[w.start]
-    upper = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (low[np.minimum(w.start + 1, len(buf) - 1)] != buf[np.minimum(w.start + 1, len(buf) - 1)]))
-    second = buf[np.minimum(w.start + 1, len(buf) - 1)]
-    upper &= ~((w.end - w.start > 1) & (second >= 65) & (second <= 90))  # all capitals is no name
+    head = buf[start]
+    upper = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (low[np.minimum(start + 1, len(buf) - 1)] != buf[np.minimum(start + 1, len(buf) - 1)]))
+    second = buf[np.minimum(start + 1, len(buf) - 1)]
+    upper &= ~((end - start > 1) & (second >= 65) & (second <= 90))  # all capitals is no name
+    upper[1:] &= word[1:] != word[:-1]  # nor are letters after a number
     inside = np.zeros(len(head), bool)  # not the first word of a row or sentence
-    inside[1:] = (w.row[1:] == w.row[:-1]) & ~_STOP[buf[w.end[:-1] - 1]]
+    inside[1:] = (own_row[1:] == own_row[:-1]) & ~_STOP[buf[end[:-1] - 1]]
     some = letters > 0
-    index = np.arange(len(head)) - w.first[w.row]
+    index = word - w.first[own_row]
+    # an operator between a number or a letter and another token
+    signs = np.flatnonzero((end - start == 1) & _OPERATOR[head])
+    signs = signs[(signs > 0) & (signs < len(head) - 1)]
+    signs = signs[(letters[signs + 1] > 0) & (own_row[signs + 1] == own_row[signs]) & (own_row[signs - 1] == own_row[signs]) & (number | (letters == 1))[signs - 1]]
+    operator = np.zeros(len(head), np.uint64)
+    operator[signs + 1] = mix(head[signs].astype(np.uint64) + _U(1000))
     leads = (upper & ~inside)[some]
-    value, number, name, row, index = value[some], number[some], (upper & inside)[some], w.row[some], index[some]
+    value, number, name, row, index = value[some], number[some], (upper & inside)[some], own_row[some], index[some]
     place = np.minimum(np.searchsorted(_NUMBER_HASHES, value), len(_NUMBER_HASHES) - 1)
     spelled = _NUMBER_HASHES[place] == value
     value = np.where(spelled, _NUMBER_VALUES[place], value)
@@ -134,7 +169,7 @@ def tokens(buf: np.ndarray, offsets: np.ndarray) -> Tokens:
     leading = (leads & (kind == 0)).astype(np.int64)
     led, named = np.flatnonzero(leading), kind == 3
     leading[led] += np.isin(mix(value[led] ^ (row[led].astype(np.uint64) * MIX)), mix(value[named] ^ (row[named].astype(np.uint64) * MIX)))
-    return Tokens(template, leading, value, kind, index, row, np.searchsorted(row, np.arange(rows + 1)))
+    return Tokens(template, leading, value, kind, index, row, np.searchsorted(row, np.arange(rows + 1)), operator[some])
 
 
 @dataclass
@@ -147,29 +182,31 @@ class Form:
     word: np.ndarray
     row: np.ndarray
     first: np.ndarray
+    weight: np.ndarray  # how many words each token counts for
     literal: bool = False
 
 
 def _masked(t: Tokens, name: np.ndarray) -> Form:
     """Numbers and units as slots, and the given tokens as names, a run of them as one."""
     slot = ((t.kind == 1) | (t.kind == 2)) | name
-    template = np.where(name, NAME, np.where(t.kind == 3, t.value, t.template))
+    template = np.where(name, NAME, np.where(t.kind == 3, t.value, t.template)) ^ t.operator
+    weight = ~slot + OPERATOR_WORDS * (t.operator != 0)
     follows = np.zeros(len(name), bool)
     # a word that leads a sentence begins a run of its own
     follows[1:] = name[1:] & name[:-1] & (t.row[1:] == t.row[:-1]) & (t.leading[1:] == 0)
     if not follows.any():
-        return Form(template, t.value, slot, t.word, t.row, t.first)
+        return Form(template, t.value, slot, t.word, t.row, t.first, weight)
     keep = np.flatnonzero(~follows)
     depth = np.arange(len(name)) - np.repeat(keep, np.diff(np.append(keep, len(name))))
     value = np.add.reduceat(np.where(depth == 0, t.value, mix(t.value + depth.astype(np.uint64) * MIX)), keep)
     row = t.row[keep]
-    return Form(template[keep], value, slot[keep], t.word[keep], row, np.searchsorted(row, np.arange(len(t.first))))
+    return Form(template[keep], value, slot[keep], t.word[keep], row, np.searchsorted(row, np.arange(len(t.first))), weight[keep])
 
 
 def forms(t: Tokens) -> list[Form]:
     """The readings of a piece that differ: literal, names as words, and names with leading words as words, as known, as names."""
     none = np.zeros(len(t.kind), bool)
-    out = [Form(t.value, t.value, none, t.word, t.row, t.first, True), _masked(t, none)]
+    out = [Form(t.value ^ t.operator, t.value, none, t.word, t.row, t.first, ~none + 0, True), _masked(t, none)]
     last = none
     for least in (3, 2, 1):
         name = (t.kind == 3) | (t.leading >= least)
@@ -231,13 +268,13 @@ def item_windows(text: str) -> Windows:
         size = min(WINDOW, m)
         if m < SHORTEST:
             continue
-        fixed = np.concatenate([[0], np.cumsum(~form.slot)])
-        ok = (fixed[size:] - fixed[:-size] >= min(MIN_WORDS, -(-size // 2))) | form.literal
+        fixed = np.concatenate([[0], np.cumsum(form.weight)])
+        ok = (fixed[size:] - fixed[:-size] >= max(SHORT_WORDS, min(MIN_WORDS, -(-size // 2)))) | form.literal
         readings = [(form, ok)]
         if not form.literal and not form.slot[0]:
             # within a document, the item's first word may look like a name
             first = np.arange(m) == 0
-            readings.append((Form(np.where(first, NAME, form.template), form.value, form.slot | first, form.word, form.row, form.first), ok & (np.arange(len(ok)) == 0)))
+            readings.append((Form(np.where(first, NAME, form.template), form.value, form.slot | first, form.word, form.row, form.first, form.weight - first), ok & (np.arange(len(ok)) == 0)))
         for reading, good in readings:
             at = np.flatnonzero(good)
             parts.append(_taken(reading, at, size, rolling(reading.template, size)[at] ^ _salt(size, int(form.literal))))

@@ -305,6 +305,48 @@ def test_recall_on_changed_copies(spark):
     assert all(i == wanted[doc][1] for doc, i in got)
 
 
+#: Items with slots by kind, the values of the item, and those of a text that asks the same.
+KINDS = {
+    "sums": (["What is {0} + {1} * {2} - {3}?", "Compute {0}+{1}*{2}-{3} please.", "Find ({0} / {1}) + {2} - {3} = ?", "{0} * {1} + {2} - {3} = ?"], [3, 4, 12, 7], [81, 5, 60, 19]),
+    "algebra": (["Solve {0}x + {1} = {2} for x.", "Find y when {0}y - {1} = {2} holds.", "If {0}a + {1}b = {2} then what is a + b?", "Factor the expression x^2 + {0}x + {1} over the reals."], [12, 7, 31], [5, 8, 93]),
+    "units": (["A car drives {0}km in {1}h, how fast is that?", "She was the {0}th of {1} runners to reach the end.", "How much do {0}kg of rice cost at {1} a bag?"], [60, 2], [95, 4]),
+    "names": (["How many letters are in the name of {0} if you leave out the vowels?", "Where was the painter {0} born and when did he move to Paris?", "Which river runs through the old town of {0} today?"], ["Anna", "Ben"], ["Emma", "Carl Berg"]),
+    "short": (["What is the capital city of {0}?", "How many days do {0} weeks have?", "Which sea lies north of {0} and Denmark?", "How old was the king in {0}?"], [30], [44]),
+    "lower case": (["a farmer sells {0} eggs on monday and {1} on tuesday, how many in all?", "what is {0} percent of {1} in whole numbers?", "how long do {0} painters need for {1} walls of this house?"], [12, 30], [7, 81]),
+}
+
+
+def test_kinds_of_items():
+    """Every kind alone: items asked with other values are found, within other words and by themselves; texts that only look alike are not."""
+    for kind, (forms, mine, theirs) in KINDS.items():
+        pairs = [(f.format(*mine), f.format(*theirs)) for f in forms]
+        texts = [(k, t) for k, (_, other) in enumerate(pairs) for t in (other, f"Some words stand here. {other} And others follow.", f"Some words stand here. {pairs[k][0]} And so on.")]
+        found = [(k, set(matches(t, *(a for a, _ in pairs)))) for k, t in texts]
+        hits, right = sum(len(f) for _, f in found), sum(k in f for k, f in found)
+        assert right >= 0.9 * len(texts) and right >= 0.9 * hits, (kind, right, hits, [t for (k, t), (_, f) in zip(texts, found, strict=True) if k not in f])
+
+
+def test_clean_texts_are_no_leaks_of_short_items():
+    items = ["Who wrote Hamlet?", "Has 5 cats.", "What is 3 + 4 * 12 - 7?", "Solve 12x + 7 = 31 for x.", "When was Goethe born?", "Where is Berlin?", "How many days are in 3 weeks?", "5 kg of rice"]
+    clean = ["Who wrote Ulysses? Joyce did.", "He has 3 cats and 4 dogs.", "Where is Anna? She is at home.", "When was Peter born? In May.", "We saw that 3 - 4 of 12 + 7 were gone.", "She bought 3 kg of rice and 4 of beans.", "Solve it for x and 31 will be 7.", "How many are in 3 rooms?", "What is 3 * 4 + 12 - 7?", "Items: 3 + 4 = 7 and 12 - 5 = 7.", "From 2019-2020 it was 12/05/2019."]
+    for text in clean:
+        assert not matches(text, *items), text
+    for item in items:
+        assert matches(f"They ask: {item} And then?", item) and matches(item, item)
+
+
+def test_numbers_are_split_within_words():
+    def cut(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        t = decontamination.tokens(raw, np.array([0, len(raw)]))
+        return t.kind.tolist(), (t.operator != 0).astype(int).tolist(), t.word.tolist()
+
+    assert cut("12x + 7=31") == ([1, 0, 1, 1], [0, 0, 1, 1], [0, 0, 2, 2])
+    assert cut("mp3 h2o b-5 and/or 3-4 5kg") == ([0, 0, 0, 0, 1, 1, 1, 2], [0, 0, 0, 0, 0, 1, 0, 0], [0, 1, 2, 3, 4, 4, 5, 5])
+    assert cut("+5 a\n- 6 cats -") == ([1, 0, 1, 0], [0, 0, 1, 0], [0, 1, 3, 4])
+    assert cut("") == ([], [], [])
+
+
 def test_join_matches_all_pairs(spark, monkeypatch):
     """Windows that meet in the filtered hash join are those whose tokens are equal, pair by pair."""
     items = [(i, f"item {i} has words that are only its own like {'abcdefghij'[i % 10] * 5} and {'klmnopqrst'[i % 10] * 4} in Number Ten of 12 km or more") for i in range(10)]
