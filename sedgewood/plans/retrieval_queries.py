@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from sedgewood.operators import evaluation as E, inverted_index, retrieval as R
+from sedgewood.operators import evaluation as E, inverted_index, retrieval as R, state, vector_index
 from sedgewood.plans.registry import query, table
 
 _SPLIT = "list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> '')"
@@ -117,6 +119,34 @@ def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inverted_index.search(index, asked(spark, sf_dir), 5).withColumn("score", F.round("score", 6))
 
 
+#: Recall on the index's sample that the registered search asks for.
+RECALL = 0.95
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[vector_index.VectorIndex, DataFrame]:
+    corpus, queries = vectors(spark, sf_dir)
+    index = vector_index.build(corpus, f"{state.checkpoint_folder(spark)}/cells-{uuid.uuid4().hex}")
+    return index, vector_index.search(index, queries, 5, index.probes(RECALL))
+
+
+@query()
+def dense_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest vectors by the index of cells."""
+    return _indexed(spark, sf_dir)[1].withColumn("score", F.round("score", 6))
+
+
+@query("SELECT count(*) AS n_vectors, count(*) FILTER (vec_id % 50 = 0) AS n_queries, true AS whole, true AS scores_exact, true AS recall_reached FROM embeddings WHERE embedding IS NOT NULL")
+def dense_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index against the exact search: all rows indexed, scores equal, nine tenths of the five nearest found."""
+    index, got = _indexed(spark, sf_dir)
+    corpus, queries = vectors(spark, sf_dir)
+    exact = R.dense_topk(corpus, queries, 5).select("query_id", "id", F.col("score").alias("exact"))
+    met = exact.join(got, ["query_id", "id"], "left").agg(F.count("*").alias("n"), F.count("score").alias("found"), F.coalesce(F.max(F.abs(F.col("score") - F.col("exact"))), F.lit(0.0)).alias("off"))
+    rows = index.rows(spark).agg(F.count("*").alias("n_vectors"), F.count_if(F.col("id") % 50 == 0).alias("n_queries"), F.count_distinct("id").alias("ids"))
+    out = rows.crossJoin(met)  # two single rows
+    return out.select("n_vectors", "n_queries", (F.col("ids") == F.col("n_vectors")).alias("whole"), (F.col("off") < 1e-8).alias("scores_exact"), (10 * F.col("found") >= 9 * F.col("n")).alias("recall_reached"))
+
+
 @query(f"WITH {_queries_sql()}, {_dense_sql(5)} SELECT query_id, doc_id AS id, round(score, 6) AS score, rank FROM ds")
 def dense_topk_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest documents by the default embedder."""
