@@ -49,27 +49,36 @@ def _spec(many: int = _anchors.MANY) -> _anchors.Spec:
     return _anchors.Spec(_tokens, GRAM, WINDOW, "text", "id", many)
 
 
+#: Runs whose keys are made, or compared, at once; the indexes that this takes are several times the keys' size.
+SLICE = 65_536
+
+
 def _keys(p: _anchors.Piece) -> np.ndarray:
     """The suffix of each run as WIDTH bytes that sort as the suffix does; the last byte is never zero."""
     n, size = len(p.anchor), len(p.buf)
-    right, left = p.high + WINDOW - p.anchor, p.anchor - p.low
     key = np.zeros((n, WIDTH), np.uint8)
-    to = np.arange(WINDOW)
-    at = np.minimum(p.anchor[:, None] + to, max(size - 1, 0))
-    key[:, :WINDOW] = np.where(to < right[:, None], p.buf[at], 0)
-    back = np.arange(LEFT)
-    at = np.maximum(p.anchor[:, None] - 1 - back, 0)
-    key[:, WINDOW : WINDOW + LEFT] = np.where(back < left[:, None], p.buf[at], 0)
-    key[:, -2], key[:, -1] = right, left + 1
+    to, back = np.arange(WINDOW), np.arange(LEFT)
+    for i in range(0, n, SLICE):
+        own, anchor = key[i : i + SLICE], p.anchor[i : i + SLICE]
+        right, left = p.high[i : i + SLICE] + WINDOW - anchor, anchor - p.low[i : i + SLICE]
+        at = np.minimum(anchor[:, None] + to, max(size - 1, 0))
+        own[:, :WINDOW] = np.where(to < right[:, None], p.buf[at], 0)
+        at = np.maximum(anchor[:, None] - 1 - back, 0)
+        own[:, WINDOW : WINDOW + LEFT] = np.where(back < left[:, None], p.buf[at], 0)
+        own[:, -2], own[:, -1] = right, left + 1
     return key
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def _sorted_suffixes(found: list[_anchors.Piece], ids: np.ndarray, limits: np.ndarray, n: int):
     """Distinct suffixes of a block by (bucket, suffix) as a matrix, with bucket, smallest id, and each run's place."""
     some = [p for p in found if len(p.anchor)]
     if not some:
         return np.zeros((0, WIDTH), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key = np.concatenate([_keys(p) for p in some])
+    key = _joined([_keys(p) for p in some])
     h, alone = np.concatenate([p.hash for p in some]), np.concatenate([p.alone for p in some])
     doc = ids[np.concatenate([p.row for p in some])]
     gram = np.ascontiguousarray(key[:, :GRAM]).view(f"S{GRAM}").reshape(-1)
@@ -77,7 +86,9 @@ def _sorted_suffixes(found: list[_anchors.Piece], ids: np.ndarray, limits: np.nd
     order = np.argsort(key.view(f"S{WIDTH}").reshape(-1), kind="stable")
     order = order[np.argsort(bucket[order], kind="stable")]
     new = np.ones(len(order), bool)
-    new[1:] = (key[order[1:]] != key[order[:-1]]).any(1) | (bucket[order[1:]] != bucket[order[:-1]])
+    for i in range(1, len(order), SLICE):
+        a, b = order[i : i + SLICE], order[i - 1 : i + SLICE - 1][: len(order) - i]
+        new[i : i + SLICE] = (key[a] != key[b]).any(1) | (bucket[a] != bucket[b])
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
     at = np.flatnonzero(new)
@@ -117,7 +128,7 @@ def bucket_limits(df: DataFrame, n: int) -> np.ndarray:
                 key = p.buf[np.minimum(p.anchor[some][:, None] + np.arange(GRAM), max(len(p.buf) - 1, 0))]
                 yield pa.record_batch([pa.array((own[some] >> _U(1)).astype(np.int64)), pa.array([x.tobytes() for x in key], pa.binary())], names=["h", "gram"])
 
-    # one text in sixteen; all of them where there are few
+    # one text in sixteen, however many there are; a table of a few texts may give no limit, and is one bucket
     texts = df.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0)
     rows = texts.mapInArrow(grams, "h long, gram binary").distinct().orderBy("h", "gram").limit(SAMPLED * n).collect()
     found = np.sort(np.array([bytes(r["gram"]) for r in rows], f"S{GRAM}"))
