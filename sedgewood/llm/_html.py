@@ -5,7 +5,7 @@ element's hash is made from its tags, its text and the hashes of the elements in
 its length, however deep its elements lie and whatever stays open.  It is no browser: tables and lists are plain blocks.
 
 Menus, footers, forms and the like are known by tag and role.  A class or id is only believed if more speaks for it.
-Outside of articles the element must hold less than half of the page.  Within an article all words of the name must mean
+Outside of articles the element must hold less than half of the page, or an article must lie outside of it.  Within an article all words of the name must mean
 furniture or layout (``share-buttons``, not ``share-price``) and the element hold less than a quarter of the article, or
 half if one of ``STEMS`` is in it; or half of its text must be links.  Comments may be of any length, but follow a text; they are also known by a heading
 such as "3 responses".
@@ -317,12 +317,14 @@ class _Reader:
             text.append(text[-1] + (0 if depth else len(block.strip())))
             links.append(links[-1] + (0 if depth else self.links[i]))
         out = []
+        mains = [(a, b) for a, b, kind, _ in self.elements if kind != CONTAINER and text[b] > text[a]]
+        first, last = min((a for a, _ in mains), default=n), max((b for _, b in mains), default=0)
         for a, b, scope, label in self.doubts:
             start, stop = self.elements[scope][:2] if scope >= 0 else (0, n)
             size, whole = text[b] - text[a], text[stop] - text[start]
             linked = 2 * (links[b] - links[a]) >= size
             after = text[a] > text[start]  # comments follow a text
-            if linked and size < whole or label == STRONG and 4 * size < whole or label == SURE and 2 * size < whole or label == REMARKS and after:
+            if linked and size < whole or label == STRONG and 4 * size < whole or label == SURE and (2 * size < whole or scope < 0 and (first < a or last > b)) or label == REMARKS and after:
                 out.append((a, b))
         heads = {i for i, block in enumerate(self.blocks) if len(block) < 200 and _REMARKS.match(unescape(block))}
         for (a, b, kind, _), scope in zip(self.elements, self.within, strict=True) if heads else ():

@@ -220,3 +220,10 @@ def test_templates_within_articles_go(spark):
     on = {r["page_id"]: r["text"] for r in html_extraction.extract(df).collect()}
     off = {r["page_id"]: r["text"] for r in html_extraction.extract(df, min_pages=10**9).collect()}
     assert all("our series" in off[i] and on[i] == f"Title {i}\nThe article of number {i} is a text of its own." for i in range(8))
+
+
+def test_long_adverts_beside_a_short_article_go():
+    long = "Buy at our shop, today and on every other day. " * 3
+    assert text_of(f"<div class='ad'>{long}</div><article><h1>T</h1><p>Short.</p></article><footer>f</footer>") == "T\nShort."
+    assert text_of(f"<article><p>Short.</p></article><div class='sidebar'>{long}</div>") == "Short."
+    assert text_of(f"<div class='widget'>{long}</div><p>End</p>") == long.strip() + "\nEnd"
