@@ -36,7 +36,9 @@ def drop_blank_columns(rows: Column) -> Column:
     width = F.size(F.get(rows, F.lit(0)))
     places = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
     kept = F.filter(places, lambda i: F.exists(rows, lambda r: F.coalesce(F.trim(F.get(r, i)), F.lit("")) != ""))
-    return F.transform(rows, lambda r: F.transform(kept, lambda i: F.get(r, i)))
+    # bound once a table: a lambda that names ``kept`` itself would search all rows again for each row
+    bound = F.array(F.struct(rows.alias("rows"), kept.alias("kept")))
+    return F.get(F.transform(bound, lambda t: F.transform(t["rows"], lambda r: F.transform(t["kept"], lambda i: F.get(r, i)))), F.lit(0))
 
 
 def outermost(boxes: DataFrame, page: list[str], tolerance: float = 1.0) -> DataFrame:
