@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 
 def strip(c: Column) -> Column:
@@ -27,6 +30,8 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str | None:
 
 
 _ENCODERS: dict = {}
+#: Characters that are encoded at once.
+ENCODED = 262_144
 
 
 def encoded_tokens(c: Column, path: str | None) -> Column:
@@ -34,14 +39,23 @@ def encoded_tokens(c: Column, path: str | None) -> Column:
     if path is None:
         return count_tokens(c)
 
-    @pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
+    @arrow_udf("long")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if path not in _ENCODERS:
             from tokenizers import Tokenizer
 
             _ENCODERS[path] = Tokenizer.from_file(path)
-        encoded = _ENCODERS[path].encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
-        return pd.Series([len(e.ids) for e in encoded]).where(texts.notna().to_numpy())
+        for texts in batches:
+            # encodings take many times a text's size: few texts at a time
+            n, some, size = [], [], 0
+            for t in texts:
+                some.append(t.as_py() or "")
+                size += len(some[-1])
+                if size >= ENCODED or len(some) >= 256:
+                    n += [len(e.ids) for e in _ENCODERS[path].encode_batch_fast(some, add_special_tokens=False)]
+                    some, size = [], 0
+            n += [len(e.ids) for e in _ENCODERS[path].encode_batch_fast(some, add_special_tokens=False)]
+            yield pc.if_else(texts.is_valid(), pa.array(n, pa.int64()), pa.scalar(None, pa.int64()))
 
     return count(c)
 
