@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from sedgewood.functions.text import words
 from sedgewood.operators.state import settle
@@ -18,6 +18,8 @@ from sedgewood.operators.state import settle
 QUERY_BLOCK = 4096
 #: The same for word queries, whose words are held as well.
 BM25_BLOCK = 512
+#: Queries and rows of one tile of scores, and words that an embedder remembers: what a task holds, whatever the batches' size.
+TILE_QUERIES, TILE_ROWS, KNOWN = 512, 1024, 100_000
 
 
 def top(df: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
@@ -25,13 +27,38 @@ def top(df: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
+class Best:
+    """The k rows of largest score, ties to the smaller id, that a task has seen for each of its queries."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.seen = k, 0
+        self.score, self.id = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def add(self, start: int, scores: np.ndarray, own: np.ndarray) -> None:
+        """A tile of scores, its queries from ``start`` and its rows with the ids ``own``."""
+        at = start + np.flatnonzero(scores.max(1) >= self.score[start : start + len(scores), -1])  # the others keep theirs
+        s = np.concatenate([self.score[at], scores[at - start]], axis=1)
+        i = np.concatenate([self.id[at], np.broadcast_to(own, (len(at), len(own)))], axis=1)
+        take = np.lexsort((i, -s), axis=1)[:, : self.k]
+        self.score[at], self.id[at] = np.take_along_axis(s, take, 1), np.take_along_axis(i, take, 1)
+
+    def rows(self, ids: np.ndarray, sign: int = 1) -> Iterator[pa.RecordBatch]:
+        """query_id, id, score of what was kept; ids are those of the queries."""
+        n = min(self.k, self.seen)
+        for i in range(0, len(ids) if n else 0, TILE_QUERIES):
+            some = slice(i, i + TILE_QUERIES)
+            columns = np.repeat(ids[some], n), self.id[some, :n].reshape(-1), sign * self.score[some, :n].reshape(-1)
+            yield pa.record_batch([pa.array(c) for c in columns], names=["query_id", "id", "score"])
+
+
 def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """query_id, id, score and rank of the k nearest rows of corpus(id, vector) to each row of queries(query_id, vector).
 
-    Exact.  Queries are taken in blocks of a fixed size; each task scores its rows against a block by one matrix product
-    and keeps k rows a query, so what is shuffled does not depend on the corpus' size but on its number of batches.
+    Exact.  Queries are taken in blocks of a fixed size; each task scores its rows against a block tile by tile and keeps k
+    rows a query, so neither its memory nor what it shuffles depends on the number of its rows.
     ``metric``: cosine (largest first) or l2 (squared distance, smallest first).
     """
+    worst = np.inf if metric == "cosine" else -np.inf  # for scores that are no number: Spark sorts them as the largest
 
     def scan(block: pd.DataFrame) -> DataFrame:
         ids = block["query_id"].to_numpy()
@@ -40,21 +67,28 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cos
             q = q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, squares = Best(len(ids), k), (q * q).sum(1)[:, None]
             for batch in batches:
-                some = batch.filter(batch.column(1).is_valid())
-                if not some.num_rows:
-                    continue
-                x = np.asarray(some.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(some.num_rows, -1)
-                own = some.column(0).to_numpy(zero_copy_only=False)
-                if metric == "cosine":
-                    s = q @ (x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)).T
-                else:
-                    s = -((q * q).sum(1)[:, None] - 2 * (q @ x.T) + (x * x).sum(1)[None, :])
-                s = np.round(s, 9)  # equal vectors must tie, whatever order their products are added in
-                take = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :k]
-                rows = np.arange(len(ids))[:, None]
-                sign = 1 if metric == "cosine" else -1
-                yield pa.record_batch([pa.array(np.repeat(ids, take.shape[1])), pa.array(own[take].reshape(-1)), pa.array(sign * s[rows, take].reshape(-1))], names=["query_id", "id", "score"])
+                for row in range(0, batch.num_rows, TILE_ROWS):
+                    some = batch.slice(row, TILE_ROWS)
+                    some = some.filter(some.column(1).is_valid())
+                    if not some.num_rows:
+                        continue
+                    x = np.asarray(some.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(some.num_rows, -1)
+                    own, own_squares = some.column(0).to_numpy(zero_copy_only=False), (x * x).sum(1)
+                    if metric == "cosine":
+                        x = x / np.maximum(np.sqrt(own_squares[:, None]), 1e-300)
+                    best.seen += len(own)
+                    for i in range(0, len(ids), TILE_QUERIES):
+                        s = q[i : i + TILE_QUERIES] @ x.T
+                        if metric != "cosine":
+                            s = -(squares[i : i + TILE_QUERIES] - 2 * s + own_squares[None, :])
+                        np.round(s, 9, out=s)  # equal vectors must tie, whatever order their products are added in
+                        s[np.isnan(s)] = worst
+                        best.add(i, s, own)
+            if metric == "cosine":
+                best.score[np.isposinf(best.score)] = np.nan
+            yield from best.rows(ids, 1 if metric == "cosine" else -1)
 
         return corpus.select("id", "vector").mapInArrow(run, "query_id long, id long, score double")
 
@@ -108,16 +142,19 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b:
         matrix, names = np.array(weights).reshape(len(weights), len(ids)), np.array(ids)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(len(ids), k)
             for batch in batches:
-                scores = np.zeros((batch.num_rows, len(ids)))
-                for i, text in enumerate(batch.column(1)):
-                    own = (text.as_py() or b"").split()
-                    at, tf = np.unique(np.array([known[w] for w in own if w in known], np.int64), return_counts=True)
-                    if len(at):
-                        scores[i] = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(own) / avg_len))) @ matrix[at]
-                scores, own = np.round(scores.T, 9), batch.column(0).to_numpy()
-                take = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-                yield pa.record_batch([pa.array(np.repeat(names, take.shape[1])), pa.array(own[take].reshape(-1)), pa.array(np.take_along_axis(scores, take, 1).reshape(-1))], names=["query_id", "id", "score"])
+                for row in range(0, batch.num_rows, TILE_ROWS):
+                    some = batch.slice(row, TILE_ROWS)
+                    scores = np.zeros((some.num_rows, len(ids)))
+                    for i, text in enumerate(some.column(1)):
+                        own = (text.as_py() or b"").split()
+                        at, tf = np.unique(np.array([known[w] for w in own if w in known], np.int64), return_counts=True)
+                        if len(at):
+                            scores[i] = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(own) / avg_len))) @ matrix[at]
+                    best.seen += some.num_rows
+                    best.add(0, np.round(scores.T, 9), some.column(0).to_numpy())
+            yield from best.rows(names)
 
         return corpus.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "query_id long, id long, score double")
 
@@ -186,22 +223,22 @@ def expand_queries(queries: DataFrame, generate: Callable[[Column], Column], mod
 def hashed_vectors(df: DataFrame, id_col: str, text: str, dims: int = 64) -> DataFrame:
     """id, vector by the default embedder: counts of lower-case words by a bucket from their MD5."""
 
-    @pandas_udf("array<double>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("array<double>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, int] = {}
-
-        def one(t: str | None) -> np.ndarray:
-            places = []
-            for w in (t or "").lower().split():
-                if w not in known:
-                    if len(known) > 1_000_000:
-                        known.clear()
-                    known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims
-                places.append(known[w])
-            return np.bincount(places, minlength=dims).astype(float) if places else np.zeros(dims)
-
         for texts in batches:
-            yield texts.map(one)
+            out = np.zeros((len(texts), dims))
+            for i, t in enumerate(texts):  # one text at a time, so that no batch is held as words
+                places = []
+                for w in (t.as_py() or "").lower().split():
+                    if w not in known:
+                        if len(known) >= KNOWN:
+                            known.clear()
+                        known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims
+                    places.append(known[w])
+                if places:
+                    out[i] = np.bincount(places, minlength=dims)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dims), pa.array(out.reshape(-1)))
 
     return df.select(F.col(id_col).alias("id"), embed(F.col(text)).alias("vector"))
 

@@ -468,33 +468,34 @@ _HIGH = "high AS (SELECT query_id, string_agg('Relationship: ' || src || ' -> '
 
 def vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return R.dense_topk(e, e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), 5)
+    # kept: a context reads its hits several times
+    return settle(R.dense_topk(e, e.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), 5))
 
 
-def low_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = vector_hits(spark, sf_dir).select("query_id", "rank", key("P", "id").alias("id"))
+def low_context(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    hits = found.select("query_id", "rank", key("P", "id").alias("id"))
     w = Window.partitionBy("query_id", "id").orderBy("edge_seq", "neighbour")
     near = G.neighbours(hits, edges(spark, sf_dir)).withColumn("r", F.row_number().over(w)).where("r <= 5").join(hits, ["query_id", "id"])
     lines_ = hits.select("query_id", "rank", F.lit(0).alias("r"), F.concat(F.lit("Entity: "), "id").alias("t")).unionByName(near.select("query_id", "rank", "r", F.concat(F.lit("  - related to "), "neighbour", F.lit(" via "), "relation").alias("t")))
     return lines_.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "r", "t"))), lambda x: x["t"]), "\n").alias("context"))
 
 
-def high_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+def high_context(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     rel = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.min("l_suppkey").alias("s"))
-    hits = vector_hits(spark, sf_dir).join(rel, "id").select("query_id", "rank", F.concat(F.lit("Relationship: P"), "id", F.lit(" -> S"), "s").alias("t"))
+    hits = found.join(rel, "id").select("query_id", "rank", F.concat(F.lit("Relationship: P"), "id", F.lit(" -> S"), "s").alias("t"))
     return R.context(hits, "t", "\n")
 
 
 @query(f"WITH {_EDGES}, {_BOTH}, {_HIT}, {_LOW} SELECT query_id, context FROM low")
 def low_level_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities by vector with five edges each."""
-    return low_context(spark, sf_dir)
+    return low_context(spark, sf_dir, vector_hits(spark, sf_dir))
 
 
 @query(f"WITH {_HIT}, {_HIGH} SELECT query_id, context FROM high")
 def high_level_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations by vector."""
-    return high_context(spark, sf_dir)
+    return high_context(spark, sf_dir, vector_hits(spark, sf_dir))
 
 
 @query(f"""WITH {_EDGES}, {_BOTH}, {_HIT}, {_LOW}, {_HIGH}, chunk AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM hit JOIN documents ON doc_id = vid GROUP BY query_id)
@@ -502,8 +503,9 @@ SELECT query_id, '=== Original Text Context ===' || chr(10) || coalesce(chunk.co
 def dual_level_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts, entities and relations of one question in sections."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    chunk = R.context(vector_hits(spark, sf_dir).join(docs, "id"), "text")
-    return G.sections([("Original Text Context", chunk), ("Entity Context", low_context(spark, sf_dir)), ("Relationship Context", high_context(spark, sf_dir))])
+    found = vector_hits(spark, sf_dir)
+    chunk = R.context(found.join(docs, "id"), "text")
+    return G.sections([("Original Text Context", chunk), ("Entity Context", low_context(spark, sf_dir, found)), ("Relationship Context", high_context(spark, sf_dir, found))])
 
 
 _MAP = "mp AS (SELECT community_id, score, row_number() OVER (ORDER BY score DESC, CAST(community_id AS BIGINT)) AS place FROM (SELECT *, CASE WHEN contains(summary, 'the') THEN length(summary) % 101 ELSE 0 END AS score FROM (SELECT CAST(conv_id AS VARCHAR) AS community_id, text AS summary FROM conversations WHERE turn = 0 ORDER BY conv_id LIMIT 50)) WHERE score > 0)"
