@@ -19,7 +19,7 @@ and sets are compared by 64-bit hash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +79,20 @@ def bands(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def simhashes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """SimHash of each row: the majority of each bit of its shingles; zero without shingles."""
+    out = np.zeros(len(first) - 1, np.uint64)
+    some, n = np.flatnonzero(np.diff(first) > 0), np.diff(first)
+    if len(some):
+        mixed = mix(h ^ MIX)
+        for b in range(64):
+            ones = np.add.reduceat((mixed >> _U(b)) & _U(1), first[:-1][some])
+            out[some] |= (2 * ones > n[some].astype(np.uint64)).astype(np.uint64) << _U(b)
+    return out
+
+
 def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, key, n, bands) for each row of df."""
+    """(doc_id, text_hash, key, n, fp, bands) for each row of df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,10 +101,10 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 h, first = shingles(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 flat = pa.array(bands(h, first).reshape(-1).view(np.int64))
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS), flat)
-                yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(keys(h, first).view(np.int64)), pa.array(np.diff(first)), rows], names=["doc_id", "text_hash", "key", "n", "bands"])
+                yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(keys(h, first).view(np.int64)), pa.array(np.diff(first)), pa.array(simhashes(h, first).view(np.int64)), rows], names=["doc_id", "text_hash", "key", "n", "fp", "bands"])
 
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, text_hash long, key long, n long, bands array<long>")
+    return slim.mapInArrow(run, "doc_id long, text_hash long, key long, n long, fp long, bands array<long>")
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str, docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -132,14 +144,31 @@ def _unshared(sets: DataFrame) -> DataFrame:
     return once.groupBy("key").agg(F.count("*").alias("own"))
 
 
-def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, root, component_id) for each row of df: its group, and the smallest id in that, or null."""
+def _close(nodes: DataFrame, join: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of nodes(key, n, fp) that connect those of equal fingerprints and those that ``join`` of (fp) links."""
+    own = nodes.where("n > 0").select("key", "fp")
+    heads = settle(own.groupBy("fp").agg(F.min("key").alias("head")))
+    equal = own.join(heads, "fp").where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    a, b = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+    return equal.union(join(heads.select("fp")).join(a, "a").join(b, "b").select("x", "y")).distinct()
+
+
+def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(doc_id, text_hash, root, component_id) for each row of df: its group, and the smallest id in that, or null.
+
+    ``near`` joins SimHash fingerprints (fp) of the sets into links (a, b).  These are verified like the others, and MinHash
+    looks only for what they do not connect.
+    """
     docs = settle(signatures(df, id_col, text_col))
-    nodes = docs.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = docs.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     spread = nodes.where("n > 0").select("key", "n", F.explode("bands").alias("band"))
     several = spread.groupBy("band").agg(F.count("*").alias("size")).where("size > 1").select("band")
     candidates = settle(spread.join(several, "band"))
-    sets = settle(_sets(_texts(df, id_col, text_col, docs, candidates.select("key").distinct())))
+    wanted, close = candidates.select("key"), None
+    if near is not None:
+        close = settle(_close(nodes, near))
+        wanted = wanted.union(close.select("a")).union(close.select("b"))
+    sets = settle(_sets(_texts(df, id_col, text_col, docs, wanted.distinct())))
     # two sets share at most what either has in common with any other; below four fifths of its size there is no partner
     members = candidates.join(_unshared(sets), "key", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
     members = settle(members.where(f"{DENOMINATOR} * common >= {NUMERATOR} * n"))
@@ -151,6 +180,8 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     near = f"key <> head_key and {sizes.format('n', 'head_n')} and {enough.format('least(common, head_common)', 'n', 'head_n')}"
     met = settle(_overlaps(headed.where(near).select(F.col("head_key").alias("a"), F.col("key").alias("b")).distinct(), sets))
     links = met.where("similar").select("a", "b")
+    if close is not None:
+        links = settle(links.union(_overlaps(close, sets).where("similar").select("a", "b")))
     # what the heads did not connect, pair by pair.  Two sets share at most what both share with their head, and of the
     # rest what either has in common with any other
     roots = settle(connected_components(links))

@@ -116,11 +116,12 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 def dedup_stage(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each group of near copies: that of the smallest id.  Rows without an id stay.
 
-    The groups are those of ``near_copies``: pairs with five-word similarity of 0.8 are beyond the query's three bits.
+    SimHash fingerprints of five-word shingles, joined by the trie, link first, and their links are verified.  Pairs with
+    a similarity of 0.8 are beyond three bits: what the fingerprints do not connect, ``near_copies`` looks for by MinHash.
     Rows of one id are of one group only if their texts are near copies.
     """
     h, place = fresh(df, "h"), fresh(df, "place")
-    found = near_copies.components(df, id_col, text_col).where("doc_id = component_id")
+    found = near_copies.components(df, id_col, text_col, stars).where("doc_id = component_id")
     chosen = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")).select(F.col("row.doc_id").alias(id_col), F.col("row.text_hash").alias(h)).distinct()
     kept = df.withColumn(h, F.xxhash64(text_col)).join(chosen, [id_col, h])
     # of rows that are repeated whole, one; dealt as the join deals them

@@ -296,3 +296,20 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(links).collect()}
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+
+
+def test_near_copy_stage_joins_fingerprints(spark, monkeypatch):
+    """The stage's groups come from SimHash first: a long text with one word changed is within its three bits."""
+    words = [f"w{i * i % 9973}x{i}" for i in range(3000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:1500], "changed", *words[1501:]])), (3, " ".join(f"other{i}" for i in range(500)))]
+    found, stars = [], simhash.stars
+
+    def spy(fps):
+        links = stars(fps)
+        found.append((fps.count(), links.count()))
+        return links
+
+    monkeypatch.setattr(simhash, "stars", spy)
+    kept = simhash.dedup_stage(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    assert found in ([(3, 1)], [(2, 0)])  # two near fingerprints, or equal ones
