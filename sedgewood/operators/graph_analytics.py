@@ -26,17 +26,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     def digest(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    links = settle(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct())
-    seen = digest(links)
-    while seen[0]:
-        sides = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = sides.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = sides.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    # repeated links do no harm: each round has no more than it was given, and its result is distinct
+    links, seen = settle(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b")), None
+    while True:
+        turned = links.select(F.col("b").alias("a"), F.col("a").alias("b"))  # the half in which b > a
+        least = links.union(turned).groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = turned.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         links = settle(small.where("a <> b").distinct())
         now = digest(links)
-        if now == seen:
+        if now == seen or not now[0]:
             break
         seen = now
     return nodes.select("id").join(links.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
