@@ -28,16 +28,20 @@ def singles(edges: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     return found.select("id", F.col("id").alias("community"), "k", "size")
 
 
+def _expected(state: DataFrame, resolution: float, kind: str) -> float:
+    """What ``kind`` expects of the weight inside the communities."""
+    sums = state.groupBy("community").agg(F.sum("k").alias("k"), F.sum("size").cast("double").alias("n"), F.sum(F.col("size").cast("double") * F.col("size")).alias("own"))
+    row = sums.agg(F.sum(F.col("k") * F.col("k")).alias("squares"), F.sum("k").alias("k"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
+    if kind == "modularity":
+        return resolution * (row["squares"] or 0.0) / (2 * (row["k"] or 1.0))
+    return resolution * (row["pairs"] or 0.0)
+
+
 def quality(edges: DataFrame, state: DataFrame, resolution: float = 1.0, kind: str = "modularity") -> float:
     """Weight inside communities less what ``kind`` expects of them: modularity (times half the total) or cpm."""
     a, b = (state.select(F.col("id").alias(x), F.col("community").alias(c)) for x, c in (("src", "c1"), ("dst", "c2")))
-    inner = edges.join(a, "src").join(b, "dst").where("c1 = c2").agg(F.coalesce(F.sum(F.col("weight").cast("double")), F.lit(0.0)).alias("inner"))
-    sums = state.groupBy("community").agg(F.sum("k").alias("k"), F.sum("size").cast("double").alias("n"), F.sum(F.col("size").cast("double") * F.col("size")).alias("own"))
-    total = sums.agg(F.sum(F.col("k") * F.col("k")).alias("squares"), F.sum("k").alias("k"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs"))
-    row = inner.join(total, how="cross").first()  # two single rows
-    if kind == "modularity":
-        return row["inner"] - resolution * (row["squares"] or 0.0) / (2 * (row["k"] or 1.0))
-    return row["inner"] - resolution * (row["pairs"] or 0.0)
+    inner = edges.join(a, "src").join(b, "dst").where("c1 = c2").agg(F.coalesce(F.sum(F.col("weight").cast("double")), F.lit(0.0))).first()[0]
+    return inner - _expected(state, resolution, kind)
 
 
 def _mass(kind: str, total: float) -> tuple[Column, float]:
@@ -70,31 +74,41 @@ def local_moving(edges: DataFrame, state: DataFrame, resolution: float = 1.0, ki
     both, state = stored(sides(edges)), stored(state)
     total = state.agg(F.sum("k")).first()[0] or 1.0
     mass, by = _mass(kind, total)
-    value, share, still = quality(edges, state, resolution, kind), 2, 0
+    expected, share, still = _expected(state, resolution, kind), 2, 0
     for r in range(rounds):
         sums = state.groupBy("community").agg(F.sum(mass).alias("mass"), F.sum("size").alias("n"))
-        # every node has its turn once in ``share`` rounds, each time beside others
-        turn = F.pmod(F.xxhash64("id", F.lit(r // share)), F.lit(share)) == r % share
-        own = state.where(turn).select("id", F.col("community").alias("home"), mass.alias("m"), "size").join(sums.select(F.col("community").alias("home"), F.col("mass").alias("home_mass")), "home")
-        # links to nodes that stay where they are this round
-        to = both.join(state.where(~turn).select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("weight").alias("links"))
+
+        def turn(c: str, r: int = r, share: int = share) -> Column:
+            """Every node has its turn once in ``share`` rounds, each time beside others."""
+            return F.pmod(F.xxhash64(c, F.lit(r // share)), F.lit(share)) == r % share
+
+        own = state.where(turn("id")).select("id", F.col("community").alias("home"), mass.alias("m"), "size").join(sums.select(F.col("community").alias("home"), F.col("mass").alias("home_mass")), "home")
+        # links to nodes that stay where they are this round; whose turn it is shows on the links before they are joined
+        to = both.where(turn("src") & ~turn("dst")).join(state.where(~turn("id")).select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("weight").alias("links"))
         ways = to.join(own, "id").join(sums.select("community", "mass"), "community")
         at_home = F.col("community") == F.col("home")
         gain = F.round(F.col("links") - resolution * F.col("m") * F.col("mass") / by, 9)
         stay = F.round(F.when(at_home, F.col("links")).otherwise(0.0) - resolution * F.col("m") * (F.col("home_mass") - F.col("m")) / by, 9)
-        away = F.when(~at_home, F.struct(gain.alias("gain"), F.col("community").alias("target")))
-        best = ways.groupBy("id", "home", "size").agg(F.max(away).alias("b"), F.max(stay).alias("stay"))
-        moves = best.where("b.gain > stay").select("id", "home", "b.target", "b.gain", "size")
+        away = F.when(~at_home, F.struct(gain.alias("gain"), F.col("community").alias("target"), "links"))
+        best = ways.groupBy("id", "home", "size").agg(F.max(away).alias("b"), F.max(stay).alias("stay"), F.coalesce(F.max(F.when(at_home, F.col("links"))), F.lit(0.0)).alias("left"))
+        moves = best.where("b.gain > stay").select("id", "home", "b.target", "b.gain", "size", (F.col("b.links") - F.col("left")).alias("more"))
         moves = stored(_admitted(stored(moves), sums, max_size) if max_size else moves)
-        if moves.isEmpty():
+        n, more = moves.agg(F.count("*"), F.sum("more")).first()
+        if not n:
             still += 1
             if still > share:
                 break
             continue
-        moved = stored(state.join(moves.select("id", "target"), "id", "left").select("id", F.coalesce("target", "community").alias("community"), "k", "size"))
-        now = quality(edges, moved, resolution, kind)
-        if now > value:
-            state, value, still = moved, now, 0
+        changed = state.join(moves.select("id", "target"), "id", "left").select("id", F.coalesce("target", "community").alias("community"), "k", "size", F.col("community").alias("old"))
+        changed = stored(changed)
+        moved = changed.drop("old")
+        # the moves' own sum knows no links between two nodes that both had their turn
+        a, b = (changed.where(turn("id")).select(F.col("id").alias(x), F.col("community").alias(f"c_{x}"), F.col("old").alias(f"old_{x}")) for x in ("src", "dst"))
+        met = both.where(turn("src") & turn("dst") & (F.col("src") < F.col("dst"))).join(a, "src").join(b, "dst")
+        between = met.agg(F.sum(F.col("weight") * ((F.col("c_src") == F.col("c_dst")).cast("double") - (F.col("old_src") == F.col("old_dst")).cast("double")))).first()[0] or 0.0
+        now = _expected(moved, resolution, kind)
+        if more + between > now - expected:
+            state, expected, still = moved, now, 0
         else:
             share *= 2
     return state
@@ -107,7 +121,7 @@ def refine(edges: DataFrame, state: DataFrame, resolution: float = 1.0, kind: st
     rest of it and the join gains.  A part that nodes join this round loses none, so every part is connected.
     """
     groups = state.select(F.col("id").alias("src"), F.col("community").alias("c1")), state.select(F.col("id").alias("dst"), F.col("community").alias("c2"))
-    inner = stored(sides(edges).join(groups[0], "src").join(groups[1], "dst").where("c1 = c2").select("src", "dst", "weight"))
+    inner = sides(stored(edges.where("src <> dst").join(groups[0], "src").join(groups[1], "dst").where("c1 = c2").select("src", "dst", "weight")))
     total = state.agg(F.sum("k")).first()[0] or 1.0
     mass, by = _mass(kind, total)
     whole = stored(state.groupBy("community").agg(F.sum(mass).alias("whole")))
