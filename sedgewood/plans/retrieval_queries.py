@@ -115,7 +115,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_queries_sql()}, {_bm25_sql(5)} SELECT query_id, doc_id AS id, round(score, 6) AS score, rank FROM (SELECT query_id, doc_id, round(s, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM sc) WHERE rank <= 5")
 def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 from postings built once; documents that share a word with the query."""
-    index = inverted_index.settle(inverted_index.build(corpus(spark, sf_dir)))
+    index = inverted_index.build(corpus(spark, sf_dir))
     return inverted_index.search(index, asked(spark, sf_dir), 5).withColumn("score", F.round("score", 6))
 
 
