@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sedgewood.operators.state import settle
+from sedgewood.operators.state import deal, settle
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -67,15 +67,20 @@ def coarsen(edges: DataFrame, assignment: DataFrame, loops: bool = False) -> Dat
     return joined.groupBy(F.least("c1", "c2").alias("src"), F.greatest("c1", "c2").alias("dst")).agg(F.sum("weight").alias("weight"))
 
 
-def vote(removed: DataFrame, edges: DataFrame, assignment: DataFrame) -> DataFrame:
-    """id, level, community: for removed nodes, the commonest community of their neighbours on each level, ties to the smallest."""
-    near = both_ways(edges).join(removed.select(F.col("id").alias("src")), "src", "left_semi")
-    counts = near.join(assignment, near["dst"] == assignment["id"]).groupBy("src", "level", "community").count()
+def vote(removed: DataFrame, edges: DataFrame, assignment: DataFrame, parts: int | None = None) -> DataFrame:
+    """id, level, community: for removed nodes, the commonest community of their neighbours on each level, ties to the smallest.
+
+    Links are dealt to ``parts`` tasks by either end; a node's votes are counted, ranked and put together in one of them.
+    """
+    # no semi-join, which Spark would move below the dealing
+    near = deal(both_ways(edges), parts, "src").join(deal(removed.select(F.col("id").alias("src")), parts, "src").distinct(), "src")
+    votes = deal(deal(near, parts, "dst").join(assignment.withColumnRenamed("id", "dst"), "dst").select("src", "level", "community"), parts, "src")
     w = Window.partitionBy("src", "level").orderBy(F.desc("count"), "community")
-    best = counts.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("src").alias("id"), "level", "community")
+    best = votes.where("level is not null").groupBy("src", "level", "community").count().withColumn("r", F.row_number().over(w)).where("r = 1")
+    placed = best.groupBy(F.col("src").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("level", "community"))).alias("placed"))
     levels = assignment.select("level").distinct()
-    full = removed.select("id").join(F.broadcast(levels), how="cross")  # a handful of levels
-    return full.join(best, ["id", "level"], "left").select("id", "level", F.coalesce("community", F.lit("L0_0")).alias("community"))
+    full = removed.select("id").join(placed, "id", "left").join(F.broadcast(levels), how="cross")  # a handful of levels
+    return full.select("id", "level", F.coalesce(F.try_element_at("placed", F.col("level")), F.lit("L0_0")).alias("community"))
 
 
 def fill_levels(df: DataFrame, levels: list[str]) -> DataFrame:

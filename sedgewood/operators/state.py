@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task gets where a table is dealt by its size.
+TASK_ROWS = 250_000
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset and the session local."""
@@ -19,6 +22,16 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def tasks(rows: int) -> int:
+    """The number of tasks to deal so many rows to: what one of them holds does not follow the size of the table."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def deal(df: DataFrame, parts: int | None, *by: str) -> DataFrame:
+    """df dealt by columns to so many tasks, which Spark does not put together again; to as many as it likes where none are given."""
+    return df.repartition(parts, *by) if parts else df.repartition(*by)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """df checkpointed, so that what follows survives lost executors."""
     checkpoint_folder(df.sparkSession)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sedgewood.functions import models as M
 from sedgewood.operators import graph_analytics as A, graph_build as B, graph_retrieval as G, leiden, retrieval as R
-from sedgewood.operators.state import settle
+from sedgewood.operators.state import settle, tasks
 from sedgewood.plans.registry import query, table
 
 # --- the graph -------------------------------------------------------------------------------------------------------
@@ -32,6 +32,15 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+def line_tasks(spark: SparkSession, sf_dir: str) -> int:
+    return tasks(table(spark, sf_dir, "lineitem").count())  # counted by the files' footers
+
+
+def dealt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts and suppliers of lines, dealt by part, so that neither a task's rows nor their keys grow with the table."""
+    return table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").repartition(line_tasks(spark, sf_dir), "l_partkey")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit("").alias("description")
     supplies = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
@@ -260,7 +269,8 @@ def assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(key("P", "l_partkey").alias("src"), key("S", "l_suppkey").alias("dst")).agg(F.count("*").alias("weight"))
+    pairs = dealt_lines(spark, sf_dir).groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("weight"))
+    return pairs.select(key("P", "l_partkey").alias("src"), key("S", "l_suppkey").alias("dst"), "weight")
 
 
 _SUPPLY = "sup AS (SELECT 'P' || l_partkey AS src, 'S' || l_suppkey AS dst, count(*) AS weight FROM lineitem GROUP BY ALL)"
@@ -280,7 +290,7 @@ def supernode_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts placed by the majority of their suppliers, on two levels."""
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     known = s.select(key("S", "s_suppkey").alias("id"), F.lit(3).cast("long").alias("level"), key("N", "s_nationkey").alias("community")).union(s.select(key("S", "s_suppkey"), F.lit(2).cast("long"), key("R", "n_regionkey")))
-    return A.vote(table(spark, sf_dir, "part").select(key("P", "p_partkey").alias("id")), supply_edges(spark, sf_dir), known)
+    return A.vote(table(spark, sf_dir, "part").select(key("P", "p_partkey").alias("id")), supply_edges(spark, sf_dir), known, line_tasks(spark, sf_dir))
 
 
 @query("SELECT c_custkey AS id, l3, coalesce(l2, l3) AS l2, coalesce(l1, l2, l3) AS l1, coalesce(l0, l1, l2, l3) AS l0 FROM (SELECT c_custkey, 'N' || c_nationkey AS l3, CASE WHEN c_custkey % 2 = 0 THEN 'R' || (c_nationkey % 5) END AS l2, CASE WHEN c_custkey % 3 = 0 THEN 'W' END AS l1, CAST(NULL AS VARCHAR) AS l0 FROM customer)")
