@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sedgewood.functions.text import truncate
 from sedgewood.operators.graph_analytics import both_ways
+from sedgewood.operators.state import deal
 
 
 def folded(c: Column) -> Column:
@@ -60,10 +61,14 @@ def first_match(targets: DataFrame, nodes: DataFrame) -> DataFrame:
     return exact.unionByName(every.groupBy("query_id", "target").agg(F.min_by("id", F.struct("ordinal", "id")).alias("id")))
 
 
-def neighbours(entries: DataFrame, edges: DataFrame) -> DataFrame:
-    """query_id, id, neighbour, relation, description, edge_seq for each edge of each entry, either way."""
+def neighbours(entries: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """query_id, id, neighbour, relation, description, edge_seq for each edge of each entry, either way.
+
+    For many entries, edges are dealt by their ends to ``parts`` tasks, where each entry's edges are then together.
+    """
     turned = edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation", "description", "edge_seq")
     both = edges.select("src", "dst", "relation", "description", "edge_seq").unionByName(turned)
+    both = deal(both, parts, "src") if parts else both
     return entries.select("query_id", "id").join(both, F.col("id") == F.col("src")).select("query_id", "id", F.col("dst").alias("neighbour"), "relation", "description", "edge_seq")
 
 

@@ -43,7 +43,7 @@ def dealt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit("").alias("description")
-    supplies = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    supplies = dealt_lines(spark, sf_dir).distinct()
     return (
         supplies.select(key("P", "l_partkey").alias("src"), key("S", "l_suppkey").alias("dst"), F.lit("SUPPLIES").alias("relation"), none, (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("edge_seq"))
         .unionByName(table(spark, sf_dir, "supplier").select(key("N", "s_nationkey").alias("src"), key("S", "s_suppkey").alias("dst"), F.lit("LOCATED_IN").alias("relation"), F.col("s_name").alias("description"), F.col("s_suppkey").alias("edge_seq")))
@@ -468,7 +468,7 @@ def neighbours_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to fifty neighbours of each supplier, either direction."""
     s = table(spark, sf_dir, "supplier").select(key("S", "s_suppkey").alias("id"), F.lit(0).alias("query_id"))
     w = Window.partitionBy("id").orderBy("edge_seq", "neighbour")
-    return G.neighbours(s, edges(spark, sf_dir)).withColumn("r", F.row_number().over(w)).where("r <= 50").select("id", "neighbour", "relation")
+    return G.neighbours(s, edges(spark, sf_dir), line_tasks(spark, sf_dir)).withColumn("r", F.row_number().over(w)).where("r <= 50").select("id", "neighbour", "relation")
 
 
 _HIT = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), hit AS (SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS vid, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, v.v), 9) DESC, v.vec_id) AS rank FROM v, v AS q WHERE q.vec_id % 50 = 0) WHERE rank <= 5)"
