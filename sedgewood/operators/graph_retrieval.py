@@ -24,13 +24,15 @@ def containing(names: DataFrame, parts: DataFrame) -> DataFrame:
     """n, t: the pairs of distinct names(n) and parts(t), not empty, where the name contains the part.
 
     A name that contains a part has each of its three-letter pieces (a shorter part is its own piece), so pairs meet in
-    a join on the part's piece that the fewest names have, and are verified.
+    a join on the part's piece that the fewest names have, and are verified.  Either table may be large, and what Spark
+    expects of the pieces' size is far below it: only distinct pieces may be broadcast, which an alphabet bounds.
     """
-    pieces = names.select("n").distinct().select("n", F.explode(grams("n", "array(1, 2, 3)")).alias("gram"))
-    often = pieces.groupBy("gram").agg(F.count("*").alias("often"))
     own = parts.select("t").where("t <> ''").distinct().select("t", F.explode(grams("t", "array(least(3, length(t)))")).alias("gram"))
-    rarest = own.join(often, "gram").groupBy("t").agg(F.min_by("gram", F.struct("often", "gram")).alias("gram"))
-    return rarest.join(pieces, "gram").where(F.contains("n", "t")).select("n", "t")
+    pieces = names.select("n").distinct().select("n", F.explode(grams("n", "array(1, 2, 3)")).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi")
+    often = pieces.groupBy("gram").agg(F.count("*").alias("often"))
+    # no inner join, which could broadcast the parts' pieces; a piece that no name has is the rarest
+    rarest = own.join(often, "gram", "left").groupBy("t").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram")).alias("gram"))
+    return rarest.hint("merge").join(pieces, "gram").where(F.contains("n", "t")).select("n", "t")
 
 
 def entry_points(targets: DataFrame, nodes: DataFrame, most: int = 10) -> DataFrame:
@@ -39,7 +41,7 @@ def entry_points(targets: DataFrame, nodes: DataFrame, most: int = 10) -> DataFr
     Names are compared in lower case without spaces.
     """
     t = targets.select("query_id", folded(F.col("target")).alias("t")).where("t <> ''").distinct()
-    n = nodes.select("id", folded(F.col("id")).alias("n"))
+    n = nodes.select("id", folded(F.col("id")).alias("n")).hint("merge")  # names take many times the space of their file
     exact = t.join(n, t["t"] == n["n"]).select("query_id", "t", "id")
     rest = t.join(exact.select("query_id", "t").distinct(), ["query_id", "t"], "left_anti")
     near = rest.join(containing(n, rest), "t").join(n, "n").select("query_id", "t", "id")
@@ -50,10 +52,10 @@ def entry_points(targets: DataFrame, nodes: DataFrame, most: int = 10) -> DataFr
 def first_match(targets: DataFrame, nodes: DataFrame) -> DataFrame:
     """query_id, target, id: the node of that name, else the first by ordinal that contains it or that it contains."""
     t, n = targets.select("query_id", "target", F.lower("target").alias("t")).distinct(), nodes.select("id", "ordinal", F.lower("id").alias("n"))
-    exact = t.join(nodes.select("id"), t["target"] == F.col("id")).select("query_id", "target", "id")
+    exact = t.join(nodes.select("id").hint("merge"), t["target"] == F.col("id")).select("query_id", "target", "id")
     rest = t.join(exact, ["query_id", "target"], "left_anti")
     either = containing(n, rest).unionByName(containing(rest.select(F.col("t").alias("n")), n.select(F.col("n").alias("t"))).select(F.col("t").alias("n"), F.col("n").alias("t"))).distinct()
-    met = rest.join(either, "t").join(n, "n").select("query_id", "target", "ordinal", "id")
+    met = rest.join(either, "t").join(n.hint("merge"), "n").select("query_id", "target", "ordinal", "id")
     # an empty name is in every other: one row of nodes each
     least = F.min_by(F.struct("ordinal", "id"), F.struct("ordinal", "id")).alias("least")
     blank = rest.crossJoin(F.broadcast(n.where("n = ''").agg(least))).unionByName(rest.where("t = ''").crossJoin(F.broadcast(n.agg(least))))

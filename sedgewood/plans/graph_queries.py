@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sedgewood.functions import models as M
 from sedgewood.operators import graph_analytics as A, graph_build as B, graph_retrieval as G, leiden, retrieval as R
-from sedgewood.operators.state import settle, tasks
+from sedgewood.operators.state import settle, stored, tasks
 from sedgewood.plans.registry import query, table
 
 # --- the graph -------------------------------------------------------------------------------------------------------
@@ -453,14 +453,15 @@ SELECT query_id, id, concat_ws(chr(10), 'ENTITY: ' || id || ' (' || type || ') -
 def one_hop_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes with their first twenty connections."""
     n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
-    return G.capped_context(G.entry_points(targets(spark, sf_dir), n), n, e)
+    return G.capped_context(stored(G.entry_points(targets(spark, sf_dir), n)), n, e)
 
 
 @query(f"""WITH {_NODES}, {_EDGES}, {_TARGETS}, {_ENTRY}, {_NEAR}, c AS (SELECT query_id, string_agg(DISTINCT id || ' -[' || relation || ']-> ' || neighbour, chr(10) ORDER BY id || ' -[' || relation || ']-> ' || neighbour) AS c FROM nr GROUP BY query_id)
 SELECT query_id, CASE WHEN length(c) > 16000 THEN substring(c, 1, 16000) || '...(truncated)' ELSE c END AS context FROM c""")
 def one_hop_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All connections of a query's nodes as distinct lines, cut at the budget."""
-    return G.line_context(G.entry_points(targets(spark, sf_dir), nodes(spark, sf_dir)), edges(spark, sf_dir))
+    # stored: where entries are known to be few, links need not be dealt to meet them
+    return G.line_context(stored(G.entry_points(targets(spark, sf_dir), nodes(spark, sf_dir))), edges(spark, sf_dir))
 
 
 @query(f"WITH {_EDGES}, {_BOTH} SELECT id, neighbour, relation FROM (SELECT 'S' || s_suppkey AS id, dst AS neighbour, relation, row_number() OVER (PARTITION BY s_suppkey ORDER BY edge_seq, dst) AS r FROM supplier JOIN both_ways ON src = 'S' || s_suppkey) WHERE r <= 50")
