@@ -37,11 +37,25 @@ def _expected(state: DataFrame, resolution: float, kind: str) -> float:
     return resolution * (row["pairs"] or 0.0)
 
 
+def joined(edges: DataFrame, *states: DataFrame) -> DataFrame:
+    """edges(src, dst, weight) with the communities a0, b0, a1, b1, ... that the states have for their two ends."""
+    both = states[0].select("id", F.col("community").alias("c0"))
+    for i, state in enumerate(states[1:], 1):
+        both = both.join(state.select("id", F.col("community").alias(f"c{i}")), "id")
+    for end, name in (("src", "a"), ("dst", "b")):
+        edges = edges.join(both.select(F.col("id").alias(end), *(F.col(f"c{i}").alias(f"{name}{i}") for i in range(len(states)))), end)
+    return edges
+
+
+def qualities(edges: DataFrame, states: list[DataFrame], resolution: float = 1.0, kind: str = "modularity") -> list[float]:
+    """Of states of the same nodes, by ``joined`` edges: weight inside communities less what ``kind`` expects of them."""
+    inner = edges.agg(*(F.coalesce(F.sum(F.when(F.col(f"a{i}") == F.col(f"b{i}"), F.col("weight").cast("double"))), F.lit(0.0)) for i in range(len(states)))).first()
+    return [x - _expected(state, resolution, kind) for x, state in zip(inner, states, strict=True)]
+
+
 def quality(edges: DataFrame, state: DataFrame, resolution: float = 1.0, kind: str = "modularity") -> float:
     """Weight inside communities less what ``kind`` expects of them: modularity (times half the total) or cpm."""
-    a, b = (state.select(F.col("id").alias(x), F.col("community").alias(c)) for x, c in (("src", "c1"), ("dst", "c2")))
-    inner = edges.join(a, "src").join(b, "dst").where("c1 = c2").agg(F.coalesce(F.sum(F.col("weight").cast("double")), F.lit(0.0))).first()[0]
-    return inner - _expected(state, resolution, kind)
+    return qualities(joined(edges, state), [state], resolution, kind)[0]
 
 
 def _mass(kind: str, total: float) -> tuple[Column, float]:
@@ -82,15 +96,18 @@ def local_moving(edges: DataFrame, state: DataFrame, resolution: float = 1.0, ki
             """Every node has its turn once in ``share`` rounds, each time beside others."""
             return F.pmod(F.xxhash64(c, F.lit(r // share)), F.lit(share)) == r % share
 
-        own = state.where(turn("id")).select("id", F.col("community").alias("home"), mass.alias("m"), "size").join(sums.select(F.col("community").alias("home"), F.col("mass").alias("home_mass")), "home")
+        # a node carries its community's mass, so that links meet only the nodes at either end: they are dealt once by each
+        known = state.select("id", "community", mass.alias("m"), "size").join(sums.select("community", "mass"), "community")
+        own = known.where(turn("id")).select("id", F.col("community").alias("home"), "m", "size", F.col("mass").alias("home_mass"))
         # links to nodes that stay where they are this round; whose turn it is shows on the links before they are joined
-        to = both.where(turn("src") & ~turn("dst")).join(state.where(~turn("id")).select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("weight").alias("links"))
-        ways = to.join(own, "id").join(sums.select("community", "mass"), "community")
+        met = both.where(turn("src") & ~turn("dst")).join(known.where(~turn("id")).select(F.col("id").alias("dst"), "community", "mass"), "dst")
+        to = met.select(F.col("src").alias("id"), "community", "mass", "weight").repartition("id").groupBy("id", "community").agg(F.sum("weight").alias("links"), F.first("mass").alias("mass"))
+        ways = to.join(own, "id")
         at_home = F.col("community") == F.col("home")
         gain = F.round(F.col("links") - resolution * F.col("m") * F.col("mass") / by, 9)
         stay = F.round(F.when(at_home, F.col("links")).otherwise(0.0) - resolution * F.col("m") * (F.col("home_mass") - F.col("m")) / by, 9)
         away = F.when(~at_home, F.struct(gain.alias("gain"), F.col("community").alias("target"), "links"))
-        best = ways.groupBy("id", "home", "size").agg(F.max(away).alias("b"), F.max(stay).alias("stay"), F.coalesce(F.max(F.when(at_home, F.col("links"))), F.lit(0.0)).alias("left"))
+        best = ways.groupBy("id").agg(F.first("home").alias("home"), F.first("size").alias("size"), F.max(away).alias("b"), F.max(stay).alias("stay"), F.coalesce(F.max(F.when(at_home, F.col("links"))), F.lit(0.0)).alias("left"))
         moves = best.where("b.gain > stay").select("id", "home", "b.target", "b.gain", "size", (F.col("b.links") - F.col("left")).alias("more"))
         moves = stored(_admitted(stored(moves), sums, max_size) if max_size else moves)
         n, more = moves.agg(F.count("*"), F.sum("more")).first()
@@ -140,6 +157,8 @@ def refine(edges: DataFrame, state: DataFrame, resolution: float = 1.0, kind: st
         if joins.isEmpty() and r:
             break
         parts = stored(parts.join(joins, "part", "left").select("id", "community", "k", "size", F.coalesce("target", "part").alias("part"), "mass"))
+        if r == rounds - 1:
+            break
         ends = graph
         for side in ("p1", "p2"):
             ends = ends.join(joins.select(F.col("part").alias(side), "target"), side, "left").withColumn(side, F.coalesce("target", side)).drop("target")
